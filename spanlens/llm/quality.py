@@ -14,8 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 STOP_WORDS = (
     "the of and to in is that it for on was as with be by are this at from an "  # English
@@ -50,6 +49,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def window_hashes(words: Column, window: int) -> Column:
+    """Hashes of all runs of ``window`` words, by doubling: the hash of 4 words is that of the hashes of two pairs."""
+
+    def longer(ones: Column, n: int) -> Column:
+        if n == 1:
+            return ones
+        if n % 2:
+            return let(longer(ones, n - 1), lambda a: F.zip_with(a, F.slice(ones, n, F.size(ones)), lambda x, y: F.xxhash64(x, y)))
+        return let(longer(ones, n // 2), lambda a: F.zip_with(a, F.slice(a, n // 2 + 1, F.size(ones)), lambda x, y: F.xxhash64(x, y)))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: F.slice(longer(ones, window), 1, F.size(ones) - window + 1))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words covered by windows whose hash occurs twice or more. Windows are compared by 64-bit hash."""
 
@@ -66,8 +78,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
             ),
         )
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    found = let(window_hashes(words, window), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
     return F.when(F.size(words) < window + 1, F.lit(0)).otherwise(found)
 
 
@@ -79,17 +90,17 @@ def words_of(text: Column) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts that rules speak of; one projection over another, no exchange."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return (
         docs.withColumn("_words", words_of(F.col(text)))
         .withColumns(
             {
                 "n_words": F.size("_words").cast("long"),
-                "word_chars": F.char_length(F.translate(body, SPACES, "")).cast("long"),
-                "n_symbols": (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long"),
+                "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
+                "n_symbols": (F.char_length(body) - F.char_length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"),
                 "_lines": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct"))),
                 "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-                "distinct_stop_words": F.size(F.array_intersect(F.transform("_words", F.lower), F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
+                "distinct_stop_words": F.size(F.array_intersect("_words", F.array(*(F.lit(x) for w in STOP_WORDS for x in (w, w.capitalize()))))).cast("long"),
             }
         )
         .withColumns({"n_lines": F.col("_lines.n").cast("long"), "n_dup_lines": (F.col("_lines.n") - F.col("_lines.distinct")).cast("long")})
