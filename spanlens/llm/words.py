@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK = 1 << 20
@@ -128,7 +129,7 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2 * BLOCK, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         a = 0
         while a < batch.num_rows:
