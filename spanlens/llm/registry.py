@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from spanlens.llm import quality
+from spanlens.llm import quality, simhash, substring
 
-QUERIES = {"op10_quality_rules": quality.op10_quality_rules}
+QUERIES = {
+    "op5_substring_lsm": substring.op5_substring_lsm,
+    "op9_simhash_bktree": simhash.op9_simhash_bktree,
+    "op10_quality_rules": quality.op10_quality_rules,
+}
 ORACLES: dict[str, str] = {}
