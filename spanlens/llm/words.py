@@ -54,11 +54,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def spans_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(raw: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a byte array."""
     word = np.empty(len(raw) + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(SPACE[raw], out=word[1:-1])
+    np.logical_not(space[raw], out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     return edge[::2], edge[1::2]
 
@@ -96,14 +96,14 @@ def hash_windows(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
 class Words:
     """Words of several texts. ``doc[i]`` is the text that word i is in, ``first[d]:first[d + 1]`` are the words of text d."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, space: np.ndarray = SPACE):
         parts = [t or b"" for t in texts]
         self.raw = np.frombuffer(b"\n".join(parts), np.uint8)
         if lower:
             self.raw = LOWER[self.raw]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         self.offset = np.concatenate([[0], np.cumsum(size)])
-        self.starts, self.ends = spans_of(self.raw)
+        self.starts, self.ends = spans_of(self.raw, space)
         self.first = np.searchsorted(self.starts, self.offset)
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(parts)), self.n)
@@ -126,10 +126,10 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2 * BLOCK, column: str = "text") -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2 * BLOCK, text: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
-        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text") if text is None else text), 0), np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         a = 0
         while a < batch.num_rows:
