@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: documents carry labels, sentences carry scores, noisy-or ties them together.
 
-A sentence's score is a logistic function of its words (hashed, lower case, each once); a document's score is
-1 - prod(1 - sentence score). Weights are trained by gradient descent on the document labels alone, and then point at the
-sentences that make a document toxic.
+A sentence's score is a logistic function of its words and their beginnings (hashed, lower case, each once); a document's
+score is 1 - prod(1 - sentence score). Weights are trained by gradient descent on the document labels alone, and then point
+at the sentences that make a document toxic. Only features whose share of toxic documents differs from the overall share by
+``DEVIATIONS`` standard deviations get a weight: what a few documents happen to share would otherwise be learned by heart.
 
 Training takes at most about ``per_class`` labelled documents of each class, chosen by a hash of doc_id; their features,
 not their texts, go to the driver. Scoring reads every whole text.
@@ -21,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.shared import bucket_of
-from spanlens.llm.words import SPACE, Words, binary, small_batches
+from spanlens.llm.words import SPACE, Words, binary, hash_spans, small_batches
 
-DIMS = 1 << 18
+BITS = 20
+DIMS = 1 << BITS
+BEGINNINGS = (5, 6, 7, 8)
 PER_CLASS = 3000
 THRESHOLD = 0.7
-EPOCHS = 12
+EPOCHS = 15
+LEAST_DOCS = 3
+DEVIATIONS = 3.0
 BREAK = SPACE.copy()
 BREAK[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
 STOP = np.zeros(256, np.int64)
@@ -47,8 +52,13 @@ class Sentences:
         self.doc = w.doc[new]
         self.start = w.starts[new]
         self.end = w.ends[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(mark) - 1]])] if len(mark) else np.empty(0, np.int64)
-        feature = (w.hashes() >> np.uint64(46)).astype(np.int64)
-        pair = np.unique(self.of_word * DIMS + feature)
+        hashes, of_word = [w.hashes()], [self.of_word]
+        for n in BEGINNINGS:  # bytes
+            on = np.flatnonzero(w.ends - w.starts > n)
+            hashes.append(hash_spans(w.raw, w.starts[on], w.starts[on] + n) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
+            of_word.append(self.of_word[on])
+        feature = (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+        pair = np.unique(np.concatenate(of_word) * DIMS + feature)
         self.sentence, self.feature = pair // DIMS, pair % DIMS
 
 
@@ -82,19 +92,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
         return None
     count = np.bincount(y.astype(int), minlength=2)
     heavy = min(5.0, max(1.0, (n[0] / n[1]) / (count[0] / count[1])))
+    keep = _telling(got, count[1] / len(y))
+    got = [(x[0], x[1][on], x[2][on], int(x[1].max(initial=-1)) + 1) for x in got for on in (keep[x[2]],)]
     w, b = np.zeros(DIMS), -4.0
-    square, square_b = np.full(DIMS, 1e-4), 1e-4
+    square, square_b = np.full(DIMS, 1e-2), 1e-2
     order = np.random.Generator(np.random.PCG64(11))
-    for epoch in range(epochs):
+    for _ in range(epochs):
         by = order.permutation(len(y))
         for a in range(0, len(by), 64):
             own = by[a : a + 64]
-            size = [int(got[i][1][-1]) + 1 if len(got[i][1]) else 0 for i in own]
+            size = [got[i][3] for i in own]
             base = np.concatenate([[0], np.cumsum(size)])
+            if not base[-1]:
+                continue
             s = np.concatenate([got[i][1] + base[k] for k, i in enumerate(own)]).astype(np.int64)
             f = np.concatenate([got[i][2] for i in own])
-            if not len(f):
-                continue
             doc = np.repeat(np.arange(len(own)), size)
             z = b + np.bincount(s, w[f], base[-1])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -102,9 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
             t, cost = y[own], np.where(y[own] > 0, 1.0, heavy)
             pull = np.where(t > 0, -none / np.maximum(1 - none, 1e-6), 1.0) * cost
             g = pull[doc] * p
-            gw = np.bincount(f, g[s], DIMS)
+            gw = np.bincount(f, g[s], DIMS) if len(f) else np.zeros(DIMS)
             hit = np.flatnonzero(gw)
-            gw = gw[hit] + 2e-3 * w[hit]
+            gw = gw[hit]
             square[hit] += gw * gw
             w[hit] -= 0.3 * gw / np.sqrt(square[hit])
             gb = g.sum()
@@ -113,6 +125,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
     return w.astype(np.float32), float(b)
 
 
+def _telling(got: list[tuple], share: float) -> np.ndarray:
+    """Features in ``LEAST_DOCS`` documents or more whose share of toxic ones is far enough from ``share``."""
+    seen = [np.zeros(DIMS), np.zeros(DIMS)]
+    for x in got:
+        seen[x[0]][np.unique(x[2])] += 1
+    n = seen[0] + seen[1]
+    deviation = (seen[1] - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    return (n >= LEAST_DOCS) & (np.abs(deviation) >= DEVIATIONS)
+
+
 def _packed(rows: DataFrame):
     def pack(batches):
         for batch in _features(batches):
