@@ -139,9 +139,10 @@ def _shards(radius: int):
     """Rows (shard, fp), whole shards to a partition, to the stars of each shard."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         shard = table.column("shard").to_numpy()
         fp = table.column("fp").to_numpy().view(np.uint64)
         order = np.lexsort((fp, shard))

@@ -123,7 +123,7 @@ def _diverge(ctx: np.ndarray, n: np.ndarray, seen: np.ndarray, shorter: np.ndarr
     m = len(seen)
     total = np.minimum(np.bincount(ctx, n, m), seen)
     kinds = np.bincount(ctx, minlength=m).astype(np.float64)
-    gain = np.bincount(ctx, n * np.log(n / np.maximum(seen[ctx], 1) / shorter), m)
+    gain = np.bincount(ctx, n * np.log(n / np.maximum(seen[ctx], 1) / shorter), m).astype(np.float64)
     rest, other = seen - total, np.maximum(1 - np.bincount(ctx, shorter, m), 1e-12)
     gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1) / other), 0)
     return total, kinds, np.where(kinds > 0, gain, 0)
