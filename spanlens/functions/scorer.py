@@ -59,7 +59,7 @@ class BigramScorer:
         return tokens.join(cost, ["prev", "token"], "left").drop("prev")
 
     def score(self, texts: DataFrame) -> DataFrame:
-        return self.nll(self.tokens(texts)).select("text_id", "pos", "char_start", "char_end", F.xxhash64("token").cast("int").alias("token_id"), "token", "nll")
+        return self.nll(self.tokens(texts)).select("text_id", "pos", "char_start", "char_end", F.hash("token").alias("token_id"), "token", "nll")
 
 
 class TransformerScorer:

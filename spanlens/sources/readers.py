@@ -68,7 +68,8 @@ def read_substitutions(spark: SparkSession, path: str) -> DataFrame:
 def with_ordinal(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """``df`` with the number of each row in the input's order, from 0 without gaps.
 
-    Rows are numbered within their partition; the driver sees one count a partition."""
+    Rows are numbered within their partition; the driver sees one count a partition. A column of that name is replaced."""
+    df = df.drop(name)
     own = df.withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("_id", 33).cast("int")
     counts = sorted((r["p"], r["n"]) for r in own.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())

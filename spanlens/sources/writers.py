@@ -24,7 +24,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of CSV with a header; arrays, maps and structs are written as JSON."""
     nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     flat = df.select(*(F.to_json(F.col(f"`{c}`")).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns))
-    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    flat.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
