@@ -20,7 +20,8 @@ STOP_WORDS = (
     "the of and to in is that it for on was as with be by are this at from an "  # English
     "der die das und den von zu mit des im ist ein eine "  # German
     "le la les de et un une du que est dans "  # French
-    "el los las y en que un una por con se del al"  # Spanish
+    "el los las y en que un una por con se del al "  # Spanish
+    "o os da do em um uma para com não il lo gli di che per non het een van dat niet och att det som på w i na z do nie się и в не на что с по"  # others
 ).split()
 
 
@@ -40,7 +41,7 @@ RULES = (
     Rule("symbols_per_word", most=0.1),
     Rule("dup_line_ratio", most=0.4),
     Rule("repeat_word_ratio", most=0.2),
-    Rule("distinct_stop_words", least=2, from_words=50),
+    Rule("distinct_stop_words", least=1, from_words=50),
 )
 
 
