@@ -1,9 +1,9 @@
 """Scoring by a probabilistic suffix tree over words: contexts of varying length, kept where they change what comes next.
 
-Three passes over the training texts count tokens, then pairs, then triples of tokens. A context is considered if it
-makes up at least ``CONTEXT_SHARE`` of the training tokens (so there are at most 1 / CONTEXT_SHARE of one length), and
-kept if its next-symbol distribution diverges from that of its suffix: count times Kullback-Leibler divergence, in nats,
-at least ``DIVERGENCE``. A state's distribution is smoothed with that of its suffix by the number of symbols that
+A pass over the training texts counts tokens, and a further pass for each length of context, up to ``DEPTH``, what follows
+the contexts of that length. A context is considered if it makes up at least ``CONTEXT_SHARE`` of the training tokens (so
+there are at most 1 / CONTEXT_SHARE of one length), and kept if its next-symbol distribution diverges from that of its
+suffix: count times Kullback-Leibler divergence, in nats, at least ``DIVERGENCE``. Growth ends where no context is left. A state's distribution is smoothed with that of its suffix by the number of symbols that
 follow it (Witten and Bell) and what has no entry, down to the base distribution of single tokens; it adds up to one over the vocabulary and
 one unknown symbol. A position is scored by the longest kept suffix of the words before it.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bucket_of, stage
+from spanlens.llm.shared import bound_arrow, bucket_of, stage
 from spanlens.llm.words import Words, binary, small_batches
 
 U = np.uint64
@@ -32,6 +32,7 @@ CONTEXT_SHARE = 2e-6
 ENTRY_SHARE = 2e-7
 LEAST = 3
 DIVERGENCE = 3.0
+DEPTH = 3
 FLUSH = 4_000_000
 #: The end of a text; no word's hash is set aside for it, but one of 2**64 values is.
 END = U(0)
@@ -129,64 +130,71 @@ def _diverge(ctx: np.ndarray, n: np.ndarray, seen: np.ndarray, shorter: np.ndarr
     return total, kinds, np.where(kinds > 0, gain, 0)
 
 
-class Tree:
-    """Kept contexts and their entries.
+def states(sym: np.ndarray, doc: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each position, the numbers of the contexts of length 1, 2, ... that end before it; -1 where there is none.
+
+    A context of length 1 has its symbol's number. One of length k is known by the number of its first k - 1 symbols and its
+    last symbol, ``number << 32 | symbol``, and is numbered by its place in the sorted ``contexts[k - 2]``."""
+    out = [before(sym, doc, 1)]
+    for known in contexts:
+        first = before(out[-1], doc, 1)
+        out.append(np.where((first >= 0) & (out[0] >= 0), lookup(known, (first << 32) | out[0]), -1))
+    return out
+
+
+class Level:
+    """The kept contexts of one length: ``entry`` = number << 32 | symbol, counted in ``n``; by number, ``total`` is what the
+    entries count (0 for a context that isn't kept) and ``weight`` that of the suffix: the number of entries and the
+    occurrences that have no entry."""
+
+    def __init__(self, entry: np.ndarray, n: np.ndarray, total: np.ndarray, weight: np.ndarray):
+        self.entry, self.n, self.total, self.weight = entry, n, total, weight
+
+    def smooth(self, number: np.ndarray, sym: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Probabilities after the contexts with these numbers; ``shorter`` where there is no such context."""
+        if not len(self.entry):
+            return shorter
+        total = np.where(number >= 0, self.total[number], 0)
+        at = lookup(self.entry, (number << 32) | sym)
+        n = np.where((at >= 0) & (number >= 0) & (sym >= 0), self.n[at], 0)
+        weight = np.where(total > 0, self.weight[number], 1)
+        return np.where(total > 0, (n + weight * shorter) / (total + weight), shorter)
+
 
-    Level one: ``pair`` = context << 32 | symbol, counted in ``pair_n``; by context, ``total1`` is what its entries count
-    and ``kinds1`` the weight of the suffix: the number of entries and the occurrences that have no entry.
-    Level two: contexts ``ctx`` are pairs; ``triple`` = number of the context << 32 | symbol, in ``triple_n``."""
+class Tree:
+    """Levels of kept contexts by length, and what numbers the contexts of length 2 and more."""
 
     def __init__(self, symbols: Symbols, tokens: int, distinct: int):
         self.symbols, self.tokens, self.distinct = symbols, tokens, distinct
-        self.pair = self.triple = self.ctx = np.empty(0, np.int64)
-        self.pair_n = self.triple_n = self.total2 = self.kinds2 = np.empty(0, np.float64)
-        self.total1 = self.kinds1 = np.zeros(len(symbols.hash))
+        self.levels: list[Level] = []
+        self.contexts: list[np.ndarray] = []
+        self.suffixes: list[list[np.ndarray]] = [[]]  # by length: for each context, the numbers of its suffixes of length 1, 2, ...
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return (n + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
 
-    def one(self, ctx: np.ndarray, sym: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probabilities after one known word; ``base`` where that word isn't a kept context."""
-        if not len(self.pair):
-            return base
-        total = np.where(ctx >= 0, self.total1[ctx], 0)
-        at = lookup(self.pair, (ctx << 32) | sym)
-        n = np.where((at >= 0) & (ctx >= 0) & (sym >= 0), self.pair_n[at], 0)
-        kinds = np.where(total > 0, self.kinds1[ctx], 1)
-        return np.where(total > 0, (n + kinds * base) / (total + kinds), base)
-
-    def two(self, number: np.ndarray, sym: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        if not len(self.ctx):
-            return shorter
-        known = number >= 0
-        at = lookup(self.triple, (number << 32) | sym)
-        n = np.where((at >= 0) & known & (sym >= 0), self.triple_n[at] if len(self.triple) else 0, 0)
-        total, kinds = self.total2[number], self.kinds2[number]
-        return np.where(known & (total > 0), (n + kinds * shorter) / np.where(known, total + kinds, 1), shorter)
-
-    def keep_one(self, key: np.ndarray, n: np.ndarray) -> None:
-        ctx, sym = key >> 32, key & 0xFFFFFFFF
-        seen = self.symbols.n.astype(np.float64)
-        total, kinds, gain = _diverge(ctx, n, seen, self.base(self.symbols.n[sym]))
-        keep = gain >= DIVERGENCE
-        on = keep[ctx]
-        self.pair, self.pair_n = key[on], n[on].astype(np.float64)
-        self.total1 = np.where(keep, total, 0)
-        self.kinds1 = np.where(keep, seen - total + kinds, 0)
+    def probability(self, numbers: list[np.ndarray], sym: np.ndarray, base: np.ndarray) -> np.ndarray:
+        for level, number in zip(self.levels, numbers, strict=False):
+            base = level.smooth(number, sym, base)
+        return base
 
-    def keep_two(self, ctx: np.ndarray, seen: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
-        """``ctx``: sorted pairs, ``seen``: their counts; ``key``: number of the pair << 32 | symbol."""
+    def grow(self, seen: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
+        """Adds the next length. ``seen``: counts of its contexts; ``key``: number of the context << 32 | symbol, sorted."""
         number, sym = key >> 32, key & 0xFFFFFFFF
-        suffix = ctx[number] & 0xFFFFFFFF
-        total, kinds, gain = _diverge(number, n, seen.astype(np.float64), self.one(suffix, sym, self.base(self.symbols.n[sym])))
+        shorter = self.probability([s[number] for s in self.suffixes[-1]], sym, self.base(self.symbols.n[sym]))
+        total, kinds, gain = _diverge(number, n, seen.astype(np.float64), shorter)
         keep = gain >= DIVERGENCE
-        new = np.cumsum(keep) - 1
         on = keep[number]
-        self.ctx = ctx[keep]
-        self.triple = (new[number[on]] << 32) | sym[on]
-        self.triple_n = n[on].astype(np.float64)
-        self.total2 = total[keep]
-        self.kinds2 = (seen - total + kinds)[keep]
+        self.levels.append(Level(key[on], n[on].astype(np.float64), np.where(keep, total, 0), np.where(keep, seen - total + kinds, 0)))
+
+    def number(self, contexts: np.ndarray) -> None:
+        """Numbers the contexts of the next length by their sorted keys."""
+        first, last = contexts >> 32, contexts & 0xFFFFFFFF
+        own = [last]
+        for known, suffix in zip(self.contexts, self.suffixes[-1], strict=False):
+            own.append(np.where(suffix[first] >= 0, lookup(known, (suffix[first] << 32) | last), -1))
+        self.contexts.append(contexts)
+        self.suffixes.append(own)
 
     def log10(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token, log10 of its probability over its base probability, and whether its count is known here.
@@ -195,34 +203,23 @@ class Tree:
         sym = self.symbols.of(h)
         known = sym >= 0
         base = np.where(known, self.base(self.symbols.n[sym] if len(self.symbols.n) else np.zeros(len(sym))), 1.0)
-        one = before(sym, doc, 1)
-        p = self.one(one, sym, base)
-        two = before(sym, doc, 2)
-        number = np.where((one >= 0) & (two >= 0), lookup(self.ctx, (two << 32) | one), -1)
-        p = self.two(number, sym, p)
-        return np.log10(p / base), known
-
+        return np.log10(self.probability(states(sym, doc, self.contexts), sym, base) / base), known
 
-def _pairs(symbols):
-    def keys(texts: list[bytes | None]) -> np.ndarray:
-        h, doc = _tokens(texts)
-        sym = symbols.value.of(h)
-        one = before(sym, doc, 1)
-        on = (sym >= 0) & (one >= 0)
-        return ((one[on] << 32) | sym[on]).view(U)
-
-    return keys
+    def slim(self) -> Tree:
+        """What scoring needs."""
+        out = Tree(self.symbols, self.tokens, self.distinct)
+        out.levels, out.contexts = self.levels, self.contexts[: len(self.levels) - 1]
+        return out
 
 
-def _triples(shared):
+def _entries(shared):
     def keys(texts: list[bytes | None]) -> np.ndarray:
-        symbols, ctx = shared.value
+        symbols, contexts = shared.value
         h, doc = _tokens(texts)
         sym = symbols.of(h)
-        one, two = before(sym, doc, 1), before(sym, doc, 2)
-        on = (sym >= 0) & (one >= 0) & (two >= 0)
-        number = lookup(ctx, (two[on] << 32) | one[on])
-        return ((number[number >= 0] << 32) | sym[on][number >= 0]).view(U)
+        number = states(sym, doc, contexts)[-1]
+        on = (sym >= 0) & (number >= 0)
+        return ((number[on] << 32) | sym[on]).view(U)
 
     return keys
 
@@ -235,27 +232,28 @@ def _arrays(df: DataFrame, columns: int = 2) -> list[np.ndarray]:
     return [x[order] for x in out]
 
 
-def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
+def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The tree, and the table (key, n) of all token counts."""
     spark = texts.sparkSession
+    bound_arrow(spark)
     single = stage(counts(texts, lambda t: _tokens(t)[0]), "token-counts")
     total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     key, n = _arrays(single.where(F.col("n") >= max(LEAST, int(total * SYMBOL_SHARE))))
     symbols = Symbols(key.view(U), n)
     tree = Tree(symbols, total, distinct)
-    least = max(LEAST, int(total * ENTRY_SHARE))
-    shared = spark.sparkContext.broadcast(symbols)
-    pairs = stage(counts(texts, _pairs(shared)).where(F.col("n") >= least), "pair-counts")
-    key, n = _arrays(pairs)
-    context = np.bincount(key >> 32, n, len(symbols.hash)) >= max(LEAST, total * CONTEXT_SHARE)
-    on = context[key >> 32]
-    tree.keep_one(key[on], n[on])
-    often = n >= max(LEAST, total * CONTEXT_SHARE)
-    ctx, seen = key[often], n[often]
-    both = spark.sparkContext.broadcast((symbols, ctx))
-    key, n = _arrays(stage(counts(texts, _triples(both)).where(F.col("n") >= least), "triple-counts"))
-    tree.keep_two(ctx, seen, key, n)
-    return tree, single
+    least, often = max(LEAST, int(total * ENTRY_SHARE)), max(LEAST, total * CONTEXT_SHARE)
+    seen = symbols.n
+    for length in range(1, depth + 1):
+        shared = spark.sparkContext.broadcast((symbols, tree.contexts))
+        key, n = _arrays(stage(counts(texts, _entries(shared)).where(F.col("n") >= least), f"following-{length}"))
+        on = (seen >= often)[key >> 32]
+        tree.grow(seen, key[on], n[on])
+        on = n >= often
+        if not on.any() or length == depth:
+            break
+        tree.number(key[on])
+        seen = n[on]
+    return tree.slim(), single
 
 
 def _score(shared):

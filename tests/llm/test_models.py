@@ -114,12 +114,47 @@ def test_probabilities_add_up(spark, doc_rows):
     base = np.concatenate([tree.base(n), [tree.base(np.zeros(1))[0]]])
     sym = np.concatenate([sym, [-1]])
     assert base.sum() == pytest.approx(1)
-    assert len(tree.pair) and len(tree.ctx)
-    for ctx in np.unique(tree.pair >> 32)[:20]:
-        assert tree.one(np.full(len(sym), ctx), sym, base).sum() == pytest.approx(1, abs=1e-9)
-    for number in range(min(20, len(tree.ctx))):
-        one = tree.one(np.full(len(sym), tree.ctx[number] & 0xFFFFFFFF), sym, base)
-        assert tree.two(np.full(len(sym), number), sym, one).sum() == pytest.approx(1, abs=1e-9)
+    assert len(tree.levels) >= 2 and all(len(x.entry) for x in tree.levels[:2])
+    # states of real positions: all suffixes of what stands before them
+    texts = [(t or "").encode() for _, t in doc_rows[:40]]
+    h, doc = suffixtree._tokens(texts)
+    at = suffixtree.states(tree.symbols.of(h), doc, tree.contexts)
+    picked = np.flatnonzero(at[-1] >= 0)[:15].tolist() + np.flatnonzero(at[1] >= 0)[:15].tolist() + list(range(10))
+    for i in picked:
+        numbers = [np.full(len(sym), x[i]) for x in at]
+        assert tree.probability(numbers, sym, base).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_contexts_are_numbered_alike(spark, doc_rows):
+    """Counts of what follows a context of three words, by its number, against a plain count."""
+    from collections import Counter
+
+    texts = [(t or "").encode() for _, t in doc_rows]
+    docs = spark.createDataFrame(doc_rows, "doc_id long, text string")
+    tree, _ = suffixtree.train(docs, 3)
+    h, doc = suffixtree._tokens(texts)
+    grams = Counter((d, tuple(h[i - 3 : i].tolist())) for i, d in enumerate(doc) if i >= 3 and doc[i - 3] == d)
+    times = Counter()
+    for (_, g), n in grams.items():
+        times[g] += n
+    sym = tree.symbols.of(h)
+    at = suffixtree.states(sym, doc, tree.contexts)
+    for i in range(len(h)):
+        if i >= 3 and doc[i - 3] == doc[i] and (sym[i - 3 : i] >= 0).all():
+            assert (at[2][i] >= 0) == (times[tuple(h[i - 3 : i].tolist())] >= suffixtree.LEAST), i
+        else:
+            assert at[2][i] < 0
+
+
+def test_deeper_contexts_help(spark):
+    rows = [(i, "a x one. b x two. " * 30 + ("p q r s " if i % 2 else "o q r t ") * 20) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = []
+    for depth in (1, 2, 3):
+        tree, _ = suffixtree.train(docs, depth)
+        h, doc = suffixtree._tokens([t.encode() for _, t in rows])
+        total.append(tree.log10(h, doc)[0].sum())
+    assert total[0] < total[1] < total[2]
 
 
 def test_suffix_tree_defined_results(spark, clashing, odd_rows, no_docs):
