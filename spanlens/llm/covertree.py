@@ -9,6 +9,7 @@ levels end. Links are counted, and components are kept as stars, so that a dense
 pair. Equal vectors are one vector with a weight.
 
 A shard has at most about ``SHARD`` residents: a dense cell is several shards. Visitors are streamed past the residents.
+There are at most ``CELLS`` centres, from a sample of at most ``SAMPLE`` vectors; all vectors are dealt and compared.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
 their own component; so do vectors of different lengths with each other; rows of a repeated vec_id count as vectors of
@@ -27,7 +28,8 @@ from spanlens.llm.components import components, stars
 from spanlens.llm.shared import stage
 
 LEAST = 0.9
-SAMPLE = 4096
+CELLS = 4096
+SAMPLE = 4 * CELLS
 SHARD = 4096
 LEAF = 192
 FANOUT = 24
@@ -175,25 +177,29 @@ def _deal(shared, dims: int, dtype: str):
     """Each vector to its own shard as a resident, and as a visitor to the earlier shards that may hold a neighbour."""
 
     def run(batches):
-        skeleton, shards, near = shared.value
-        # shards: (cell, radius) by number; the shards of a cell are numbered one after another
+        skeleton, cells, first, blocks, radius, near = shared.value  # a cell's shards are numbered from ``first``
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 data = part.column("data").to_pylist()
                 node, weight = (part.column(c).to_numpy() for c in ("node", "weight"))
                 home = part.column("shard").to_numpy()
-                d = skeleton.all(units(data, dims, dtype))[:, shards[:, 0].astype(int)]
-                visit = (d <= shards[:, 1] + near + 1e-6) & (np.arange(len(shards)) < home[:, None])
                 out = []
-                for s in range(len(shards)):
-                    for kind, rows in ((0, np.flatnonzero(home == s)), (1, np.flatnonzero(visit[:, s]))):
-                        if len(rows):
-                            out.append((s, kind, node[rows].tobytes(), weight[rows].tobytes(), b"".join([data[i] for i in rows])))
-                if out:
-                    c = list(zip(*out, strict=True))
-                    cols = [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])]
-                    yield pa.RecordBatch.from_arrays(cols, ["shard", "kind", "nodes", "weights", "data"])
+
+                def send(shard: int, kind: int, rows: np.ndarray) -> None:
+                    if len(rows):
+                        out.append((shard, kind, node[rows].tobytes(), weight[rows].tobytes(), b"".join([data[i] for i in rows])))  # noqa: B023
+
+                for s in np.unique(home).tolist():
+                    send(s, 0, np.flatnonzero(home == s))
+                visit = skeleton.all(units(data, dims, dtype))[:, cells] <= radius + near + 1e-6
+                for k in np.flatnonzero(visit.any(axis=0)).tolist():
+                    rows = np.flatnonzero(visit[:, k])
+                    for s in range(int(first[k]), min(int(first[k] + blocks[k]), int(home[rows].max()))):
+                        send(s, 1, rows[home[rows] > s])
+                c = list(zip(*out, strict=True))
+                cols = [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "kind", "nodes", "weights", "data"])
 
     return run
 
@@ -300,20 +306,19 @@ def _of_length(distinct: DataFrame, dims: int, n: int, dtype: str, least: float)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), pa.array(data, pa.binary())], ["node", "weight", "data"])
 
     vectors = distinct.select("node", "weight", "embedding").mapInArrow(packed, "node long, weight long, data binary")
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").collect()
+    wanted = max(1, min(CELLS, n // (SHARD // 2)))
+    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(512, 8 * wanted))).select("embedding").collect()
     x = np.array([r[0] for r in sample], np.float64)
-    skeleton = Skeleton(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), max(1, min(1024, n // (SHARD // 2))))
+    skeleton = Skeleton(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), wanted)
     shared = spark.sparkContext.broadcast({dims: skeleton})
     cells = stage(vectors.mapInArrow(_cells(shared, dims, dtype), "node long, weight long, data binary, cell int, far double"), "cells")
     stats = sorted((r["cell"], r["n"], r["far"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect())
-    shards, first = [], {}
-    for cell, count, far in stats:
-        blocks = -(-count // SHARD)
-        first[cell] = (len(shards), blocks)
-        shards += [(cell, far)] * blocks
-    table = spark.createDataFrame([(c, a, b) for c, (a, b) in first.items()], "cell int, first int, blocks int")
+    cell, count, far = (np.array(x) for x in zip(*stats, strict=True))
+    blocks = -(-count // SHARD)
+    first = np.cumsum(blocks) - blocks
+    table = spark.createDataFrame([(int(c), int(a), int(b)) for c, a, b in zip(cell, first, blocks, strict=True)], "cell int, first int, blocks int")
     dealt = cells.join(F.broadcast(table), "cell").select("node", "weight", "data", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("shard"))
-    plan = spark.sparkContext.broadcast((skeleton, np.array(shards, np.float64).reshape(-1, 2), float(np.sqrt(2 - 2 * least))))
+    plan = spark.sparkContext.broadcast((skeleton, cell, first, blocks, far, float(np.sqrt(2 - 2 * least))))
     rows = dealt.mapInArrow(_deal(plan, dims, dtype), "shard int, kind int, nodes binary, weights binary, data binary")
     return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dims, dtype, least), "a long, b long, n long")
 
