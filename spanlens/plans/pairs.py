@@ -148,7 +148,7 @@ def code_skipped(scores: DataFrame) -> DataFrame:
 def continuation_costs(examples: DataFrame, scorer, key: str, side: str, word: str, single: bool = True, max_tokens: int | None = None) -> DataFrame:
     """(key, side_logp, side_tokens, side_token_ids, side_num_tokens, side_problem): the word's cost after the prefix.
 
-    Problems in order: a token sticks out over other text on the left, the word has no token, not one token (if ``single``),
+    Problems in order: a token sticks out over other text on the left or right, the word has no token, not one token (if ``single``),
     a text over ``max_tokens``, and no context for its first token."""
     texts = examples.select(F.col(key).cast("string").alias("text_id"), F.concat("prefix", word).alias("text"), F.char_length("prefix").alias("_start"))
     tokens = scorer.score(texts.select("text_id", "text"))
@@ -156,14 +156,16 @@ def continuation_costs(examples: DataFrame, scorer, key: str, side: str, word: s
     spans = texts.select("text_id", "text", F.col("_start").alias("span_start"), F.char_length("text").alias("span_end"))
     hit = overlap_join(tokens, spans, ["text_id"], empty_tokens=True)
     sticks = (F.col("char_start") < F.col("span_start")) & F.substring(F.col("text"), F.col("char_start") + 1, F.col("span_start") - F.col("char_start")).rlike(r"(?U)[^\s\x1C-\x1F]")
+    over = (F.col("char_end") > F.col("span_end")) & F.substring(F.col("text"), F.col("span_end") + 1, F.col("char_end") - F.col("span_end")).rlike(r"(?U)[^\s\x1C-\x1F]")
     cost = finite(F.col("nll"))
     listed = F.array_sort(F.collect_list(F.struct("pos", "token", "token_id")))
     own = hit.groupBy("text_id").agg(
-        (-F.sum(cost)).alias("_logp"), F.count("*").cast("int").alias("_k"), F.min("pos").alias("_first"), F.max(sticks.cast("int")).alias("_sticks"), listed.alias("_list")
+        (-F.sum(cost)).alias("_logp"), F.count("*").cast("int").alias("_k"), F.min("pos").alias("_first"), F.max(sticks.cast("int")).alias("_sticks"), F.max(over.cast("int")).alias("_over"), listed.alias("_list")
     )
     own = texts.select("text_id").join(own, "text_id", "left").join(n, "text_id", "left")
     problem = first_reason(
         (F.col("_sticks") == 1, "token_crosses_left_nonspace"),
+        (F.col("_over") == 1, "token_crosses_right_nonspace"),
         (F.coalesce("_k", F.lit(0)) == 0, "no_continuation_tokens"),
         (F.lit(single) & (F.col("_k") != 1), "not_one_token"),
         (F.lit(max_tokens is not None) & (F.col("_n") > (max_tokens or 0)), "too_long"),
