@@ -6,8 +6,8 @@ finds how often to use each so that the histogram of remainders is met, and the
 numbered within their class and dealt to the combinations' slots in that order. What no combination takes is laid end to
 end and cut at the window; the last ids of such a lane go to sequences whose lengths are powers of two.
 
-The driver sees the histogram of length classes, never documents. Texts are tokenized once; only documents whose
-remainder was left over are tokenized again, when it is cut.
+The driver sees the histogram of length classes, never documents. Texts are tokenized once: the ids of remainders are kept,
+in two bytes each where the vocabulary allows, for those that are cut.
 
 Tokens: ids of the tokenizer file, strings of special tokens in a text counting as ordinary text, then ``END``. A word
 that was seen is looked up rather than tokenized again: the tokenizer drops white space and never joins across it.
@@ -19,6 +19,7 @@ doc_id stays null; an empty table gives an empty table. Only ``doc_id`` and ``te
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanlens.llm.shared import drop_staged, stage
+from spanlens.llm.shared import bound_arrow, stage
 from spanlens.llm.words import binary, small_batches
 
 LENGTH = 2048
@@ -35,38 +36,56 @@ STEP = 8
 END = 1
 CACHE = 400_000
 LANE = 1 << 20
+#: Rows of one length class that are numbered together.
+SHARD = 2000
 _TOKENIZERS: dict[str, WordIds] = {}
-ASCII_PIECE = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of these characters fall into pieces that are tokenized on their own: letters, single digits, the rest.
+SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordIds(dict):
     """Bytes of a word without white space to its ids as little-endian 32-bit numbers; forgets all when it holds ``CACHE`` words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts: dict[bytes, bytes] = {}
-
-    def encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, piece: bytes) -> bytes:
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = str.maketrans({c: byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        probe = "a thing 7 !? über çaé ñandú".split()
+        self.direct = all(self.of_model(x) == self.encode(x) for x in probe)
+
+    def encode(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of_model(self, piece: str) -> bytes:
+        """The ids of one lower-case piece by the merges alone, past the steps that would leave it as it is."""
+        ids = [t.id for t in self.model.tokenize(piece.translate(self.table))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, piece: str) -> bytes:
         out = self.parts.get(piece)
         if out is None:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
-            out = self.parts[piece] = self.encode(piece)
+            out = self.parts[piece] = self.of_model(piece) if self.direct else self.encode(piece)
         return out
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        if word.isascii() and b"'" not in word and b"<|" not in word:
-            out = b"".join(map(self.part, ASCII_PIECE.findall(word.lower())))
+        text = word.decode()
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            pieces = PIECE.findall(text.lower())
+            out = self.part(pieces[0]) if len(pieces) == 1 else b"".join(map(self.part, pieces))
         else:
-            out = self.encode(word)
+            out = self.encode(text)
         self[word] = out
         return out
 
@@ -84,16 +103,17 @@ def _pieces(path: str, length: int):
     def run(batches):
         t = tokenizer(path)
         for batch in small_batches(batches):
-            doc, start, size, crc, total = [], [], [], [], []
+            doc, start, size, crc, total, rest = [], [], [], [], [], []
             for i, text in enumerate(binary(batch.column("text"))):
                 ids = t.ids(text)
                 n = len(ids) // 4
                 for a in range(0, n, length):
                     b = min(n, a + length)
-                    doc.append(i), start.append(a), size.append(b - a), crc.append(zlib.crc32(ids[4 * a : 4 * b])), total.append(n)
-            at = pa.array(doc, pa.int64())
-            cols = [batch.column("key").take(at), batch.column("doc_id").take(at), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    own = ids[4 * a : 4 * b]
+                    doc.append(i), start.append(a), size.append(b - a), crc.append(zlib.crc32(own)), total.append(n)
+                    rest.append(None if b - a == length else np.frombuffer(own, "<u4").astype(t.kind).tobytes())
+            cols = [batch.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)), pa.array(rest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return run
 
@@ -161,16 +181,16 @@ def plan(have: np.ndarray, full: int) -> list[tuple[tuple[int, ...], int]]:
 
 
 def _cut(path: str, length: int):
-    """Leftover remainders with their place in a lane, to pieces cut at the ends of sequences."""
+    """Leftover remainders with their ids and their place in a lane, to pieces cut at the ends of sequences."""
 
     def run(batches):
-        t = tokenizer(path)
+        kind = tokenizer(path).kind
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                ids = t.ids(None if r["text"] is None else r["text"].encode())
+                ids = np.frombuffer(r["ids"], kind).astype("<u4").tobytes()
                 at, end, lane = r["before"], r["before"] + r["length"], r["lane_ids"]
-                start = r["start"]
+                base = start = r["start"]
                 while at < end:
                     full = lane // length * length
                     if at < full:
@@ -185,7 +205,7 @@ def _cut(path: str, length: int):
                             first, rest = first + size, rest - size
                         stop = first + size
                     n = min(end, stop) - at
-                    out.append((r["doc_id"], start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), r["doc_tokens"], r["lane"], first, at - first))
+                    out.append((r["doc_id"], start, n, zlib.crc32(ids[4 * (start - base) : 4 * (start - base + n)]), r["doc_tokens"], r["lane"], first, at - first))
                     start, at = start + n, at + n
             cols = list(zip(*out, strict=True)) or [[] for _ in range(8)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "lane", "first", "offset"]
@@ -196,14 +216,14 @@ def _cut(path: str, length: int):
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, step: int = STEP) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
+    bound_arrow(docs.sparkSession)
     full = length // step
-    key = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
-    texts = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     made = stage(texts.mapInArrow(_pieces(path, length), kind).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = made.where(F.col("length") == length).select(*columns[:5], (F.col("piece") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = made.where(F.col("length") < length).withColumn("class", F.ceil(F.col("length") / step).cast("int"))
+    short = made.where(F.col("length") < length).drop("ids").withColumn("class", F.ceil(F.col("length") / step).cast("int"))
     have = np.zeros(full + 1, np.int64)
     for r in short.groupBy("class").agg(F.count("*").alias("n")).collect():
         have[r["class"]] = r["n"]
@@ -216,7 +236,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, step: int = STEP) ->
             at[c] += n * m
         seq += n
     spark = docs.sparkSession
-    shards = max(1, int(have.sum()) // 50_000)
+    shards = max(1, int(have.max()) // SHARD)
     short = short.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("int"))
     counts = short.groupBy("class", "shard").agg(F.count("*").alias("n"))
     before = (F.sum("n").over(Window.partitionBy("class").orderBy("shard")) - F.col("n")).alias("before")
@@ -231,15 +251,15 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, step: int = STEP) ->
     )
     place = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     in_combo = in_combo.select(*columns[:6], F.coalesce(place, F.lit(0)).cast("long").alias("offset"))
-    left = dealt.where("c is null").select("key", *columns[:5], "piece")
+    left = dealt.where("c is null").select(*columns[:5], "piece")
     lanes = max(1, int(left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // LANE)
     left = left.withColumn("lane", F.pmod(F.xxhash64("piece", F.lit(5)), F.lit(lanes)))
     by = Window.partitionBy("lane")
     run = F.sum("length").over(by.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     left = left.select("*", F.coalesce(run, F.lit(0)).alias("before"), F.sum("length").over(by).alias("lane_ids"))
-    again = texts.select("key", "text").join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, lane long, first long, offset long"
-    cut = left.join(again, "key").select("text", "doc_id", "start", "length", "doc_tokens", "lane", "before", "lane_ids").mapInArrow(_cut(path, length), kind)
+    ids = made.where(F.col("length") < length).select("piece", "ids")
+    cut = left.join(ids, "piece").select("ids", "doc_id", "start", "length", "doc_tokens", "lane", "before", "lane_ids").mapInArrow(_cut(path, length), kind)
     in_lane = cut.select(*columns[:5], ((F.col("lane") * (4 * LANE) + F.col("first")) * 4 + 2).alias("sequence_id"), "offset")
     return whole.unionByName(in_combo).unionByName(in_lane)
 
