@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bucket_of
+from spanlens.llm.shared import bound_arrow, bucket_of
 from spanlens.llm.words import binary, small_batches
 
 FAMILIES = {
@@ -176,6 +176,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, train_docs: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs``, learned from ``train_docs``."""
+    bound_arrow(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(train_docs))
 
     def run(batches):

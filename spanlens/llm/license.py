@@ -22,6 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlens.llm.shared import bound_arrow
 from spanlens.llm.words import SPACE, Words, binary, mix, small_batches
 
 U = np.uint64
@@ -141,6 +142,7 @@ def scan(t: Templates, texts: list[bytes | None], least: float = LEAST) -> list[
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, matches) of every row: matches are structs of license, start, end (code points) and containment."""
+    bound_arrow(docs.sparkSession)
     t = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))
 
     def run(batches):

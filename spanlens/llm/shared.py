@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="spanlens-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
@@ -22,6 +25,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanlens/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_BYTES = 4 << 20
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Makes Spark hand texts to Python in batches of at most ``ARROW_BYTES``, unless the session has a smaller bound.
+
+    Spark's own bound is 64 MB, which each running task holds several times outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -3,9 +3,10 @@
 A batch of documents is cut into chunks of consecutive doc_ids. A chunk sends, to each bucket of fingerprints, its sorted
 distinct window fingerprints as one packed row. A bucket merge-joins them with the sorted immutable runs that earlier
 batches left and with the other chunks of the batch, and answers each chunk with one bit per fingerprint: whether the
-window also starts in an earlier document. A fingerprint has 48 bits and the bits that name its bucket; 16 of them come
-from an independent hash that verifies a match of the others. A batch then leaves its own sorted run, and ``compact``
-merges runs of one level into one of the next.
+window also starts in an earlier document. A fingerprint has 64 bits: 48 of one hash, of which the first name its bucket, and
+16 of an independent one that verifies a match of the others. Sorted fingerprints are stored as differences, of as many
+bytes as the largest one needs. A batch then leaves its own sorted run, and ``compact`` merges runs of one level into one
+of the next.
 
 Because a chunk sends a fingerprint once however often it occurs in it, a passage that a third of all documents share
 costs a bucket one entry a chunk. No row is made for a window.
@@ -26,25 +27,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlens.llm.shared import stage, text_bytes
-from spanlens.llm.words import Words, binary
+from spanlens.llm.shared import bound_arrow, stage, text_bytes
+from spanlens.llm.words import Words, binary, trim
 
 WINDOW = 13
 CHUNK_BYTES = 8 << 20
 MAX_CHUNKS = 8192
+BUCKET = 1 << 18
+MAX_BITS = 18
 U = np.uint64
-LOW = U((1 << 48) - 1)
 MESSAGE = "bucket int, chunk int, n int, data binary"
 HISTORY, RUN = -1, -2
 
 
 def pack(e: np.ndarray) -> bytes:
-    """Fingerprints within a bucket as 6 bytes each: the low 48 bits."""
-    return (e >> U(16)).astype("<u4").tobytes() + e.astype("<u2").tobytes()
+    """Sorted numbers as the width of a difference in bytes, and their differences."""
+    d = np.diff(e, prepend=U(0))
+    width = max(1, -(-int(d.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(n: int, data: bytes) -> np.ndarray:
-    return (np.frombuffer(data, "<u4", n).astype(U) << U(16)) | np.frombuffer(data, "<u2", n, 4 * n).astype(U)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, n * data[0], 1).reshape(n, data[0])
+    return np.cumsum(out.view("<u8").ravel(), dtype=U)
 
 
 class ChunkWindows:
@@ -56,51 +62,59 @@ class ChunkWindows:
         for k, (i, j) in enumerate(zip(self.order, self.order[1:], strict=False), 1):
             rank[k] = rank[k - 1] + (ids[i] != ids[j])
         self.words = Words([texts[i] for i in self.order])
-        h, self.at = self.words.windows(self.words.hashes(0), window, 0)
-        check, _ = self.words.windows(self.words.hashes(1), window, 1)
-        e = ((h >> U(32 - bits)) << U(16)) | (check >> U(48))
-        by = np.argsort(e, kind="stable")
-        self.entry = e[by]
+        self.window, self.shift = window, U(64 - bits)
+        self.low = U((1 << (64 - bits)) - 1)
+        e, self.at = self.words.windows(self.words.hashes(0), window, 0)
+        e &= U(0xFFFFFFFFFFFF0000)
+        e |= self.words.windows(self.words.hashes(1), window, 1)[0] >> U(48)
+        self.at = self.at.astype(np.int32)
+        by = np.argsort(e, kind="stable").astype(np.int32)
+        e = e[by]
         head = np.ones(len(by), bool)
-        head[1:] = self.entry[1:] != self.entry[:-1]
-        self.entry = self.entry[head]
-        self.group = np.empty(len(by), np.int64)
-        self.group[by] = np.cumsum(head) - 1
-        doc_rank = rank[self.words.doc[self.at]] if len(self.at) else np.empty(0, np.int64)
-        self.earlier_here = doc_rank > doc_rank[by[head]][self.group] if len(by) else np.empty(0, bool)
-        self.buckets = np.flatnonzero(np.concatenate([[True], (self.entry[1:] >> U(48)) != (self.entry[:-1] >> U(48))])) if len(self.entry) else np.empty(0, np.int64)
-        self.window = window
+        head[1:] = e[1:] != e[:-1]
+        self.entry = e[head]
+        del e
+        self.group = np.empty(len(by), np.int32)
+        self.group[by] = np.cumsum(head, dtype=np.int32) - 1
+        doc_rank = rank.astype(np.int32)[self.words.doc[self.at]]
+        self.earlier_here = doc_rank > doc_rank[by[head]][self.group]
+        del by, head, doc_rank
+        bucket = self.bucket(self.entry)
+        self.edges = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)] if len(bucket) else [0]
+
+    def bucket(self, e: np.ndarray) -> np.ndarray:
+        return (e >> self.shift).astype(np.int32) if self.shift < 64 else np.zeros(len(e), np.int32)
 
     def messages(self, chunk: int) -> pa.Table:
-        ends = [*self.buckets[1:].tolist(), len(self.entry)]
-        parts = [self.entry[a:b] for a, b in zip(self.buckets.tolist(), ends, strict=False)] if len(self.entry) else []
+        parts = [self.entry[a:b] for a, b in zip(self.edges, self.edges[1:], strict=False)]
         return pa.table(
             {
-                "bucket": pa.array([int(p[0] >> U(48)) for p in parts], pa.int32()),
+                "bucket": pa.array(self.bucket(self.entry[self.edges[:-1]]), pa.int32()),
                 "chunk": pa.array([chunk] * len(parts), pa.int32()),
                 "n": pa.array([len(p) for p in parts], pa.int32()),
-                "data": pa.array([pack(p & LOW) for p in parts], pa.binary()),
+                "data": pa.array([pack(p & self.low) for p in parts], pa.binary()),
             }
         )
 
     def removed(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each word, whether a window that also starts in an earlier document covers it."""
         known = np.zeros(len(self.entry), bool)
-        ends = [*self.buckets[1:].tolist(), len(self.entry)]
-        for a, b in zip(self.buckets.tolist(), ends, strict=False):
-            bits = replies.get(int(self.entry[a] >> U(48)))
+        for k, a, b in zip(self.bucket(self.entry[self.edges[:-1]]).tolist(), self.edges, self.edges[1:], strict=False):
+            bits = replies.get(k)
             if bits is not None:
                 known[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        hit = self.at[self.earlier_here | known[self.group]] if len(self.at) else self.at
+        hit = self.at[self.earlier_here | known[self.group]]
         cover = np.zeros(len(self.words.doc) + 1, np.int32)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + self.window, -1)
-        return np.cumsum(cover[:-1]) > 0
+        cover[hit] += 1  # no window starts twice at a word
+        cover[hit + self.window] -= 1
+        return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
 def _send(window: int, bits: int):
     def run(key, table):
-        return ChunkWindows(table.column("id").to_pylist(), binary(table.column("text")), window, bits).messages(key[0].as_py())
+        out = ChunkWindows(table.column("id").to_pylist(), binary(table.column("text")), window, bits).messages(key[0].as_py())
+        trim()
+        return out
 
     return run
 
@@ -159,6 +173,8 @@ def _finish(window: int, bits: int, schema: pa.Schema):
             kept.append(b" ".join(words))
         rest = left.column("rest").combine_chunks().take(pa.array(c.order, pa.int64())) if len(ids) else left.column("rest").combine_chunks()
         text = left.column("text").combine_chunks().take(pa.array(c.order, pa.int64()))
+        del c, gone
+        trim()
         cols = [rest, text, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, schema.field("removed").type)]
         return pa.table(cols, names=schema.names)
 
@@ -172,14 +188,15 @@ class WindowIndex:
     """Runs of window fingerprints of the documents seen so far; ``add`` deduplicates a batch against them and itself."""
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, bits: int = 11, fanout: int = 4):
-        """``bits``: the index has 2**bits buckets, 16 at most."""
-        self.spark, self.window, self.bits, self.fanout = spark, window, min(16, max(0, bits)), fanout
+        """``bits``: the index has 2**bits buckets, 2**``MAX_BITS`` at most."""
+        self.spark, self.window, self.bits, self.fanout = spark, window, min(MAX_BITS, max(0, bits)), fanout
         self.runs: list[tuple[int, DataFrame]] = []
 
     def add(self, docs: DataFrame, bounds: list[int], append: bool = True) -> DataFrame:
         """One row per row of ``docs``: rest (struct of its other columns), text, n_words, n_removed, kept_text, removed (word spans).
 
         ``bounds`` cut the batch into chunks by doc_id. With ``append``, the batch leaves its run for later batches."""
+        bound_arrow(self.spark)
         rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
         dealt = docs.select(chunk_of(F.col("doc_id").cast("long"), bounds).alias("chunk"), F.col("doc_id").cast("long").alias("id"), "text", rest.alias("rest"))
         rows = dealt.groupBy("chunk").applyInArrow(_send(self.window, self.bits), MESSAGE)
@@ -235,7 +252,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: float = 0.25,
     """Deduplicates a whole table in batches of rising doc_id: a first share of the rows, then the rest in batches of at most ``MAX_CHUNKS`` chunks."""
     total = text_bytes(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))
-    bits = max(0, math.ceil(math.log2(max(1, total / 6 / 65536))))
+    bits = max(0, math.ceil(math.log2(max(1, total / 6 / BUCKET))))
     index = WindowIndex(docs.sparkSession, window, bits)
     cuts = quantiles(docs, max(round(1 / first), math.ceil(chunks / MAX_CHUNKS)))
     if len(cuts) + 1 == round(1 / first):

@@ -5,8 +5,9 @@ score is 1 - prod(1 - sentence score). Weights are trained by gradient descent o
 at the sentences that make a document toxic. Only features whose share of toxic documents differs from the overall share by
 ``DEVIATIONS`` standard deviations get a weight: what a few documents happen to share would otherwise be learned by heart.
 
-Training takes at most about ``per_class`` labelled documents of each class, chosen by a hash of doc_id; their features,
-not their texts, go to the driver. Scoring reads every whole text.
+Training takes at most about ``per_class`` labelled documents of each class, chosen by a hash of doc_id. Features are
+counted on the executors; the telling features of those documents, not their texts, go to the driver. Scoring reads every
+whole text.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both classes every score is 0;
 labels that are null are ignored, and where a doc_id has several labels, the largest counts; rows of a repeated doc_id
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bucket_of
+from spanlens.llm.shared import bound_arrow, bucket_of, stage
 from spanlens.llm.words import SPACE, Words, binary, hash_spans, small_batches
 
 BITS = 20
@@ -49,7 +50,7 @@ class Sentences:
         new = np.ones(len(mark), bool)
         new[1:] = (mark[1:] != mark[:-1]) | (w.doc[1:] != w.doc[:-1])
         self.of_word = np.cumsum(new) - 1
-        self.doc = w.doc[new]
+        self.doc = w.doc[new].astype(np.int64)
         self.start = w.starts[new]
         self.end = w.ends[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(mark) - 1]])] if len(mark) else np.empty(0, np.int64)
         hashes, of_word = [w.hashes()], [self.of_word]
@@ -62,18 +63,39 @@ class Sentences:
         self.sentence, self.feature = pair // DIMS, pair % DIMS
 
 
-def _features(batches):
+def _counted(batches):
+    """In how many documents of either label each feature is, by slice of the input."""
     for batch in small_batches(batches):
         s = Sentences(binary(batch.column("text")))
-        edge = np.searchsorted(s.doc[s.sentence] if len(s.sentence) else s.doc, np.arange(batch.num_rows + 1))
-        first = np.searchsorted(s.doc, np.arange(batch.num_rows))
-        lists = [(s.sentence[a:b] - f, s.feature[a:b]) for a, b, f in zip(edge, edge[1:], first, strict=False)]
-        cols = [batch.column("label"), *(pa.array([x[i].astype(np.int32) for x in lists], pa.list_(pa.int32())) for i in (0, 1))]
-        yield pa.RecordBatch.from_arrays(cols, ["label", "sentence", "feature"])
+        toxic = batch.column("label").to_numpy() > 0
+        pair = np.unique(s.doc[s.sentence] * DIMS + s.feature) if len(s.sentence) else np.empty(0, np.int64)
+        feature, yes = pair % DIMS, toxic[pair // DIMS].astype(np.float64)
+        own, at = np.unique(feature, return_inverse=True)
+        n, hit = np.bincount(at, minlength=len(own)), np.bincount(at, yes, len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64))], ["feature", "n", "toxic"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """About ``per_class`` documents of each label, chosen by a hash of doc_id; all of them where there are fewer."""
+def _packed(telling):
+    """Documents as their number of sentences and the telling features in them, by their place in ``telling``."""
+
+    def run(batches):
+        known = telling.value
+        for batch in small_batches(batches):
+            s = Sentences(binary(batch.column("text")))
+            at = np.minimum(np.searchsorted(known, s.feature), len(known) - 1)
+            on = known[at] == s.feature
+            sentence, feature = s.sentence[on], at[on].astype(np.int32)
+            doc = s.doc[sentence] if len(sentence) else sentence
+            edge, first = np.searchsorted(doc, np.arange(batch.num_rows + 1)), np.searchsorted(s.doc, np.arange(batch.num_rows + 1))
+            parts = [((sentence[a:b] - f).astype(np.int32).tobytes(), feature[a:b].tobytes()) for a, b, f in zip(edge, edge[1:], first, strict=False)]
+            cols = [batch.column("label"), pa.array(np.diff(first).astype(np.int32)), *(pa.array([x[i] for x in parts], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, ["label", "sentences", "sentence", "feature"])
+
+    return run
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """About ``per_class`` documents of each label, chosen by a hash of doc_id, all of them where there are fewer; and the counts of labels."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
     share = F.lit(0.0)
@@ -85,63 +107,57 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[np.ndarray, float] | None:
     """Weights and bias, or None where there are not labels of both classes."""
+    spark = docs.sparkSession
+    bound_arrow(spark)
     rows, n = sample(docs, labels, per_class)
-    got = sorted(((r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in _packed(rows)), key=lambda x: (x[0], len(x[2]), x[2][:8].tolist()))
-    y = np.array([x[0] for x in got], np.float64)
-    if not len(y) or y.min() == y.max():
+    rows = stage(rows, "labelled")
+    count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not count.get(0) or not count.get(1):
         return None
-    count = np.bincount(y.astype(int), minlength=2)
-    heavy = min(5.0, max(1.0, (n[0] / n[1]) / (count[0] / count[1])))
-    keep = _telling(got, count[1] / len(y))
-    got = [(x[0], x[1][on], x[2][on], int(x[1].max(initial=-1)) + 1) for x in got for on in (keep[x[2]],)]
-    w, b = np.zeros(DIMS), -4.0
-    square, square_b = np.full(DIMS, 1e-2), 1e-2
+    share = count[1] / (count[0] + count[1])
+    seen = rows.mapInArrow(_counted, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    deviation = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    telling = np.array(sorted(r["feature"] for r in seen.where((F.col("n") >= LEAST_DOCS) & (deviation >= DEVIATIONS)).select("feature").collect()), np.int64)
+    weight = np.zeros(DIMS, np.float32)
+    if not len(telling):
+        return weight, -30.0
+    got = rows.mapInArrow(_packed(spark.sparkContext.broadcast(telling)), "label int, sentences int, sentence binary, feature binary").collect()
+    w, b = _fit(sorted(tuple(r) for r in got), len(telling), n[0] / n[1], epochs)
+    weight[telling] = w
+    return weight, b
+
+
+def _fit(rows: list[tuple[int, int, bytes, bytes]], dims: int, ratio: float, epochs: int) -> tuple[np.ndarray, float]:
+    """Adaptive gradient steps on the cross-entropy of noisy-or; ``ratio``: documents of label 0 for each of label 1."""
+    got = [(x[1], np.frombuffer(x[2], np.int32), np.frombuffer(x[3], np.int32)) for x in rows]
+    y = np.array([x[0] for x in rows], np.float64)
+    heavy = min(5.0, max(1.0, ratio * y.sum() / (1 - y).sum()))
+    w, b = np.zeros(dims), -4.0
+    square, square_b = np.full(dims, 1e-2), 1e-2
     order = np.random.Generator(np.random.PCG64(11))
     for _ in range(epochs):
         by = order.permutation(len(y))
         for a in range(0, len(by), 64):
             own = by[a : a + 64]
-            size = [got[i][3] for i in own]
+            size = [got[i][0] for i in own]
             base = np.concatenate([[0], np.cumsum(size)])
             if not base[-1]:
                 continue
             s = np.concatenate([got[i][1] + base[k] for k, i in enumerate(own)]).astype(np.int64)
             f = np.concatenate([got[i][2] for i in own])
             doc = np.repeat(np.arange(len(own)), size)
-            z = b + np.bincount(s, w[f], base[-1])
+            z = b + (np.bincount(s, w[f], base[-1]) if len(f) else 0.0) * np.ones(base[-1])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(own)))
             t, cost = y[own], np.where(y[own] > 0, 1.0, heavy)
-            pull = np.where(t > 0, -none / np.maximum(1 - none, 1e-6), 1.0) * cost
-            g = pull[doc] * p
-            gw = np.bincount(f, g[s], DIMS) if len(f) else np.zeros(DIMS)
-            hit = np.flatnonzero(gw)
-            gw = gw[hit]
-            square[hit] += gw * gw
-            w[hit] -= 0.3 * gw / np.sqrt(square[hit])
+            g = (np.where(t > 0, -none / np.maximum(1 - none, 1e-6), 1.0) * cost)[doc] * p
+            gw = np.bincount(f, g[s], dims) if len(f) else np.zeros(dims)
+            square += gw * gw
+            w -= 0.3 * gw / np.sqrt(square)
             gb = g.sum()
             square_b += gb * gb
             b -= 0.3 * gb / np.sqrt(square_b)
-    return w.astype(np.float32), float(b)
-
-
-def _telling(got: list[tuple], share: float) -> np.ndarray:
-    """Features in ``LEAST_DOCS`` documents or more whose share of toxic ones is far enough from ``share``."""
-    seen = [np.zeros(DIMS), np.zeros(DIMS)]
-    for x in got:
-        seen[x[0]][np.unique(x[2])] += 1
-    n = seen[0] + seen[1]
-    deviation = (seen[1] - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    return (n >= LEAST_DOCS) & (np.abs(deviation) >= DEVIATIONS)
-
-
-def _packed(rows: DataFrame):
-    def pack(batches):
-        for batch in _features(batches):
-            cols = [pa.array([np.asarray(x.values, np.int32).tobytes() for x in batch.column(i)], pa.binary()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["label", "sentence", "feature"])
-
-    return rows.mapInArrow(pack, "label int, sentence binary, feature binary").collect()
+    return w, float(b)
 
 
 def _scores(model, least: float):

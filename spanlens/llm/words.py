@@ -7,6 +7,7 @@ read off prefix sums, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+SLICE = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,6 +26,20 @@ BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64 - 1, size=(2, 2
 FACTOR = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED0D)
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB go back to the system as soon as they are freed
+except OSError:
+    _LIBC = None
+
+
+def trim() -> None:
+    """Gives free memory back to the system: a Python worker outlives its tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, U)
     done = 1
@@ -106,7 +122,7 @@ class Words:
         self.starts, self.ends = spans_of(self.raw, space)
         self.first = np.searchsorted(self.starts, self.offset)
         self.n = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(parts)), self.n)
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.n)
 
     def hashes(self, which: int = 0) -> np.ndarray:
         return hash_spans(self.raw, self.starts, self.ends, which)
@@ -126,7 +142,7 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2 * BLOCK, text: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = SLICE, text: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text") if text is None else text), 0), np.int64)
@@ -136,3 +152,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2 * BLOCK, tex
             b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    trim()

@@ -170,3 +170,16 @@ def test_suffix_tree_defined_results(spark, clashing, odd_rows, no_docs):
 def test_grams_cover_every_text():
     f, first = language.grams(pa.array(["abc", "", None, "é"]))
     assert len(first) == 4 and (np.diff(np.append(first, len(f))) > 0).all()
+
+
+def test_features_of_many_short_texts(spark):
+    """Documents and features are told apart in slices of thousands of short texts."""
+    rows = [(i, "bad egg" if i % 50 == 0 else f"fine day {i % 3}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    counted = docs.join(labels, "doc_id").selectExpr("toxic as label", "text").coalesce(1).mapInArrow(toxicity._counted, "feature int, n long, toxic long")
+    n = {r["feature"]: (r["n"], r["toxic"]) for r in counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect()}
+    of = lambda w: n[int(toxicity.Sentences([w.encode()]).feature[0])]
+    assert of("bad") == of("egg") == (180, 180) and of("fine") == of("day") == (8820, 0)
+    out = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert all((out[i] >= 0.7) == (i % 50 == 0) for i, _ in rows)
