@@ -34,10 +34,10 @@ from spanlens.llm.words import binary, small_batches
 LENGTH = 2048
 STEP = 8
 END = 1
-CACHE = 400_000
+CACHE = 200_000
 LANE = 1 << 20
 #: Rows of one length class that are numbered together.
-SHARD = 2000
+SHARD = 500
 _TOKENIZERS: dict[str, WordIds] = {}
 #: Words of these characters fall into pieces that are tokenized on their own: letters, single digits, the rest.
 SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")

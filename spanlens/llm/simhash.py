@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.components import components, stars
-from spanlens.llm.shared import stage
+from spanlens.llm.shared import bound_arrow, stage
 from spanlens.llm.words import Words, binary, small_batches
 
 SHINGLE = 3
@@ -94,16 +94,19 @@ class BKTree:
         return found
 
     def within_all(self, queries: np.ndarray, radius: int, near) -> None:
-        """Searches for many values at once; ``near(value, values)`` gets what lies within the radius of each node."""
-        todo = [(0, np.arange(len(queries)))] if self.value else []
+        """Searches for many values at once; ``near(value, values)`` gets what lies within the radius of each node.
+
+        Values are sifted for a child when its turn comes, so that what is held follows the depth of the tree."""
+        todo = [(0, 0, np.arange(len(queries), dtype=np.int32), np.zeros(len(queries), np.int8))] if self.value else []
         while todo:
-            at, live = todo.pop()
+            at, edge, live, far = todo.pop()
+            live = live[np.abs(far - edge) <= radius]
+            if not live.size:
+                continue
             d = np.bitwise_count(queries[live] ^ np.uint64(self.value[at])).astype(np.int8)
             if (hit := live[d <= radius]).size:
                 near(self.value[at], queries[hit])
-            for k, c in self.child[at].items():
-                if (go := live[np.abs(d - k) <= radius]).size:
-                    todo.append((c, go))
+            todo += [(c, k, live, d) for k, c in self.child[at].items()]
 
 
 def links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             others = others[others > np.uint64(value)]
             kept.append((np.full(len(others), value, np.uint64), others))
             held += len(others)
-            if held > 1_000_000:  # what is found is kept as stars, so that memory follows the values
+            if held > 200_000:  # what is found is kept as stars, so that memory follows the values
                 kept = [stars(np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept]))]
                 held = len(kept[0][0])
 
@@ -182,9 +185,11 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot: int = 20_000) -
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, hot: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
+    bound_arrow(docs.sparkSession)
     prints = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    root = components(fingerprint_links(reps.select("fp"), radius, hot)).withColumnRenamed("node", "fp")
+    edges = stage(fingerprint_links(reps.select("fp"), radius, hot), "links")  # else a task would hold two Python workers
+    root = components(edges).withColumnRenamed("node", "fp")
     rooted = reps.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
