@@ -34,7 +34,7 @@ from spanlens.llm.words import binary, small_batches
 LENGTH = 2048
 STEP = 8
 END = 1
-CACHE = 200_000
+CACHE = 400_000
 LANE = 1 << 20
 #: Rows of one length class that are numbered together.
 SHARD = 500
