@@ -9,7 +9,8 @@ from spanlens.functions.text import let, lines, occurrences, unique_occurrence
 
 
 def _found(start: Column, size: Column, mode: str) -> Column:
-    return F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end"), F.lit(mode).alias("mode")))
+    found = lambda x: F.when(x.isNotNull(), F.struct(x.cast("int").alias("start"), (x + size).cast("int").alias("end"), F.lit(mode).alias("mode")))
+    return let(start, found)
 
 
 def nearest(starts: Column, preferred: Column) -> Column:

@@ -96,10 +96,11 @@ def code_scores(rows: DataFrame, scorer, key: str = "row_id", skip_token_count_m
             "_c": F.when(F.col("_early").isNull(), locate_span(other, F.col("_cf_span"), at("counterfactual_line"), **hints)),
         }
     )
-    located = located.withColumn("_early", F.coalesce("_early", first_reason((F.col("_early").isNull() & (F.col("_o.start").isNull() | F.col("_c.start").isNull()), "could_not_locate_span"))))
     side = lambda n, c, text: F.struct(F.lit(n).alias("side"), text.alias("text"), F.col(f"{c}.start").alias("span_start"), F.col(f"{c}.end").alias("span_end"))
     keep = [key, *(c for c in ("name", "variant_id", "fix_span", "solution_line", "mutation_type", "solution", "buggy_line", "counterfactual_line", "original_buggy_program", "counterfactual_buggy_program") if c in rows.columns)]
     located = staged(located.select(*keep, "_span", "_cf_span", "_o", "_c", "_early"), "located-spans")
+    lost = F.col("_early").isNull() & (F.col("_o.start").isNull() | F.col("_c.start").isNull())
+    located = located.withColumn("_early", F.coalesce("_early", first_reason((lost, "could_not_locate_span"))))
     sides = located.where("_early is null").select(key, F.explode(F.array(side("orig", "_o", program), side("cf", "_c", other))).alias("s")).select(key, "s.*")
     joined = _scored_spans(sides.select(key, "side", "text"), sides.select(key, "side", "span_start", "span_end"), scorer, [key, "side"])
     costs = span_costs(joined, [key, "side"], token_lists=True)
