@@ -1,15 +1,19 @@
 """Scoring by a probabilistic suffix tree over words: contexts of varying length, kept where they change what comes next.
 
 A pass over the training texts counts tokens, and a further pass for each length of context, up to ``DEPTH``, what follows
-the contexts of that length. A context is considered if it makes up at least ``CONTEXT_SHARE`` of the training tokens (so
-there are at most 1 / CONTEXT_SHARE of one length), and kept if its next-symbol distribution diverges from that of its
-suffix: count times Kullback-Leibler divergence, in nats, at least ``DIVERGENCE``. Growth ends where no context is left. A state's distribution is smoothed with that of its suffix by the number of symbols that
-follow it (Witten and Bell) and what has no entry, down to the base distribution of single tokens; it adds up to one over the vocabulary and
-one unknown symbol. A position is scored by the longest kept suffix of the words before it.
+the contexts of that length. Whatever occurs ``LEAST`` times is counted, in a corpus of any size. A context is kept if its
+next-symbol distribution diverges from that of its suffix: count times Kullback-Leibler divergence, in nats, at least
+``DIVERGENCE``. Growth ends where no context is left. A state's distribution is smoothed with that of its suffix by the number
+of symbols that follow it (Witten and Bell) and what has no entry, down to the base distribution of single tokens; it adds up
+to one over the vocabulary and one unknown symbol. A position is scored by the longest kept suffix of the words before it.
 
-Symbols that are at least ``SYMBOL_SHARE`` of the tokens are broadcast (at most 1 / SYMBOL_SHARE, whatever the corpus);
-rarer ones have no entry in the tree, and their base counts are joined by a shuffle. Counts cover all training texts;
-they are pre-aggregated per slice of the input and summed by Spark. Symbols are told apart by 64-bit hashes.
+Counts and tree are written tables. A kept context multiplies what follows it by a factor, and an entry by a further one, so
+a text's score is a sum over its runs of words (grams) of what the tables have for each, and a join on the gram finds it. Two
+things of fixed size are broadcast, and save work without any effect on results: the ``HOT`` most frequent grams, looked up
+where the texts are read, and a Bloom filter of the others, which drops most grams that no table has.
+
+Counts cover all training texts; they are pre-aggregated per slice of the input and summed by Spark. Symbols and grams are
+told apart by 64-bit hashes. ``train`` and ``Tree`` are the same model held by the driver, for small tables.
 
 Defined results: null and empty texts are the end token alone; without training documents the base has N = V = 0, every
 token is unknown and its probability is one; rows of a repeated doc_id each get their row; a null doc_id stays null and
@@ -23,17 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bound_arrow, bucket_of, stage
-from spanlens.llm.words import Words, binary, small_batches
+from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, stage
+from spanlens.llm.words import Words, binary, mix, small_batches
 
 U = np.uint64
-SYMBOL_SHARE = 5e-7
-CONTEXT_SHARE = 2e-6
-ENTRY_SHARE = 2e-7
 LEAST = 3
 DIVERGENCE = 3.0
 DEPTH = 3
 FLUSH = 4_000_000
+HOT = 2_000_000
+FILTER_BITS = 28
 #: The end of a text; no word's hash is set aside for it, but one of 2**64 values is.
 END = U(0)
 
@@ -88,13 +91,13 @@ def counts(texts: DataFrame, keys_of) -> DataFrame:
 
 
 class Symbols:
-    """The frequent symbols: sorted hashes and their counts."""
+    """The symbols of the tree: sorted hashes and their counts."""
 
     def __init__(self, hashes: np.ndarray, n: np.ndarray):
         self.hash, self.n = hashes, n
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        """Positions of hashes; -1 for what is not among the frequent."""
+        """Positions of hashes; -1 for what is not among them."""
         if not len(self.hash):
             return np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
@@ -232,71 +235,231 @@ def _arrays(df: DataFrame, columns: int = 2) -> list[np.ndarray]:
     return [x[order] for x in out]
 
 
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size, sorted by the first as unsigned numbers."""
+    table = df.toArrow()
+    out = [np.asarray(c.combine_chunks()) for c in table.columns]
+    order = np.argsort(out[0].view(U), kind="stable")
+    return [x[order] for x in out]
+
+
 def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (key, n) of all token counts."""
+    """The tree in the driver's memory, and the table (key, n) of all token counts."""
     spark = texts.sparkSession
     bound_arrow(spark)
     single = stage(counts(texts, lambda t: _tokens(t)[0]), "token-counts")
     total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    key, n = _arrays(single.where(F.col("n") >= max(LEAST, int(total * SYMBOL_SHARE))))
+    key, n = _arrays(single.where(F.col("n") >= LEAST))
     symbols = Symbols(key.view(U), n)
     tree = Tree(symbols, total, distinct)
-    least, often = max(LEAST, int(total * ENTRY_SHARE)), max(LEAST, total * CONTEXT_SHARE)
     seen = symbols.n
     for length in range(1, depth + 1):
         shared = spark.sparkContext.broadcast((symbols, tree.contexts))
-        key, n = _arrays(stage(counts(texts, _entries(shared)).where(F.col("n") >= least), f"following-{length}"))
-        on = (seen >= often)[key >> 32]
-        tree.grow(seen, key[on], n[on])
-        on = n >= often
-        if not on.any() or length == depth:
+        key, n = _arrays(stage(counts(texts, _entries(shared)).where(F.col("n") >= LEAST), f"following-{length}"))
+        tree.grow(seen, key, n)
+        if not len(key) or length == depth:
             break
-        tree.number(key[on])
-        seen = n[on]
+        tree.number(key)
+        seen = n
     return tree.slim(), single
 
 
-def _score(shared):
+def _lean(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, with the shuffle files of the write deleted at its end rather than when the driver collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.unset(key) if own is None else conf.set(key, own)
+
+
+def pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of a gram from those of the grams without its last and without its first word."""
+    return mix(context * U(0x9E3779B97F4A7C15) + suffix)
+
+
+class Filter:
+    """A Bloom filter of ``FILTER_BITS`` address bits over keys; the fuller it is, the less it drops."""
+
+    def __init__(self, keys: DataFrame):
+        self.shift = 64 - FILTER_BITS
+        words = keys.select(F.shiftrightunsigned("key", self.shift + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {self.shift}) & 63 as int))").alias("bit"))
+        words = _lean(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+        at, bits = _arrays(words)
+        drop_staged(words)
+        self.words = np.zeros(1 << (FILTER_BITS - 6), U)
+        self.words[at] = bits.view(U)
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        place = key >> U(self.shift)
+        return (self.words[place >> U(6)] >> (place & U(63))) & U(1) == 1
+
+
+def grams(h: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of ``length`` tokens that end at each position, and where such a run lies in one text."""
+    key, on = h, np.ones(len(h), bool)
+    for k in range(1, length):
+        key = np.concatenate([key[:1], pair(key[:-1], key[1:])])
+        on = np.concatenate([np.zeros(min(k, len(h)), bool), doc[k:] == doc[:-k]])
+    return key, on
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    key, context, suffix, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return key, context[first], suffix[first], np.bincount(at, n, len(key)).astype(np.int64)
+
+
+def _following(shared, length: int):
+    """Counts of the grams one longer than ``length`` over slices of bounded size, as rows (context, suffix, n)."""
+
+    def rows_of(context, suffix, n):
+        return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(n)], ["context", "suffix", "n"])
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for batch in small_batches(batches):
+            h, doc = _tokens(binary(batch.column("text")))
+            key, on = grams(h, doc, length)
+            if length > 1:
+                on &= shared.value.has(key)
+            both = np.flatnonzero(on[:-1] & on[1:] & (doc[:-1] == doc[1:]))
+            context, suffix = key[both], key[both + 1]
+            held.append(_merged([(pair(context, suffix), context, suffix, np.ones(len(both), np.int64))]))
+            rows += len(held[-1][0])
+            if rows > FLUSH:
+                held = [_merged(held)]
+                rows = len(held[0][0])
+                if rows > FLUSH // 2:
+                    yield rows_of(*held[0][1:])
+                    held, rows = [], 0
+        if held:
+            yield rows_of(*_merged(held)[1:])
+
+    return run
+
+
+def _keyed(batches):
+    for batch in batches:
+        context, suffix = (batch.column(i).to_numpy().view(U) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(pair(context, suffix).view(np.int64)), *batch.columns], ["key", "context", "suffix", "n"])
+
+
+def grow(counted: DataFrame, shorter: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """From the counts after contexts of one length and the grams (key, n, p) of that length: the grams one longer, with the
+    gain of those that are entries of a kept context, and the kept contexts (key, n, gain)."""
+    suffix = shorter.select(F.col("key").alias("suffix"), F.col("p").alias("shorter"))
+    entries = _lean(counted.join(suffix, "suffix").select("key", "context", "n", "shorter"), f"entries-{length}")
+    drop_staged(counted)
+    sums = entries.groupBy("context").agg(
+        F.sum("n").alias("sum"), F.count("*").alias("kinds"), F.sum("shorter").alias("covered"), F.sum(F.col("n") * F.log(F.col("n") / F.col("shorter"))).alias("own")
+    )
+    both = sums.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context").withColumn("total", F.least("sum", "seen"))
+    rest, other = F.col("seen") - F.col("total"), F.greatest(1 - F.col("covered"), F.lit(1e-12))
+    divergence = F.col("own") - F.col("sum") * F.log("seen") + F.when(rest > 0, rest * F.log(rest / F.col("seen") / other)).otherwise(0.0)
+    kept = both.where(divergence >= DIVERGENCE).select("context", "seen", "total", (rest + F.col("kinds")).alias("weight"))
+    kept = _lean(kept, f"contexts-{length}")
+    away = F.col("weight") * F.col("shorter")
+    joined = entries.join(kept, "context", "left").select(
+        "key", "n", F.when(F.col("total").isNull(), F.col("shorter")).otherwise((F.col("n") + away) / (F.col("total") + F.col("weight"))).alias("p"),
+        F.log10(1 + F.col("n") / away).alias("gain"),
+    )
+    back = kept.select(F.col("context").alias("key"), F.col("seen").alias("n"), F.log10(F.col("weight") / (F.col("total") + F.col("weight"))).alias("gain"))
+    out = _lean(joined, f"grams-{length + 1}")
+    drop_staged(entries)
+    return out, back
+
+
+def tables(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
+    """The model: rows (key, n, base, known, gain) of grams, the training tokens, and how many are distinct.
+
+    ``base`` is log10 of a token's base probability over that of an unknown one, ``gain`` what the gram adds to a score."""
+    spark = texts.sparkSession
+    bound_arrow(spark)
+    single = _lean(counts(texts, lambda t: _tokens(t)[0]), "token-counts")
+    total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    grown = single.where(F.col("n") >= LEAST).select("key", "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
+    parts = [single.select("key", "n", F.log10((F.col("n") + 0.5) / 0.5).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("gain"))]
+    for length in range(1, depth + 1):
+        shared = spark.sparkContext.broadcast(Filter(grown.select("key")) if length > 1 else None)
+        found = texts.select("text").mapInArrow(_following(shared, length), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+        counted = _lean(found.where(F.col("n") >= LEAST).mapInArrow(_keyed, "key long, context long, suffix long, n long"), f"following-{length}")
+        if counted.isEmpty():
+            break
+        grown, back = grow(counted, grown, length)
+        for x in (grown.where("gain is not null").select("key", "n", "gain"), back):
+            parts.append(x.select("key", "n", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "gain"))
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    rows = rows.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("gain").alias("gain"))
+    return _lean(rows, "model"), total, distinct
+
+
+def _hot(model: DataFrame) -> tuple[DataFrame, int]:
+    """The most frequent grams, at most ``HOT``, and the count from which on a gram is one of them."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    least, taken = 1 << 62, 0
+    for r in sorted(model.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect(), reverse=True):
+        taken += r["rows"]
+        if taken > HOT:
+            break
+        least = r["least"]
+    return model.where(F.col("n") >= least), least
+
+
+def _score(shared, depth: int):
     def run(batches):
-        tree: Tree = shared.value
+        hot, base, known, gain, any_of = shared.value
         for batch in small_batches(batches):
             h, doc = _tokens(binary(batch.column("text")))
-            gain, known = tree.log10(h, doc)
             n = batch.num_rows
-            sym = tree.symbols.of(h)
-            base = np.where(known, np.log10(tree.base(tree.symbols.n[sym] if len(tree.symbols.n) else np.zeros(len(sym)))), 0.0)
-            rare = h[~known].view(np.int64)
-            edge = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=n))]).astype(np.int32)
+            sums = [np.zeros(n) for _ in range(3)]
+            rare, of = [], []
+            for length in range(1, depth + 2):
+                key, on = grams(h, doc, length)
+                on &= any_of.has(key)
+                key, d = key[on], doc[on]
+                one, back = np.unique(key, return_inverse=True)
+                at = lookup(hot, one)[back]
+                for total, values in zip(sums, (base, known, gain), strict=True):
+                    total += np.bincount(d[at >= 0], values[at[at >= 0]], n)
+                rare.append(key[at < 0])
+                of.append(d[at < 0])
+            rare, of = np.concatenate(rare), np.concatenate(of)
+            edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
             cols = [
                 batch.column("doc_id"),
                 pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
-                pa.array(np.bincount(doc[known], minlength=n).astype(np.int64)),
-                pa.array(np.bincount(doc, base, n)),
-                pa.array(np.bincount(doc, gain, n)),
-                pa.ListArray.from_arrays(pa.array(edge), pa.array(rare)),
+                *(pa.array(x) for x in sums),
+                pa.ListArray.from_arrays(pa.array(edge), pa.array(rare[np.argsort(of, kind="stable")].view(np.int64))),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_common", "common_base", "gain", "rare"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "hot_base", "hot_known", "hot_gain", "rare"])
 
     return run
 
 
-def score(docs: DataFrame, train_docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, train_docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learned from ``train_docs``."""
-    tree, single = train(train_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kind = "doc_id long, n_tokens long, n_common long, common_base double, gain double, rare array<long>"
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), kind)
+    model, tokens, distinct = tables(train_docs, depth)
+    frequent, least = _hot(model)
+    key, base, known, gain = _columns(frequent.select("key", "base", "known", "gain"))
+    shared = docs.sparkSession.sparkContext.broadcast((key.view(U), base, known, gain, Filter(model.select("key"))))
+    kind = "doc_id long, n_tokens long, hot_base double, hot_known double, hot_gain double, rare array<long>"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared, depth), kind)
     own = stage(own.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = own.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    uncommon = single.where(F.col("n") < max(LEAST, int(tree.tokens * SYMBOL_SHARE)))
-    joined = rare.join(uncommon, "key", "left")
-    part = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
-    sums = joined.groupBy("row").agg(F.sum(F.col("times") * part).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
+    rare = own.select("row", F.explode("rare").alias("key")).join(model.where(F.col("n") < least).drop("n"), "key")
+    sums = rare.groupBy("row").agg(*(F.sum(c).alias(f"rare_{c}") for c in ("base", "known", "gain")))
     out = own.drop("rare").join(sums, "row", "left")
-    base = F.col("common_base") + F.coalesce("rare_base", F.lit(0.0))
+    unknown = F.log10(F.lit(0.5 / (tokens + 0.5 * (distinct + 1))))
+    base, gain = (F.col(f"hot_{c}") + F.coalesce(f"rare_{c}", F.lit(0.0)) for c in ("base", "gain"))
+    base = base + F.col("n_tokens") * unknown
     return out.select(
-        "doc_id", "n_tokens", (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(tree.tokens)).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        "doc_id", "n_tokens", (F.col("hot_known").cast("long") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + gain).alias("score"),
     )
 
 

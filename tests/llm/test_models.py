@@ -183,3 +183,27 @@ def test_features_of_many_short_texts(spark):
     assert of("bad") == of("egg") == (180, 180) and of("fine") == of("day") == (8820, 0)
     out = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
     assert all((out[i] >= 0.7) == (i % 50 == 0) for i, _ in rows)
+
+
+def test_rare_contexts_of_a_large_corpus(spark, monkeypatch):
+    """What occurs a few times counts whatever the size of the corpus, by lookup and by join alike."""
+    few = [(i, f"left{i % 5} right{i % 5}") for i in range(20)]
+    docs = spark.createDataFrame([*few, *((i, "z " * 400_000) for i in range(20, 30))], "doc_id long, text string")
+    out = {}
+    for hot in (suffixtree.HOT, 0):
+        monkeypatch.setattr(suffixtree, "HOT", hot)
+        out[hot] = {r["doc_id"]: (r["base_score"], r["score"]) for r in suffixtree.score(docs.where("doc_id < 20"), docs).collect()}
+        assert all(score > base + 5 for base, score in out[hot].values())
+    first, second = out.values()
+    assert all(first[i] == pytest.approx(second[i], rel=1e-9) for i in first)
+
+
+def test_tables_agree_with_the_tree(spark, doc_rows, monkeypatch):
+    docs = spark.createDataFrame(doc_rows, "doc_id long, text string")
+    tree, single = suffixtree.train(docs)
+    h, doc = suffixtree._tokens([(t or "").encode() for _, t in doc_rows])
+    want = np.bincount(doc, tree.log10(h, doc)[0], len(doc_rows))
+    monkeypatch.setattr(suffixtree, "HOT", 500)
+    monkeypatch.setattr(suffixtree, "FILTER_BITS", 12)
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in suffixtree.score(docs, docs).collect()}
+    assert [got[d] for d, _ in doc_rows] == pytest.approx(want.tolist(), abs=1e-6)
