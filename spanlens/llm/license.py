@@ -47,6 +47,7 @@ TEMPLATES = {
     "CC-text": "This work is licensed under a Creative Commons Attribution",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "all-rights-reserved": "All rights reserved.",
     "reserved": "Copyright. All rights reserved. No part of this may be reproduced",
 }
 MATCH = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))

@@ -262,6 +262,14 @@ def test_license_spans(clashing, no_docs, spark):
     assert len(lic.license_matches(clashing).collect()) == clashing.count() and lic.license_matches(no_docs).collect() == []
 
 
+def test_notice_line_of_the_documents(spark, sf, doc_rows):
+    got = {r["doc_id"]: r["licenses"].split(",") for r in registry.QUERIES["op7_license_minhash"](spark, sf).collect()}
+    lined = {d for d, t in doc_rows if re.search(r"(?m)^All rights reserved\.$", t or "")}
+    assert {d for d, names in got.items() if "all-rights-reserved" in names} >= lined
+    found = lic.scan(lic.Templates(lic.TEMPLATES), ["Some prose.\nAll rights reserved.".encode(), b"All of the rights reserved"])
+    assert [[(m["license"], m["start"], m["end"]) for m in x] for x in found] == [[("all-rights-reserved", 12, 31)], []]
+
+
 def test_registered_sql(spark, sf):
     for name, sql in registry.ORACLES.items():
         assert not differences(registry.QUERIES[name](spark, sf), sql, sf), name
