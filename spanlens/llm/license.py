@@ -1,11 +1,12 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Windows have the length of a template and start at every word, so a template that is there has a window of its own.
-A window's signature is ``BANDS`` bands of ``ROWS`` minima over its five-word shingles; at a Jaccard similarity of 0.6,
-which any containment of 0.8 in a window of that length comes near to or passes, a band agrees with a probability of
-1 - (1 - 0.6**2)**32, over 0.999999. Templates of agreeing bands are verified: their distinct shingles that the window
-has, over all of them, must be at least ``LEAST``. A window without any shingle of any template can't agree in a band,
-so no signature is computed for it.
+A template is looked for in windows of one and a half times its shingles, which start at every word with a shingle of the
+template, so one with words put in has a window of its own too. A window's signature is ``BANDS`` bands of ``ROWS`` minima
+over its five-word shingles. The Jaccard similarity of a window that contains 0.8 of a template's shingles is at least 0.44,
+and a band agrees with a probability of 1 - (1 - 0.44**2)**64, over 0.99999. Templates of
+agreeing bands are verified: their distinct shingles that the window has, over all of them, must be at least ``LEAST``; the
+span found is the shortest run of the window that has as many. A window without any shingle of any template can't agree in a
+band, so no signature is computed for it.
 
 The templates are a parameter, and small: what is broadcast is bounded by them and not by the documents.
 
@@ -16,9 +17,10 @@ rows of a repeated doc_id each get their row; an empty table gives an empty tabl
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,10 @@ from spanlens.llm.words import SPACE, Words, binary, mix, small_batches
 
 U = np.uint64
 SHINGLE = 5
-BANDS = 32
+BANDS = 64
 ROWS = 2
 LEAST = 0.8
+SLACK = 1.5
 BREAK = SPACE.copy()
 BREAK[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
 SALT = np.random.Generator(np.random.PCG64(23)).integers(1, 2**64 - 1, size=BANDS * ROWS, dtype=U)
@@ -97,6 +100,24 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def shortest(window: np.ndarray, want: np.ndarray) -> tuple[int, int]:
+    """First and last place of the shortest run of the window that has all the wanted shingles the window has."""
+    at = np.flatnonzero(np.isin(window, want))
+    need = len(np.unique(window[at]))
+    best, seen, a = (0, len(window)), {}, 0
+    for b in at.tolist():
+        seen[int(window[b])] = seen.get(int(window[b]), 0) + 1
+        while len(seen) == need:
+            if b - at[a] < best[1] - best[0]:
+                best = (int(at[a]), b)
+            x = int(window[at[a]])
+            seen[x] -= 1
+            if not seen[x]:
+                del seen[x]
+            a += 1
+    return best
+
+
 def scan(t: Templates, texts: list[bytes | None], least: float = LEAST) -> list[list[dict]]:
     """For each text, the templates found in it with their code-point spans, in the order of their starts."""
     w = Words(texts, lower=True, space=BREAK)
@@ -107,29 +128,29 @@ def scan(t: Templates, texts: list[bytes | None], least: float = LEAST) -> list[
         width = min(SHINGLE, size)
         s, hit = own[width]
         span = size - width + 1
-        if len(s) < span or not len(hit):
+        wide = math.ceil(SLACK * span) if size > width else span
+        if not len(hit):
             continue
-        at = np.unique((hit[:, None] - np.arange(span)[None, :]).ravel())
-        at = at[(at >= 0) & (at + size <= len(h))]
-        at = at[w.doc[at] == w.doc[at + size - 1]]
-        for a in range(0, len(at), 4096):
-            part = at[a : a + 4096]
-            windows = sliding_window_view(s, span)[part]
+        last = w.first[w.doc[hit] + 1] - width  # the last shingle of the text
+        hit, last = hit[hit <= last], last[hit <= last]
+        for a in range(0, len(hit), 4096):
+            part = hit[a : a + 4096]
+            at = part[:, None] + np.arange(wide)[None, :]
+            windows = s[np.minimum(at, last[a : a + 4096, None])]  # at the end of a text its last shingle is repeated
             mine = bands(signature(windows))
             for row, i in zip(t.band[size], members, strict=True):
                 near = np.flatnonzero((mine == row).any(axis=1))
-                if not len(near):
-                    continue
                 want = t.shingles[i]
                 for k in near:
                     share = np.isin(want, windows[k]).mean()
                     if share >= least:
-                        first = int(part[k])
+                        a0, e0 = shortest(windows[k], want)
+                        first, e0 = int(part[k]) + a0, int(part[k]) + e0
                         d = int(w.doc[first])
-                        out[d].append({"license": t.names[i], "first": first, "last": first + size - 1, "containment": float(share)})
+                        out[d].append({"license": t.names[i], "first": first, "last": e0 + width - 1, "containment": float(share)})
     for d, found in enumerate(out):
         best: list[dict] = []
-        for m in sorted(found, key=lambda m: (-m["containment"], m["first"], m["license"])):
+        for m in sorted(found, key=lambda m: (-m["containment"], m["last"] - m["first"], m["first"], m["license"])):
             if not any(b["license"] == m["license"] and m["first"] <= b["last"] and b["first"] <= m["last"] for b in best):
                 best.append(m)
         for m in best:

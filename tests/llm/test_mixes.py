@@ -270,6 +270,22 @@ def test_notice_line_of_the_documents(spark, sf, doc_rows):
     assert [[(m["license"], m["start"], m["end"]) for m in x] for x in found] == [[("all-rights-reserved", 12, 31)], []]
 
 
+def test_inserted_words_are_part_of_the_window():
+    """Containment over the whole text decides, wherever a few words stand in the template."""
+    templates = lic.Templates(lic.TEMPLATES)
+    words = re.findall("[a-z]+", lic.TEMPLATES["GPL-text"].lower())
+    want = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    for many in (1, 2, 3):
+        for at in range(1, len(words)):
+            body = " ".join([*words[:at], *["zzz"] * many, *words[at:]])
+            own = body.split()
+            share = len(want & {tuple(own[i : i + 5]) for i in range(len(own) - 4)}) / len(want)
+            text = f"some words before {body} and some after"
+            found = [m for m in lic.scan(templates, [text.encode()])[0] if m["license"] == "GPL-text"]
+            assert share >= 0.8 and [m["containment"] for m in found] == [pytest.approx(share)], (many, at)
+            assert text[found[0]["start"] : found[0]["end"]] in body
+
+
 def test_registered_sql(spark, sf):
     for name, sql in registry.ORACLES.items():
         assert not differences(registry.QUERIES[name](spark, sf), sql, sf), name
