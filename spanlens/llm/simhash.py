@@ -52,7 +52,8 @@ def _fingerprints(batches):
     for batch in small_batches(batches):
         texts = binary(batch.column("text"))
         w = np.array([fingerprint((t or b"").lower().split()) for t in texts], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.view(np.int64))], ["doc_id", "fp"])
+        own = [c for c in batch.schema.names if c not in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.view(np.int64)), *map(batch.column, own)], ["doc_id", "fp", *own])
 
 
 def blocks(width: int, n: int) -> list[tuple[int, int]]:
@@ -183,17 +184,22 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot: int = 20_000) -
     return parts.repartition("shard").mapInArrow(_shards(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, radius: int = RADIUS, hot: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+def _grouped(docs: DataFrame, radius: int, hot: int, same: bool = False) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``docs``, and with ``same`` a hash of its text; root is the group's own key."""
     bound_arrow(docs.sparkSession)
-    prints = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias("same")] * same)
+    prints = stage(rows.mapInArrow(_fingerprints, "doc_id long, fp long" + ", same long" * same), "fingerprints")
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     edges = stage(fingerprint_links(reps.select("fp"), radius, hot), "links")  # else a task would hold two Python workers
     root = components(edges).withColumnRenamed("node", "fp")
     rooted = reps.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def simhash_groups(docs: DataFrame, radius: int = RADIUS, hot: int = 20_000) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    return _grouped(docs, radius, hot).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,9 +212,15 @@ def op9_simhash_bktree(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: the one with the smallest doc_id. Rows with a null id stay only if their group has no other id."""
-    groups = stage(simhash_groups(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    keep = groups.select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept if groups.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+def deduplicate(docs: DataFrame, radius: int = RADIUS, hot: int = 20_000) -> DataFrame:
+    """One row of each group stays: one with the smallest doc_id. Rows with a null id stay only if their group has no other id.
+
+    Ids can be null or repeated in several groups, so a row is known by its id and text; of rows with the smallest id, the
+    smallest by fingerprint and hash of the text stays, and one of those equal in both."""
+    rows = _grouped(docs, radius, hot, same=True).where("doc_id <=> component_id")
+    rows = rows.groupBy("root", "doc_id", "fp", "same").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct("fp", "same", "doc_id", "n")).alias("x"))
+    keep = stage(first.select(F.col("x.doc_id").alias("_keep"), F.col("x.same").alias("_same"), F.col("x.n").alias("_n")), "kept-rows")
+    own, same = F.col("doc_id").cast("long"), F.xxhash64("text")
+    kept = docs.join(keep.drop("_n"), own.eqNullSafe(F.col("_keep")) & (same == F.col("_same")), "left_semi")
+    return kept if keep.where("_n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])

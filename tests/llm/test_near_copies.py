@@ -80,6 +80,13 @@ def test_repeated_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in simhash.deduplicate(docs).collect()) == ["1", "None"]
 
 
+def test_one_text_of_each_group_stays(spark):
+    """Groups without ids, ids in several groups, and copies without an id of a text that has one."""
+    rows = [(None, "x y z w"), (None, "x y z w"), (None, "k l m n o"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (1, "q r s t u v"), (2, "q r s t u v"), (None, None)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in [(None, "x y z w"), (None, "k l m n o"), (1, "a b c d"), (1, "q r s t u v"), (None, None)])
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_links_within_the_radius(spark, hot):
     rng = np.random.default_rng(5)
