@@ -35,7 +35,7 @@ LEAST = 3
 DIVERGENCE = 3.0
 DEPTH = 3
 FLUSH = 4_000_000
-HOT = 2_000_000
+HOT = 1_000_000
 FILTER_BITS = 28
 #: The end of a text; no word's hash is set aside for it, but one of 2**64 values is.
 END = U(0)
@@ -281,16 +281,17 @@ def pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter of ``FILTER_BITS`` address bits over keys; the fuller it is, the less it drops."""
+    """A Bloom filter over keys, of at most ``FILTER_BITS`` address bits; the fuller it is, the less it drops."""
 
     def __init__(self, keys: DataFrame):
-        self.shift = 64 - FILTER_BITS
+        bits = min(FILTER_BITS, max(16, (16 * keys.count()).bit_length()))
+        self.shift = 64 - bits
         words = keys.select(F.shiftrightunsigned("key", self.shift + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {self.shift}) & 63 as int))").alias("bit"))
         words = _lean(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
-        at, bits = _arrays(words)
+        at, held = _arrays(words)
         drop_staged(words)
-        self.words = np.zeros(1 << (FILTER_BITS - 6), U)
-        self.words[at] = bits.view(U)
+        self.words = np.zeros(1 << (bits - 6), U)
+        self.words[at] = held.view(U)
 
     def has(self, key: np.ndarray) -> np.ndarray:
         place = key >> U(self.shift)
@@ -387,6 +388,7 @@ def tables(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
         shared = spark.sparkContext.broadcast(Filter(grown.select("key")) if length > 1 else None)
         found = texts.select("text").mapInArrow(_following(shared, length), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
         counted = _lean(found.where(F.col("n") >= LEAST).mapInArrow(_keyed, "key long, context long, suffix long, n long"), f"following-{length}")
+        shared.destroy()
         if counted.isEmpty():
             break
         grown, back = grow(counted, grown, length)
@@ -451,6 +453,7 @@ def score(docs: DataFrame, train_docs: DataFrame, depth: int = DEPTH) -> DataFra
     kind = "doc_id long, n_tokens long, hot_base double, hot_known double, hot_gain double, rare array<long>"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared, depth), kind)
     own = stage(own.withColumn("row", F.monotonically_increasing_id()), "scored")
+    shared.destroy()
     rare = own.select("row", F.explode("rare").alias("key")).join(model.where(F.col("n") < least).drop("n"), "key")
     sums = rare.groupBy("row").agg(*(F.sum(c).alias(f"rare_{c}") for c in ("base", "known", "gain")))
     out = own.drop("rare").join(sums, "row", "left")
