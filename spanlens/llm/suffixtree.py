@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, stage
-from spanlens.llm.words import Words, binary, mix, small_batches
+from spanlens.llm.words import Words, binary, lookup, mix, small_batches
 
 U = np.uint64
 LEAST = 3
@@ -104,14 +104,6 @@ class Symbols:
         return np.where(self.hash[at] == h, at, -1)
 
 
-def lookup(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Positions of ``key`` in the sorted ``keys``; -1 where it isn't."""
-    if not len(keys):
-        return np.full(len(key), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, at, -1)
-
-
 def before(ids: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
     """The symbol k positions earlier in the same text; -1 if there is none."""
     out = np.full(len(ids), -1, np.int64)

@@ -140,7 +140,6 @@ def test_overlapping_sources(spark):
 def check_pack(rows, docs, whole=2048):
     """Every id in one piece, sequences gapless from 0 and full or a power of two."""
     t = Tokenizer.from_file(packing.default_path())
-    t.encode_special_tokens = True
     want = defaultdict(list)
     for d, text in docs:
         want[d].append(np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4"))
@@ -183,6 +182,23 @@ def test_pack_repeated_rows_and_null_ids(spark):
     check_pack(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), packing.default_path()).collect(), rows)
 
 
+def test_ids_of_odd_texts(monkeypatch, doc_rows):
+    """Slices, a small memory of pieces and texts cut in parts give the tokenizer's own ids."""
+    t = Tokenizer.from_file(packing.default_path())
+    odd = ["<|endoftext|> it's <|startoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|endoftext|" + ">" * 3, "x\xa0y\u3000z", "e\u0301a caf\u00e9", "", " \t", "\x1cfoo\x1dbar\x7f"]
+    odd += ["\u6f22\u5b57!?12", "\u01c4 \u00df \u1e9e \u0130stanbul \u00d7\u00f7 \u00dd\u00fe", "'s's 're I'LL", "#$%^&*()", "a" * 5000, "x" * 70 + " " + "x" * 70, "3.14,15"]
+    texts = [t or "" for _, t in doc_rows[:60]] + odd
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    for limit in (packing.CACHE_BYTES, 20_000):
+        monkeypatch.setattr(packing, "CACHE_BYTES", limit)
+        own = packing.WordIds(packing.default_path())
+        for _ in range(2):
+            for a in range(0, len(texts), 7):
+                ids, edge = own.ids([x.encode() for x in texts[a : a + 7]])
+                assert [ids[x:y].tolist() for x, y in itertools.pairwise(edge)] == want[a : a + 7]
+        assert [own.long_ids(x.encode(), 100).tolist() for x in odd] == want[60:]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_least_squares(seed):
     rng = np.random.default_rng(seed)
