@@ -1,20 +1,28 @@
 """Near-duplicate vectors by cover trees: exact pairs of cosine at least ``LEAST``, found by dual traversal.
 
-On unit vectors, cosine c is the distance sqrt(2 - 2c). The top of the tree, a net of centres over a bounded sample,
-deals all distinct vectors to shards; a shard's covering radius is measured over all of its vectors, so bounds are exact.
-A vector visits the shards that its distance to their centres doesn't rule out. In a shard, the residents form a cover
-tree of nested levels with halving radii, and so does each block of visitors; node pairs are pruned when covering radii
-put them too far apart, counted as a whole when they put all pairs near enough, and compared in double precision where
-levels end. Links are counted, and components are kept as stars, so that a dense group costs output by vector and not by
-pair. Equal vectors are one vector with a weight.
+On unit vectors, cosine c is the distance sqrt(2 - 2c). A tree's nodes are nested: a node's centre is one of its vectors and
+the centre of its first child, its children cover it within the next lower power of two (halving radii), and levels go down
+to single vectors; levels that would change nothing are left out. Node pairs are pruned when their covering radii put them
+too far apart, and counted as a whole when these put all their pairs near enough; the children of two nodes are compared
+at once. Where two nodes have at most ``BASE`` vectors each, these are compared rather than divided further.
 
-A shard has at most about ``SHARD`` residents: a dense cell is several shards. Visitors are streamed past the residents.
-There are at most ``CELLS`` centres, from a sample of at most ``SAMPLE`` vectors; all vectors are dealt and compared.
+The top of the tree, over a bounded sample (``SAMPLE``), deals all distinct vectors to cells: a vector goes down to the
+lowest node that covers it. Radii of cells and of subtrees are measured over all vectors, so that bounds are exact, and a
+vector visits the cells that it can't rule out on its way down. Cells next to each other in the tree share a shard of about
+``SHARD`` vectors; a larger cell is several shards. In a shard the residents form a cover tree, and so does each block of
+visitors, which are streamed past the residents. Of two shards, parity says which one visits, so that visits are dealt
+evenly. Links are counted, and components are kept as stars, so that a dense group costs output by vector and not by pair.
+
+What can't be pruned is compared: where most vectors are far from all others in many dimensions, as random ones are, no
+covering radius is small, and the pairs of centres are nearly all pairs of vectors.
+
+Cosines are dot products of unit vectors; within ``CLOSE`` of the threshold, dot product over the product of norms decides.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
-their own component; so do vectors of different lengths with each other; rows of a repeated vec_id count as vectors of
-their own; a null vec_id is counted but never names a component, unless it is alone (null); an empty table gives an
-empty table. Only ``vec_id`` and ``embedding`` are read.
+their own component; so do vectors of different lengths with each other; components of any finite size count, since a
+vector is divided by its largest component first; a cosine equal to the threshold links; rows of a repeated vec_id count as
+vectors of their own; a null vec_id is counted but never names a component, unless it is alone (null); an empty table
+gives an empty table. Only ``vec_id`` and ``embedding`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,61 +33,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.components import components, stars
-from spanlens.llm.shared import stage
+from spanlens.llm.shared import drop_staged, stage
 
 LEAST = 0.9
-CELLS = 4096
-SAMPLE = 4 * CELLS
+SAMPLE = 16_384
 SHARD = 4096
-LEAF = 192
-FANOUT = 24
-SLACK = 1e-9
-
-
-class Node:
-    __slots__ = ("rows", "center", "radius", "children")
-
-    def __init__(self, rows: np.ndarray, center: np.ndarray, radius: float):
-        self.rows, self.center, self.radius = rows, center, radius
-        self.children: list[Node] = []
+BASE = 32
+SLACK = 1e-6
+CLOSE = 1e-12
 
 
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, ((x - c) ** 2).sum(axis=1)))
-
-
-def build(x: np.ndarray) -> Node:
-    """A cover tree over the rows of ``x``. A node's children cover it within half its radius, from centres that far
-    apart; a node of few rows, or that needs over ``FANOUT`` children, is a leaf."""
-
-    def node(rows: np.ndarray, center: np.ndarray, far: np.ndarray) -> Node:
-        out = Node(rows, center, float(far.max(initial=0.0)))
-        if len(rows) > LEAF and out.radius > SLACK:
-            rest, parts = rows[np.argsort(far, kind="stable")], []
-            while len(rest) and len(parts) < FANOUT:
-                c = x[rest[0]]
-                d = distances(x[rest], c)
-                near = d <= out.radius / 2
-                parts.append((rest[near], c, d[near]))
-                rest = rest[~near]
-            if not len(rest):
-                out.children = [node(*p) for p in parts]
+def units(data: list[bytes], dims: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as they are but for a factor that keeps squares finite, and unit vectors."""
+    x = np.frombuffer(b"".join(data), dtype).reshape(-1, dims).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def apart(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
+
+
+def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, the first row among them, that are over ``radius`` apart in each block and cover all rows; by row, the
+    number of its centre and its cosine to it."""
+    limit = 1 - radius * radius / 2
+    owner, cosine = np.full(len(x), -1), np.ones(len(x))
+    left, centres, n = np.arange(len(x)), [], 0
+    while len(left):
+        block = x[left[:256]]
+        near = block @ block.T >= limit
+        free, chosen = np.ones(len(block), bool), []
+        for i in range(len(block)):
+            if free[i]:
+                chosen.append(i)
+                free &= ~near[i]
+        c = block[chosen] @ x[left].T
+        best = c.argmax(axis=0)
+        top = c[best, np.arange(len(left))]
+        top[chosen], best[chosen] = 1.0, np.arange(len(chosen))
+        on = top >= limit
+        owner[left[on]], cosine[left[on]] = n + best[on], top[on]
+        centres.append(left[:256][chosen])
+        n += len(chosen)
+        left = left[~on]
+    return np.concatenate(centres), owner, cosine
+
+
+class Tree:
+    """A cover tree over the rows of ``x``. By node: ``center`` (a row), ``radius`` (to its farthest row), ``reach`` (within
+    which its children cover it), its children ``first`` to ``last`` and its rows ``order[low:high]``; nodes are in the order
+    of levels, and a node without children has one row, or rows that are all but equal."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.order = np.arange(len(x))
+        center, radius, reach, first, last, low, high = ([] for _ in range(7))
+
+        def node(c: int, r: float, a: int, b: int) -> None:
+            center.append(c), radius.append(r), low.append(a), high.append(b)
+            reach.append(0.0), first.append(0), last.append(0)
+
+        if len(x):
+            node(0, float(apart(x @ x[0]).max()), 0, len(x))
+        at = 0
+        while at < len(center):
+            if high[at] - low[at] > 1 and radius[at] > SLACK:
+                rows = self.order[low[at] : high[at]].copy()
+                k = int(np.flatnonzero(rows == center[at])[0])  # the centre comes first: levels are nested
+                rows[[0, k]] = rows[[k, 0]]
+                reach[at] = 2.0 ** (np.ceil(np.log2(radius[at])) - 1)
+                centres, owner, cosine = net(x[rows], reach[at])
+                by = np.argsort(owner, kind="stable")
+                edge = np.searchsorted(owner[by], np.arange(len(centres) + 1))
+                far = np.maximum.reduceat(apart(cosine[by]), edge[:-1])
+                self.order[low[at] : high[at]] = rows[by]
+                first[at] = len(center)
+                for i, c in enumerate(rows[centres].tolist()):
+                    node(c, float(far[i]) if edge[i + 1] - edge[i] > 1 else 0.0, low[at] + int(edge[i]), low[at] + int(edge[i + 1]))
+                last[at] = len(center)
+            at += 1
+        self.center, self.low, self.high, self.first, self.last = (np.array(v, np.int64) for v in (center, low, high, first, last))
+        self.radius, self.reach = np.array(radius), np.array(reach)
+        self.rows = self.high - self.low
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """Their children, or a node itself where it has none."""
+        leaf = self.last[nodes] == 0
+        a, n = np.where(leaf, nodes, self.first[nodes]), np.where(leaf, 1, self.last[nodes] - self.first[nodes])
+        return np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+
+    def within(self, nodes: np.ndarray) -> np.ndarray:
+        """The rows of the nodes."""
+        n = self.rows[nodes]
+        return self.order[np.arange(int(n.sum())) + np.repeat(self.low[nodes] - (np.cumsum(n) - n), n)]
+
+    def pushed(self, by_node: np.ndarray) -> np.ndarray:
+        """Sums by row of what all nodes have that the row is in."""
+        total = np.zeros(len(self.x) + 1, by_node.dtype)
+        np.add.at(total, self.low, by_node)
+        np.subtract.at(total, self.high, by_node)
+        out = np.zeros(len(self.x), by_node.dtype)
+        out[self.order] = np.cumsum(total[:-1])
         return out
 
-    center = x.mean(axis=0)
-    return node(np.arange(len(x)), center, distances(x, center))
 
+def grouped(key: np.ndarray, value: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    by = np.argsort(key, kind="stable")
+    one, first = np.unique(key[by], return_index=True)
+    return list(zip(one.tolist(), np.split(value[by], first[1:]), strict=True)) if len(one) else []
 
-class Links:
-    """Weights linked to each row of two sets, and stars of what is linked; rows are numbered residents first."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, cos: float):
-        self.a, self.b, self.wa, self.wb, self.cos = a, b, wa, wb, cos
-        self.near = float(np.sqrt(2 - 2 * cos))
-        self.na, self.nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+class Links:
+    """Weights linked to each row of two trees (or of one, ``other`` None), and stars of what is linked; rows of the second
+    tree are numbered after those of the first. ``tested`` counts the cosines computed."""
+
+    def __init__(self, tree: Tree, weight: np.ndarray, raw: np.ndarray, other: Tree | None, other_weight: np.ndarray, other_raw: np.ndarray, cos: float):
+        self.same = other is None
+        self.s, self.t = tree, tree if other is None else other
+        self.raw, self.weight = (raw, other_raw), (weight, other_weight)
+        self.cos, self.near = cos, float(np.sqrt(2 - 2 * cos))
+        self.base = 0 if self.same else len(tree.x)
+        self.whole = [np.concatenate([[0], np.cumsum(w[t.order])])[t.high] - np.concatenate([[0], np.cumsum(w[t.order])])[t.low] for t, w in ((self.s, weight), (self.t, other_weight))]
+        self.of_node = [np.zeros(len(t.center), np.int64) for t in (self.s, self.t)]
+        self.of_row = [np.zeros(len(t.x), np.int64) for t in (self.s, self.t)]
+        self.itself = np.zeros(len(tree.center), np.int64)
+        self.joined = [np.zeros(len(t.center), bool) for t in (self.s, self.t)]
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
-        self.tested = 0
+        self.held = self.tested = 0
 
     def keep(self, i: np.ndarray, j: np.ndarray) -> None:
         self.edges.append((i, j))
@@ -88,84 +169,186 @@ class Links:
             self.edges = [stars(np.concatenate([x for x, _ in self.edges]), np.concatenate([y for _, y in self.edges]))]
             self.held = len(self.edges[0][0])
 
-    def run(self, s: Node, t: Node, same: bool = False) -> None:
-        """All links between the rows of two nodes; with ``same``, of one set with itself, in which both name its rows."""
-        base = 0 if same else len(self.a)
-        todo = [(s, t)]
+    def linked(self, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Which of the rows i and j with the cosines c (i x j) are linked."""
+        self.tested += c.size
+        hit = c >= self.cos
+        if (close := np.abs(c - self.cos) < CLOSE).any():
+            p, q = np.nonzero(close)
+            a, b = self.raw[0][i[p]], self.raw[1][j[q]]
+            hit[p, q] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))) >= self.cos
+        return hit
+
+    def compare(self, i: np.ndarray, j: np.ndarray, c: np.ndarray, twice: bool = False) -> None:
+        """Rows i against rows j; ``twice`` where both are the same rows, so that a pair is met from both sides."""
+        hit = self.linked(i, j, c)
+        if twice:
+            hit &= i[:, None] != j[None, :]
+        p, q = np.nonzero(hit)
+        if len(p):
+            self.of_row[0][i] += hit @ self.weight[1][j]
+            if not twice:
+                self.of_row[1][j] += self.weight[0][i] @ hit
+            self.keep(i[p], self.base + j[q])
+
+    def run(self) -> Links:
+        s, t = self.s, self.t
+        root = np.zeros(1, np.int64)
+        todo = [(root, root, self.same)] if len(s.center) and len(t.center) else []
         while todo:
-            s, t = todo.pop()
-            d = float(np.sqrt(((s.center - t.center) ** 2).sum()))
-            reach = s.radius + t.radius
-            if d > reach + self.near + SLACK:
-                continue
-            if d + reach <= self.near - SLACK:
-                self.na[s.rows] += self.wb[t.rows].sum()
-                if s is not t or not same:
-                    self.nb[t.rows] += self.wa[s.rows].sum()
-                else:
-                    self.na[s.rows] -= self.wa[s.rows]
-                self.keep(np.full(len(s.rows), s.rows[0]), s.rows)
-                self.keep(np.full(len(t.rows), s.rows[0]), base + t.rows)
-                continue
-            if s is t and same:
-                if s.children:
-                    todo += [(p, q) for k, p in enumerate(s.children) for q in s.children[k:]]
-                    continue
-            elif s.children and (s.radius >= t.radius or not t.children):
-                todo += [(p, t) for p in s.children]
+            i, j, own = todo.pop()
+            small, other = ((v.rows[k] <= BASE) | (v.last[k] == 0) for v, k in ((s, i), (t, j)))
+            self.rest(s.within(i[small]), t.within(j[other]), own)
+            self.children(s.below(i[small]), t.below(j[~other]), own, todo)
+            self.children(s.below(i[~small]), t.below(j), own, todo)
+        return self
+
+    def rest(self, i: np.ndarray, j: np.ndarray, own: bool) -> None:
+        for k in range(0, len(i) if len(j) else 0, 1024):
+            part = i[k : k + 1024]
+            self.compare(part, j, self.s.x[part] @ self.t.x[j].T, own)
+
+    def children(self, nodes: np.ndarray, j: np.ndarray, own: bool, todo: list) -> None:
+        for k in range(0, len(nodes) if len(j) else 0, 1024):
+            i = nodes[k : k + 1024]
+            p, q = self.open_pairs(i, j, own)
+            if own:
+                todo += [(i[k : k + 1], i[k : k + 1], True) for k in p[i[p] == j[q]]]
+                p, q = p[i[p] != j[q]], q[i[p] != j[q]]
+            if len(np.unique(p)) <= len(np.unique(q)):
+                todo += [(i[x : x + 1], j[part], False) for x, part in grouped(p, q)]
+            else:
+                todo += [(i[part], j[x : x + 1], False) for x, part in grouped(q, p)]
+
+    def open_pairs(self, i: np.ndarray, j: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What is left to divide of the nodes i (in blocks) against the nodes j, by their places; with ``own``, these are all
+        children of one node, and a pair counts once."""
+        s, t = self.s, self.t
+        c = s.x[s.center[i]] @ t.x[t.center[j]].T
+        single, others = s.rows[i] == 1, t.rows[j] == 1
+        if single.any() and others.any():
+            # of two single nodes of one set, both orders are met, as i runs over all nodes j in blocks
+            self.compare(s.center[i[single]], t.center[j[others]], c[np.ix_(single, others)], own)
+        d = apart(c)
+        reach = s.radius[i][:, None] + t.radius[j][None, :]
+        open_ = (d <= reach + self.near + SLACK) & ~(single[:, None] & others[None, :])
+        self.tested += c.size - int(single.sum()) * int(others.sum())
+        if own:
+            open_ &= i[:, None] <= j[None, :]
+        whole = open_ & (d + reach <= self.near - SLACK)
+        if whole.any():
+            diagonal = whole & (i[:, None] == j[None, :]) if own else np.zeros_like(whole)
+            cross = whole & ~diagonal
+            self.of_node[0][i] += cross @ self.whole[1][j]
+            self.of_node[1][j] += self.whole[0][i] @ cross
+            self.itself[i] += diagonal.any(axis=1)
+            self.joined[0][i[whole.any(axis=1)]] = True
+            self.joined[1][j[whole.any(axis=0)]] = True
+            p, q = np.nonzero(cross)
+            self.keep(s.center[i[p]], self.base + t.center[j[q]])
+        return np.nonzero(open_ & ~whole)
+
+    def counts(self) -> list[np.ndarray]:
+        """Linked weights by row of the first tree and, if there is one, of the second."""
+        first = self.of_row[0] + self.s.pushed(self.of_node[0])
+        if not self.same:
+            return [first, self.of_row[1] + self.t.pushed(self.of_node[1])]
+        alone = self.s.pushed(self.itself * self.whole[0]) - self.s.pushed(self.itself) * self.weight[0]
+        return [first + self.of_row[1] + self.s.pushed(self.of_node[1]) + alone]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        for tree, joined, base in ((self.s, self.joined[0], 0), (self.t, self.joined[1], self.base)):
+            for k in np.flatnonzero(joined):
+                rows = tree.order[tree.low[k] : tree.high[k]]
+                self.keep(np.full(len(rows), base + tree.center[k]), base + rows)
+        if not self.edges:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return stars(np.concatenate([e[0] for e in self.edges]), np.concatenate([e[1] for e in self.edges]))
+
+
+class Top:
+    """The top of the tree: nodes over a sample, whose cells are what all vectors are dealt to."""
+
+    def __init__(self, x: np.ndarray):
+        self.tree = Tree(x)
+        self.centers = x[self.tree.center]
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector the lowest node that covers it on the way down by nearest children, and its distance to the centre."""
+        cell, far = np.zeros(len(x), np.int64), apart(x @ self.centers[0])
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if not self.tree.last[node]:
                 continue
-            elif t.children:
-                todo += [(s, p) for p in t.children]
+            d = apart(x[rows] @ self.centers[self.tree.first[node] : self.tree.last[node]].T)
+            best = d.argmin(axis=1)
+            least = d[np.arange(len(rows)), best]
+            on = least <= self.tree.reach[node]
+            rows, best = rows[on], best[on]
+            cell[rows], far[rows] = self.tree.first[node] + best, least[on]
+            todo += [(int(k) + int(self.tree.first[node]), rows[best == k]) for k in np.unique(best)]
+        return cell, far
+
+    def measure(self, cells: np.ndarray, count: np.ndarray, far: np.ndarray, shard: int) -> None:
+        """Sets radii from what was dealt: by cell (-1: empty) and by subtree; and numbers the shards of the cells."""
+        n = len(self.centers)
+        self.cell = np.full(n, -1.0)
+        self.cell[cells] = far
+        size = np.zeros(n, np.int64)
+        size[cells] = count
+        self.subtree = self.cell.copy()
+        self.first_shard, self.blocks = np.zeros(n, np.int64), np.ones(n, np.int64)
+        for node in range(n - 1, -1, -1):
+            if self.tree.last[node]:
+                below = self.tree.below(np.array([node]))
+                d = apart(self.centers[below] @ self.centers[node]) + self.subtree[below] + SLACK
+                self.subtree[node] = max(self.cell[node], d[self.subtree[below] >= 0].max(initial=-1.0))
+        at, room, todo = 0, 0, [0]
+        while todo:  # cells in the order of the tree's branches, so that neighbours share a shard
+            node = todo.pop()
+            todo += self.tree.below(np.array([node]))[::-1].tolist() if self.tree.last[node] else []
+            if not size[node]:
                 continue
-            for a in range(0, len(s.rows), 1024):
-                rows = s.rows[a : a + 1024]
-                hit = self.a[rows] @ self.b[t.rows].T >= self.cos
-                self.tested += hit.size
-                if s is t and same:
-                    hit &= rows[:, None] != t.rows[None, :]
-                i, j = np.nonzero(hit)
-                if len(i):
-                    self.na[rows] += hit @ self.wb[t.rows]
-                    if s is not t or not same:
-                        self.nb[t.rows] += self.wa[rows] @ hit
-                    self.keep(rows[i], base + t.rows[j])
-
-
-def units(data: list[bytes], dims: int, dtype: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), dtype).reshape(-1, dims).astype(np.float64)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-class Skeleton:
-    """The top of the tree, for vectors of one length: centres of a net over a sample."""
-
-    def __init__(self, x: np.ndarray, cells: int):
-        self.centers = x[:1]
-        radius = 2.0
-        far = distances(x, x[0])
-        while len(self.centers) < min(cells, len(x)) and far.max() > SLACK:
-            at = int(far.argmax())
-            if far[at] <= radius:  # this level's net is complete: the next has half the radius
-                radius /= 2
+            if size[node] > shard:
+                self.blocks[node] = -(-size[node] // shard)
+                self.first_shard[node], at, room = at, at + self.blocks[node], 0
+            else:
+                if size[node] > room:
+                    at, room = at + 1, shard
+                self.first_shard[node] = at - 1
+                room -= size[node]
+        self.shards = int(at)
+
+    def visits(self, x: np.ndarray, near: float) -> list[tuple[int, np.ndarray]]:
+        """Cells with the rows of ``x`` that may have a neighbour in them."""
+        out = []
+        d = apart(x @ self.centers[0])
+        if self.cell[0] >= 0 and (on := np.flatnonzero(d <= self.cell[0] + near + SLACK)).size:
+            out.append((0, on))
+        todo = [(0, np.flatnonzero(d <= self.subtree[0] + near + SLACK))]
+        while todo:
+            node, rows = todo.pop()
+            below = np.arange(self.tree.first[node], self.tree.last[node])
+            below = below[self.subtree[below] >= 0]
+            if not len(below) or not len(rows):
                 continue
-            self.centers = np.concatenate([self.centers, x[at : at + 1]])
-            far = np.minimum(far, distances(x, x[at]))
-
-    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = self.all(x)
-        at = d.argmin(axis=1)
-        return at, d[np.arange(len(x)), at]
-
-    def all(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ self.centers.T)))
+            d = apart(x[rows] @ self.centers[below].T)
+            for k in np.flatnonzero((d <= self.subtree[below] + near + SLACK).any(axis=0)):
+                child = int(below[k])
+                if self.cell[child] >= 0 and (on := rows[d[:, k] <= self.cell[child] + near + SLACK]).size:
+                    out.append((child, on))
+                if self.tree.last[child]:
+                    todo.append((child, rows[d[:, k] <= self.subtree[child] + near + SLACK]))
+        return out
 
 
-def _cells(skeletons, dims: int, dtype: str):
+def _cells(shared, dims: int, dtype: str):
     def run(batches):
-        own: Skeleton = skeletons.value[dims]
+        top: Top = shared.value
         for batch in batches:
             if batch.num_rows:
-                cell, far = own.home(units(batch.column("data").to_pylist(), dims, dtype))
+                cell, far = top.home(units(batch.column("data").to_pylist(), dims, dtype)[1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), batch.column("weight"), batch.column("data"), pa.array(cell.astype(np.int32)), pa.array(far)], ["node", "weight", "data", "cell", "far"]
                 )
@@ -173,30 +356,31 @@ def _cells(skeletons, dims: int, dtype: str):
     return run
 
 
+def visits(p: np.ndarray, q: int) -> np.ndarray:
+    """Whether the shards p visit shard q; of two shards just one visits the other."""
+    return (p != q) & (((p + q) % 2 == 0) == (p < q))
+
+
 def _deal(shared, dims: int, dtype: str):
-    """Each vector to its own shard as a resident, and as a visitor to the earlier shards that may hold a neighbour."""
+    """Each vector to its own shard as a resident, and as a visitor to the shards that may hold a neighbour."""
 
     def run(batches):
-        skeleton, cells, first, blocks, radius, near = shared.value  # a cell's shards are numbered from ``first``
+        top, near = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 data = part.column("data").to_pylist()
                 node, weight = (part.column(c).to_numpy() for c in ("node", "weight"))
                 home = part.column("shard").to_numpy()
+                rows_of: dict[tuple[int, int], list[np.ndarray]] = {(s, 0): [np.flatnonzero(home == s)] for s in np.unique(home).tolist()}
+                for cell, rows in top.visits(units(data, dims, dtype)[1], near):
+                    for s in range(int(top.first_shard[cell]), int(top.first_shard[cell] + top.blocks[cell])):
+                        if (on := rows[visits(home[rows], s)]).size:
+                            rows_of.setdefault((s, 1), []).append(on)
                 out = []
-
-                def send(shard: int, kind: int, rows: np.ndarray) -> None:
-                    if len(rows):
-                        out.append((shard, kind, node[rows].tobytes(), weight[rows].tobytes(), b"".join([data[i] for i in rows])))  # noqa: B023
-
-                for s in np.unique(home).tolist():
-                    send(s, 0, np.flatnonzero(home == s))
-                visit = skeleton.all(units(data, dims, dtype))[:, cells] <= radius + near + 1e-6
-                for k in np.flatnonzero(visit.any(axis=0)).tolist():
-                    rows = np.flatnonzero(visit[:, k])
-                    for s in range(int(first[k]), min(int(first[k] + blocks[k]), int(home[rows].max()))):
-                        send(s, 1, rows[home[rows] > s])
+                for (s, kind), parts in rows_of.items():
+                    rows = np.unique(np.concatenate(parts))
+                    out.append((s, kind, node[rows].tobytes(), weight[rows].tobytes(), b"".join([data[i] for i in rows])))
                 c = list(zip(*out, strict=True))
                 cols = [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])]
                 yield pa.RecordBatch.from_arrays(cols, ["shard", "kind", "nodes", "weights", "data"])
@@ -204,30 +388,26 @@ def _deal(shared, dims: int, dtype: str):
     return run
 
 
+def search(residents: tuple, visitors: tuple | None, cos: float) -> tuple[pa.RecordBatch, int]:
+    """Link counts (a, -1, n) and stars (a, b, 0) of residents (names, weights, vectors, tree) among themselves, or between
+    them and visitors (names, weights, (vectors, unit vectors)); and how many cosines that took."""
+    names, w, raw, tree = residents
+    if visitors is None:
+        links = Links(tree, w, raw, None, w, raw, cos).run()
+    else:
+        other, wv, (rv, unit) = visitors
+        names = np.concatenate([names, other])
+        links = Links(tree, w, raw, Tree(unit), wv, rv, cos).run()
+    count = np.concatenate(links.counts())
+    on = np.flatnonzero(count)
+    i, j = links.stars()
+    a, b = np.concatenate([names[on], names[i]]), np.concatenate([np.full(len(on), -1), names[j]])
+    n = np.concatenate([count[on], np.zeros(len(i), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (a, b, n)], ["a", "b", "n"]), links.tested
+
+
 def _search(dims: int, dtype: str, cos: float):
-    """Rows of whole shards, residents first, to link counts (a, null, n) and stars (a, b, null)."""
-
-    def search(res, vis):
-        nodes, w, x, tree = res
-        if vis is None:
-            links = Links(x, x, w, w, cos)
-            links.run(tree, tree, True)
-            links.na += links.nb
-            names, count = nodes, links.na
-        else:
-            other, wv, y = vis
-            links = Links(x, y, w, wv, cos)
-            links.run(tree, build(y))
-            names, count = np.concatenate([nodes, other]), np.concatenate([links.na, links.nb])
-        on = np.flatnonzero(count)
-        a = [names[on]]
-        b = [np.full(len(on), -1)]
-        n = [count[on]]
-        if links.edges:
-            i, j = stars(np.concatenate([e[0] for e in links.edges]), np.concatenate([e[1] for e in links.edges]))
-            a.append(names[i]), b.append(names[j]), n.append(np.zeros(len(i), np.int64))
-        a, b, n = (np.concatenate(v).astype(np.int64) for v in (a, b, n))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+    """Rows of whole shards, residents first, to link counts (a, -1, n) and stars (a, b, 0)."""
 
     def run(batches):
         at, held, res = None, [], None
@@ -240,27 +420,25 @@ def _search(dims: int, dtype: str, cos: float):
             )
 
         def residents():
-            nodes, w, x = unpack(held)
-            return nodes, w, x, build(x)
+            nodes, w, (raw, unit) = unpack(held)
+            return nodes, w, raw, Tree(unit)
 
         for batch in batches:
             for r in batch.to_pylist():
                 if r["shard"] != at:
                     if held:
-                        res = residents()
-                        yield search(res, None)
+                        yield search(residents(), None, cos)[0]
                     at, held, res = r["shard"], [], None
                 if r["kind"] == 0:
                     held.append(r)
                 else:
                     if held:
-                        res = residents()
-                        held = []
-                        yield search(res, None)
+                        res, held = residents(), []
+                        yield search(res, None, cos)[0]
                     if res is not None:
-                        yield search(res, unpack([r]))
+                        yield search(res, unpack([r]), cos)[0]
         if held:
-            yield search(residents(), None)
+            yield search(residents(), None, cos)[0]
 
     return run
 
@@ -272,8 +450,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     dtype = "<f4" if element == "array<float>" else "<f8"
     wide = F.col("embedding") if dtype == "<f4" else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("embedding"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    fine = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("fine", fine)
     distinct = rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     distinct = stage(distinct.select("embedding", "rep", "weight", F.size("embedding").alias("dims")).withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
@@ -283,7 +461,6 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = stage(found, "vector-links")
     root = components(found.where("b >= 0").select("a", "b"))
     count = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     own = distinct.select("node", "embedding", "rep", "weight").join(root, "node", "left").join(count, "node", "left")
@@ -306,21 +483,20 @@ def _of_length(distinct: DataFrame, dims: int, n: int, dtype: str, least: float)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), pa.array(data, pa.binary())], ["node", "weight", "data"])
 
     vectors = distinct.select("node", "weight", "embedding").mapInArrow(packed, "node long, weight long, data binary")
-    wanted = max(1, min(CELLS, n // (SHARD // 2)))
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(512, 8 * wanted))).select("embedding").collect()
-    x = np.array([r[0] for r in sample], np.float64)
-    skeleton = Skeleton(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), wanted)
-    shared = spark.sparkContext.broadcast({dims: skeleton})
+    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(512, n // 16))).select("embedding").collect()
+    top = Top(units([np.array(r[0], dtype).tobytes() for r in sample], dims, dtype)[1])
+    shared = spark.sparkContext.broadcast(top)
     cells = stage(vectors.mapInArrow(_cells(shared, dims, dtype), "node long, weight long, data binary, cell int, far double"), "cells")
     stats = sorted((r["cell"], r["n"], r["far"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect())
-    cell, count, far = (np.array(x) for x in zip(*stats, strict=True))
-    blocks = -(-count // SHARD)
-    first = np.cumsum(blocks) - blocks
-    table = spark.createDataFrame([(int(c), int(a), int(b)) for c, a, b in zip(cell, first, blocks, strict=True)], "cell int, first int, blocks int")
+    top.measure(*(np.array(x) for x in zip(*stats, strict=True)), SHARD)
+    table = spark.createDataFrame([(c, int(top.first_shard[c]), int(top.blocks[c])) for c, _, _ in stats], "cell int, first int, blocks int")
     dealt = cells.join(F.broadcast(table), "cell").select("node", "weight", "data", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("shard"))
-    plan = spark.sparkContext.broadcast((skeleton, cell, first, blocks, far, float(np.sqrt(2 - 2 * least))))
+    plan = spark.sparkContext.broadcast((top, float(np.sqrt(2 - 2 * least))))
     rows = dealt.mapInArrow(_deal(plan, dims, dtype), "shard int, kind int, nodes binary, weights binary, data binary")
-    return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dims, dtype, least), "a long, b long, n long")
+    found = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dims, dtype, least), "a long, b long, n long")
+    found = stage(found, "vector-links")
+    drop_staged(cells)
+    return found
 
 
 def op2_cover_tree(spark, sf_dir: str) -> DataFrame:

@@ -46,9 +46,10 @@ def near_vectors(rows: list[tuple[int, list | None]], least: float = 0.9) -> dic
     unit = []
     for _, v in rows:
         ok = v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
-        x = np.array(v, np.float64) if ok else None
-        unit.append(None if x is None else x / np.sqrt((x * x).sum()))
-    links = [(i, j) for i in range(len(rows)) if unit[i] is not None for j in range(i) if unit[j] is not None and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= least]
+        unit.append(np.array(v, np.float64) / np.abs(v).max() if ok else None)
+    norm = [None if x is None else float(np.sqrt((x * x).sum())) for x in unit]
+    fine = [i for i in range(len(rows)) if unit[i] is not None]
+    links = [(i, j) for i in fine for j in fine if j < i and len(unit[i]) == len(unit[j]) and float((unit[i] * unit[j]).sum()) / (norm[i] * norm[j]) >= least]
     count = Counter(x for link in links for x in link)
     group = defaultdict(list)
     for i, r in enumerate(components(len(rows), links)):

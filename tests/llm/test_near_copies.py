@@ -22,22 +22,91 @@ def test_vectors_of_the_table(spark, sf):
     assert vectors(registry.QUERIES["op2_cover_tree"](spark, sf)) == brute.near_vectors(rows)
 
 
-@pytest.mark.parametrize(("shard", "leaf"), [(covertree.SHARD, covertree.LEAF), (40, 4)])
-def test_odd_vectors(spark, monkeypatch, shard, leaf):
+@pytest.mark.parametrize(("shard", "sample"), [(covertree.SHARD, covertree.SAMPLE), (40, 100)])
+def test_odd_vectors(spark, monkeypatch, shard, sample):
     monkeypatch.setattr(covertree, "SHARD", shard)
-    monkeypatch.setattr(covertree, "LEAF", leaf)
+    monkeypatch.setattr(covertree, "SAMPLE", sample)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 8))
     near = [(base[i % 12] + rng.normal(size=8) * 0.25).tolist() for i in range(150)]
     rows = [(i, v) for i, v in enumerate(near)]
     rows += [(500 + i, near[0]) for i in range(30)]
     rows += [(600, None), (601, []), (602, [0.0] * 8), (603, [1.0, None] + [0.0] * 6), (604, [float("nan")] * 8), (605, [float("inf")] + [0.0] * 7), (606, [1.0, 0.0]), (607, [2.0, 0.0]), (608, (1e-3 * base[0]).tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "weight": F.lit("w"), "n": F.lit(None)})
+    rows += [(610, [1e200, 0.0, 0.0]), (611, [3e-200, 0.0, 0.0]), (612, [1e200, 1e199, 0.0]), (613, [0.0, 5e-324, 0.0]), (614, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "weight": F.lit("w"), "n": F.lit(None), "cell": F.lit(2), "root": F.lit(3)})
     got = covertree.near_vectors(df)
     assert got.count() == len(rows)
     assert vectors(got) == brute.near_vectors(rows)
 
 
+def test_cosines_at_the_threshold(spark):
+    """A cosine of 0.9 in double precision links, one a step below doesn't, whatever the length of the vectors."""
+    rows = [(i, [9.0 * k, float(np.sqrt(19.0)) * k]) for i, k in enumerate((1.0, 3.0, 7e-5, 1e9))] + [(10, [1.0, 0.0]), (11, [5.0, 0.0])]
+    rows += [(20, [9.0, float(np.nextafter(np.sqrt(19.0), 9)) * (1 + 4e-16)]), (21, [0.9, 0.4358898943540673])]
+    assert vectors(covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute.near_vectors(rows)
+
+
+def tree_of(x):
+    w = np.ones(len(x), np.int64)
+    return covertree.Links(tree := covertree.Tree(x), w, x, None, w, x, 0.9).run(), tree
+
+
+def test_tree_levels_are_nested_and_halve():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 32))
+    x = base[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 32)) * 0.2
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    links, t = tree_of(x)
+    inner = np.flatnonzero(t.last)
+    assert len(inner) > 60 and sorted(t.order) == list(range(2000))
+    for k in inner:
+        below = np.arange(t.first[k], t.last[k])
+        rows = t.order[t.low[k] : t.high[k]]
+        assert t.center[t.first[k]] == t.center[k] and (t.radius[below] <= t.reach[k] + 1e-9).all() and t.radius[k] / 2 <= t.reach[k] + 1e-9 < t.radius[k] + 2e-9
+        assert np.sqrt(((x[rows] - x[t.center[k]]) ** 2).sum(axis=1)).max() <= t.radius[k] + 1e-7
+    assert all(t.rows[k] == 1 or t.radius[k] <= covertree.SLACK for k in np.flatnonzero(t.last == 0))
+    hit = x @ x.T >= 0.9
+    assert (links.counts()[0] == hit.sum(axis=1) - 1).all()
+
+
+def test_groups_are_pruned():
+    """In groups about 0.95 alike, a small part of all pairs is compared; in one tight group next to none."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 64))
+    base /= np.sqrt((base * base).sum(axis=1, keepdims=True))
+    for groups, wide, share in ((60, 0.028, 0.1), (2, 0.01, 0.01)):
+        x = base[rng.integers(0, groups, 3000)] + rng.normal(size=(3000, 64)) * wide
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        links, tree = tree_of(x)
+        hit = x @ x.T >= 0.9
+        assert (links.counts()[0] == hit.sum(axis=1) - 1).all()
+        assert links.tested < share * len(x) ** 2 and (tree.last > 0).sum() > groups
+        half = covertree.Links(covertree.Tree(x[:1000]), np.ones(1000, np.int64), x[:1000], covertree.Tree(x[1000:]), np.ones(2000, np.int64), x[1000:], 0.9).run()
+        assert all((got == want).all() for got, want in zip(half.counts(), (hit[:1000, 1000:].sum(axis=1), hit[:1000, 1000:].sum(axis=0)), strict=True))
+
+
+def test_vectors_visit_near_cells_only(monkeypatch):
+    """Of shards of grouped vectors, a vector visits few, and those that hold its neighbours."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(100, 64))
+    x = base[rng.integers(0, 100, 8000)] + rng.normal(size=(8000, 64)) * 0.2
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    top = covertree.Top(x[:1000])
+    cell, far = top.home(x)
+    cells = np.unique(cell)
+    top.measure(cells, np.array([(cell == c).sum() for c in cells]), np.array([far[cell == c].max() for c in cells]), 200)
+    own = top.first_shard[cell] + np.arange(len(x)) % top.blocks[cell]
+    seen = np.zeros((len(x), top.shards), bool)
+    for c, rows in top.visits(x, float(np.sqrt(0.2))):
+        for s in range(top.first_shard[c], top.first_shard[c] + top.blocks[c]):
+            seen[rows, s] = True
+    assert seen[np.arange(len(x)), own].all() and seen.mean() < 0.1
+    near = np.argwhere(x[:300] @ x.T >= 0.9)
+    assert all(seen[i, own[j]] for i, j in near)
+    shards = np.arange(top.shards)
+    assert all((covertree.visits(shards, s) ^ np.array([covertree.visits(np.array([s]), int(k))[0] for k in shards]) == (shards != s)).all() for s in shards)
+
+
 def test_no_vectors(spark):
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
