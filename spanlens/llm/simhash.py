@@ -216,11 +216,14 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, hot: int = 20_000) -> Dat
     """One row of each group stays: one with the smallest doc_id. Rows with a null id stay only if their group has no other id.
 
     Ids can be null or repeated in several groups, so a row is known by its id and text; of rows with the smallest id, the
-    smallest by fingerprint and hash of the text stays, and one of those equal in both."""
+    smallest by fingerprint and hash of the text stays, and one of those equal in both. Rows are carried in a struct, so that
+    columns may have any name."""
     rows = _grouped(docs, radius, hot, same=True).where("doc_id <=> component_id")
     rows = rows.groupBy("root", "doc_id", "fp", "same").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct("fp", "same", "doc_id", "n")).alias("x"))
-    keep = stage(first.select(F.col("x.doc_id").alias("_keep"), F.col("x.same").alias("_same"), F.col("x.n").alias("_n")), "kept-rows")
-    own, same = F.col("doc_id").cast("long"), F.xxhash64("text")
-    kept = docs.join(keep.drop("_n"), own.eqNullSafe(F.col("_keep")) & (same == F.col("_same")), "left_semi")
-    return kept if keep.where("_n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    keep = stage(first.select(F.col("x.doc_id").alias("id"), F.col("x.same").alias("same"), F.col("x.n").alias("n")), "kept-rows")
+    all_ = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_same"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = all_.join(keep.drop("n"), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_same") == F.col("same")), "left_semi")
+    if not keep.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["own", "own_same"])
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))

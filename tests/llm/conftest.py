@@ -54,7 +54,8 @@ def doc_rows(documents):
     return sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
 
 
-CLASHES = ("key", "fp", "chunk", "bucket", "rest", "row", "id", "shard", "class", "size", "taken", "_key", "piece", "lane", "n", "label", "rank", "words")
+CLASHES = ("key", "fp", "chunk", "bucket", "rest", "id", "shard", "class", "size", "taken", "_key", "piece", "lane", "n", "label", "rank", "words",
+           "_size", "_taken", "_whole", "_rest", "_mark", "_i", "_keep", "_same", "_id", "_n", "mark", "row", "same", "own", "end", "all", "cell", "data", "to")
 
 
 @pytest.fixture(scope="session")

@@ -90,6 +90,36 @@ def test_equal_rows_share_what_is_taken(spark):
     assert {r["doc_id"]: r["t"] for r in taken} == dict(out)
 
 
+def test_columns_of_any_name_come_back(spark, clashing, odd_docs):
+    """Filtering stages hand on every column as it was, whatever its name."""
+    import corpus_pipeline
+
+    extra = [c for c in clashing.columns if c not in odd_docs.columns]
+    for name, step in corpus_pipeline.STAGES[1:4]:
+        plain = sorted(str(tuple(r)) for r in step(spark, odd_docs, "").collect())
+        out = step(spark, clashing, "")
+        assert out.columns == clashing.columns, name
+        rows = out.collect()
+        assert sorted(str(tuple(r[c] for c in odd_docs.columns)) for r in rows) == plain, name
+        assert all(r[c] == f"own {c}" for r in rows for c in extra), name
+
+
+def test_many_sources(spark):
+    """Any number of sources that don't overlap: each comes near its target."""
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 25_000:05d}") for i in range(50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_mix(mixing.mix(docs).collect(), rows)
+
+
+def test_flow_beside_sources_of_their_own():
+    """What needs no flow gets the same as in one flow of all."""
+    sums = [((0,), 10), ((0, 1), 6), ((1,), 3), ((2,), 8), ((3,), 2)]
+    quotas = [14, 9, 5, 6]
+    whole = [sum(x.values()) for x in mixing.flow([(frozenset(own), n) for own, n in sums], quotas)]
+    assert mixing.solve(sums, quotas) == whole
+    assert mixing.solve(sums[3:], quotas) == whole[3:]
+
+
 def cheapest(patterns, quotas, repeats=3):
     """The least cost of the largest flow, by trying everything."""
     ways = []
@@ -165,7 +195,7 @@ def check_pack(rows, docs, whole=2048):
         assert at <= whole
         total += at
         padded += at if at & (at - 1) == 0 else whole
-    return 1 - total / padded
+    return 1 - total / max(1, padded)
 
 
 def test_pack_of_the_table(spark, sf, doc_rows):
@@ -333,14 +363,20 @@ def test_pipeline(spark, sf, documents):
     check_pack(kept[5].collect(), own(kept[4]))
 
 
-def test_stages_take_odd_rows(spark, sf, clashing, no_docs):
+def test_stages_take_odd_rows(spark, sf, clashing, odd_docs, no_docs):
     import corpus_pipeline
 
-    for df in (clashing, no_docs):
+    last = []
+    for df in (clashing, odd_docs, no_docs):
         docs = df
-        for _, step in corpus_pipeline.STAGES:
+        for _, step in corpus_pipeline.STAGES[:4]:
             docs = step(spark, docs, sf)
-        assert docs.count() >= 0
+        assert docs.columns == df.columns
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        pieces = corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()
+        check_pack(pieces, rows)
+        last.append(sorted(map(str, rows)))
+    assert last[0] == last[1] and len(last[1]) >= 5 and not last[2]
 
 
 def test_modules_are_used():
