@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,18 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a new local one if everything runs in one process, as
+    in tests, and an error on a cluster, whose machines would not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spanlens-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spanlens-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanlens/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which is deleted when the application ends."""
+    root = f"{shared_dir(spark)}/spanlens/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 ARROW_BYTES = 4 << 20
@@ -37,6 +50,18 @@ def bound_arrow(spark: SparkSession) -> None:
         spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
+@contextlib.contextmanager
+def lean_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside are deleted at its end rather than when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -45,6 +70,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``stage`` in files by a hash of ``key``: grouping or joining by it later moves no row of the table."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"spanlens_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its files stay: the name was only needed to write them
+    return out
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any longer."""
     spark = df.sparkSession

@@ -4,22 +4,26 @@ A batch of documents is cut into chunks of consecutive doc_ids. A chunk sends, t
 distinct window fingerprints as one packed row. A bucket merge-joins them with the sorted immutable runs that earlier
 batches left and with the other chunks of the batch, and answers each chunk with one bit per fingerprint: whether the
 window also starts in an earlier document. A fingerprint has 64 bits: 48 of one hash, of which the first name its bucket, and
-16 of an independent one that verifies a match of the others. Sorted fingerprints are stored as differences, of as many
-bytes as the largest one needs. A batch then leaves its own sorted run, and ``compact`` merges runs of one level into one
-of the next.
+16 of an independent one, modulo a prime, that verify a match of the others; texts of earlier batches are not kept, so
+their words can't be compared again. Sorted fingerprints are stored as differences, of as many bytes as the largest one needs.
+A batch then leaves its own sorted run, and ``compact`` merges runs of one level into one of the next. Runs lie in files by
+bucket, so that a batch moves its own fingerprints and none of the index, however large that is.
 
 Because a chunk sends a fingerprint once however often it occurs in it, a passage that a third of all documents share
-costs a bucket one entry a chunk. No row is made for a window.
+costs a bucket one entry a chunk. No row is made for a window. Rows without an id, or of one id with very many rows, are
+several chunks, among which none counts as earlier.
 
-Defined results: a null text has no words and keeps nothing (empty text); texts under 13 words lose nothing; documents
-of equal doc_id don't count as earlier than each other; a null doc_id counts as after all others, and two of them don't
-count as earlier than each other; an empty table gives an empty table. Columns other than ``doc_id`` and ``text`` are
+Defined results: a null text has no words and keeps nothing (empty text); texts under 13 words lose nothing; a text of any
+length is read whole, as part of one chunk; documents of equal doc_id don't count as earlier than each other; a null doc_id
+counts as after all others, and two of them don't count as earlier than each other; of equal passages the one in the smallest
+doc_id stays, in all rows of that id; an empty table gives an empty table. Columns other than ``doc_id`` and ``text`` are
 carried inside a struct, so that they may have any name.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +31,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlens.llm.shared import bound_arrow, stage, text_bytes
-from spanlens.llm.words import Words, binary, trim
+from spanlens.llm.shared import bound_arrow, lean_shuffles, stage_bucketed, text_bytes
+from spanlens.llm.words import Words, binary, prime_spans, prime_windows, trim
 
 WINDOW = 13
 CHUNK_BYTES = 8 << 20
 MAX_CHUNKS = 8192
 BUCKET = 1 << 18
 MAX_BITS = 18
+FANOUT = 4
 U = np.uint64
-MESSAGE = "bucket int, chunk int, n int, data binary"
-HISTORY, RUN = -1, -2
+MESSAGE = "bucket int, chunk int, rank int, n int, data binary"
+ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("rank", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+RUN = -1
 
 
 def pack(e: np.ndarray) -> bytes:
@@ -66,7 +72,8 @@ class ChunkWindows:
         self.low = U((1 << (64 - bits)) - 1)
         e, self.at = self.words.windows(self.words.hashes(0), window, 0)
         e &= U(0xFFFFFFFFFFFF0000)
-        e |= self.words.windows(self.words.hashes(1), window, 1)[0] >> U(48)
+        w = self.words
+        e |= prime_windows(prime_spans(w.raw, w.starts, w.ends), window)[self.at] & U(0xFFFF)
         self.at = self.at.astype(np.int32)
         by = np.argsort(e, kind="stable").astype(np.int32)
         e = e[by]
@@ -85,16 +92,10 @@ class ChunkWindows:
     def bucket(self, e: np.ndarray) -> np.ndarray:
         return (e >> self.shift).astype(np.int32) if self.shift < 64 else np.zeros(len(e), np.int32)
 
-    def messages(self, chunk: int) -> pa.Table:
+    def messages(self, chunk: int, rank: int) -> pa.Table:
         parts = [self.entry[a:b] for a, b in zip(self.edges, self.edges[1:], strict=False)]
-        return pa.table(
-            {
-                "bucket": pa.array(self.bucket(self.entry[self.edges[:-1]]), pa.int32()),
-                "chunk": pa.array([chunk] * len(parts), pa.int32()),
-                "n": pa.array([len(p) for p in parts], pa.int32()),
-                "data": pa.array([pack(p & self.low) for p in parts], pa.binary()),
-            }
-        )
+        bucket = self.bucket(self.entry[self.edges[:-1]]).tolist()
+        return table_of([(k, chunk, rank, len(p), pack(p & self.low)) for k, p in zip(bucket, parts, strict=True)])
 
     def removed(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each word, whether a window that also starts in an earlier document covers it."""
@@ -110,47 +111,59 @@ class ChunkWindows:
         return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
+def table_of(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in ARROW]
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
+
+
 def _send(window: int, bits: int):
     def run(key, table):
-        out = ChunkWindows(table.column("id").to_pylist(), binary(table.column("text")), window, bits).messages(key[0].as_py())
+        out = ChunkWindows(table.column("id").to_pylist(), binary(table.column("text")), window, bits).messages(key[0].as_py(), table.column("rank")[0].as_py())
         trim()
         return out
 
     return run
 
 
-def _match(table):
-    """The rows of one bucket: runs of earlier batches and messages of chunks, to bits for each chunk and the batch's own run."""
+def _match(table, history):
+    """The messages of one bucket and the runs of earlier batches, to bits for each chunk and the batch's own run.
+
+    Chunks of one rank don't count as earlier than each other."""
+    if not table.num_rows:
+        return table_of([])
     bucket = table.column("bucket")[0].as_py()
-    chunk = table.column("chunk").to_numpy()
-    n = table.column("n").to_numpy()
+    chunk, rank, n = (table.column(c).to_numpy() for c in ("chunk", "rank", "n"))
     data = table.column("data").to_pylist()
-    runs = [unpack(n[i], data[i]) for i in np.flatnonzero(chunk == HISTORY)]
-    new = [i for i in np.argsort(chunk, kind="stable") if chunk[i] != HISTORY]
-    out = []
-    if new:
-        e = np.concatenate([unpack(n[i], data[i]) for i in new])
-        by = np.argsort(e, kind="stable")
-        same = np.zeros(len(e), bool)
-        same[by[1:]] = e[by[1:]] == e[by[:-1]]
-        run = e[by[~same[by]]]
-        for old in runs:
-            at = np.minimum(np.searchsorted(old, e), len(old) - 1)
-            same |= old[at] == e
-        a = 0
-        for i in new:
-            if (own := same[a : a + n[i]]).any():
-                out.append((bucket, int(chunk[i]), int(n[i]), np.packbits(own).tobytes()))
-            a += n[i]
-        out.append((bucket, RUN, len(run), pack(run)))
-    cols = list(zip(*out, strict=False)) or [[], [], [], []]
-    return pa.table({k: pa.array(list(c), t) for k, c, t in zip(("bucket", "chunk", "n", "data"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=False)})
+    new = np.argsort(rank, kind="stable").tolist()
+    e = np.concatenate([unpack(n[i], data[i]) for i in new])
+    of = np.repeat(rank[new], n[new])
+    by = np.argsort(e, kind="stable")
+    head = np.ones(len(e), bool)
+    head[1:] = e[by[1:]] != e[by[:-1]]
+    run = e[by[head]]
+    same = np.empty(len(e), bool)
+    same[by] = of[by] > of[by[head]][np.cumsum(head) - 1]
+    if history is not None:
+        for m, old in zip(history.column("n").to_pylist(), history.column("data").to_pylist(), strict=True):
+            old = unpack(m, old)
+            same |= old[np.minimum(np.searchsorted(old, e), len(old) - 1)] == e
+    out, a = [], 0
+    for i in new:
+        if (own := same[a : a + n[i]]).any():
+            out.append((bucket, int(chunk[i]), 0, int(n[i]), np.packbits(own).tobytes()))
+        a += n[i]
+    out.append((bucket, RUN, 0, len(run), pack(run)))
+    return table_of(out)
+
+
+def _match_first(table):
+    return _match(table, None)
 
 
 def _merge(table):
-    runs = [unpack(n, d) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=False)]
-    e = np.unique(np.concatenate(runs))
-    return pa.table({"bucket": table.column("bucket")[:1].combine_chunks(), "chunk": pa.array([HISTORY], pa.int32()), "n": pa.array([len(e)], pa.int32()), "data": pa.array([pack(e)], pa.binary())})
+    """Runs of one bucket as one."""
+    e = np.unique(np.concatenate([unpack(n, d) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=False)]))
+    return table_of([(table.column("bucket")[0].as_py(), RUN, 0, len(e), pack(e))])
 
 
 def _finish(window: int, bits: int, schema: pa.Schema):
@@ -187,47 +200,77 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 class WindowIndex:
     """Runs of window fingerprints of the documents seen so far; ``add`` deduplicates a batch against them and itself."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, bits: int = 11, fanout: int = 4):
-        """``bits``: the index has 2**bits buckets, 2**``MAX_BITS`` at most."""
+    def __init__(self, spark: SparkSession, window: int = WINDOW, bits: int = 11, fanout: int = FANOUT):
+        """``bits``: the index has 2**bits buckets, 2**``MAX_BITS`` at most; its files are as many as shuffles have partitions."""
         self.spark, self.window, self.bits, self.fanout = spark, window, min(MAX_BITS, max(0, bits)), fanout
+        self.files = min(1 << self.bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[tuple[int, DataFrame]] = []
+        self.compactions = 0
+
+    def history(self) -> DataFrame | None:
+        out = None
+        for _, run in self.runs:
+            out = run if out is None else out.unionByName(run)
+        return out
 
-    def add(self, docs: DataFrame, bounds: list[int], append: bool = True) -> DataFrame:
+    def add(self, docs: DataFrame, ranges: Ranges, append: bool = True) -> DataFrame:
         """One row per row of ``docs``: rest (struct of its other columns), text, n_words, n_removed, kept_text, removed (word spans).
 
-        ``bounds`` cut the batch into chunks by doc_id. With ``append``, the batch leaves its run for later batches."""
+        ``ranges`` cut the batch into chunks. Ids must not lie before those of earlier batches. With ``append``, the batch
+        leaves its run for later batches."""
         bound_arrow(self.spark)
-        rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-        dealt = docs.select(chunk_of(F.col("doc_id").cast("long"), bounds).alias("chunk"), F.col("doc_id").cast("long").alias("id"), "text", rest.alias("rest"))
-        rows = dealt.groupBy("chunk").applyInArrow(_send(self.window, self.bits), MESSAGE)
-        for _, run in self.runs:
-            rows = rows.unionByName(run)
-        replies = rows.groupBy("bucket").applyInArrow(_match, MESSAGE)
+        rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+        id_ = F.col("doc_id").cast("long")
+        dealt = docs.select(*ranges.columns(id_, F.col("text")), id_.alias("id"), "text", rest)
+        sent = dealt.groupBy("chunk").applyInArrow(_send(self.window, self.bits), MESSAGE)
+        if (old := self.history()) is None:
+            replies = sent.groupBy("bucket").applyInArrow(_match_first, MESSAGE)
+        else:
+            replies = sent.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_match, MESSAGE)
         if append:
-            replies = stage(replies, "window-replies")
-            self.runs.append((0, replies.where(F.col("chunk") == RUN).select("bucket", F.lit(HISTORY).alias("chunk"), "n", "data")))
+            with lean_shuffles(self.spark):
+                replies = stage_bucketed(replies, "window-replies", "bucket", self.files)
+            self.runs.append((0, replies.where(F.col("chunk") == RUN)))
             self.compact()
         long, no = F.lit(0).cast("long"), F.lit(None)
         shape = dealt.select("rest", "text", long.alias("n_words"), long.alias("n_removed"), F.lit("").alias("kept_text"), no.cast("array<struct<start:int,end:int>>").alias("removed"))
         kind = T.StructType([T.StructField(f.name, f.dataType) for f in shape.schema])
         arrow = pa.schema([("rest", pa.null()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", SPANS)])
         answers = replies.where(F.col("chunk") >= 0).select(F.col("chunk").alias("to"), "bucket", "data")
-        return dealt.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_finish(self.window, self.bits, arrow), kind)
+        return dealt.drop("rank").groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_finish(self.window, self.bits, arrow), kind)
 
     def compact(self) -> None:
-        """Merges the runs of a level into one of the next, once there are ``fanout`` of them."""
+        """Merges the runs of a level into one of the next, once there are ``fanout`` of them; runs stay where they are by bucket."""
         level = 0
         while (same := [r for k, r in self.runs if k == level]) and len(same) >= self.fanout:
             rows = same[0]
             for r in same[1:]:
                 rows = rows.unionByName(r)
-            merged = stage(rows.groupBy("bucket").applyInArrow(_merge, MESSAGE), "window-run")
+            merged = stage_bucketed(rows.groupBy("bucket").applyInArrow(_merge, MESSAGE), "window-run", "bucket", self.files)
             self.runs = [(k, r) for k, r in self.runs if k != level] + [(level + 1, merged)]
+            self.compactions += 1
             level += 1
 
 
+class Ranges:
+    """Ranges of doc_ids and, for each, the number of its chunks: one, but for a range that is a single id with many rows, and
+    for rows without an id, which come last."""
+
+    def __init__(self, bounds: list[int], parts: list[int]):
+        self.bounds, self.parts = bounds, parts
+
+    def columns(self, key: Column, text: Column) -> list[Column]:
+        """``rank``, the number of the range, and ``chunk``."""
+        at = F.when(key.isNull(), F.lit(len(self.bounds) + 1)).otherwise(chunk_of(key, self.bounds)).cast("int")
+        if max(self.parts) == 1:
+            return [at.alias("chunk"), at.alias("rank")]
+        first = [sum(self.parts[:k]) for k in range(len(self.parts))]
+        of = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), at + 1)
+        return [(of(first) + F.pmod(F.xxhash64(text), of(self.parts))).cast("int").alias("chunk"), at.alias("rank")]
+
+
 def chunk_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds that are not above the key, found in two steps; the last chunk for null."""
+    """The number of bounds that are not above the key, found in two steps."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
@@ -237,33 +280,46 @@ def chunk_of(key: Column, bounds: list[int]) -> Column:
     found = F.element_at(
         F.transform(F.array(at), lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + F.size(F.filter(F.slice(fine, (k - 1) * step + 1, step), lambda b: b <= key)))), 1
     )
-    return F.when(key.isNull(), F.lit(len(bounds))).otherwise(found).cast("int")
+    return found.cast("int")
 
 
 def quantiles(docs: DataFrame, n: int) -> list[int]:
-    """At most n - 1 doc_ids that cut the table into n parts of about as many rows."""
+    """At most n - 1 doc_ids that cut the table into n parts of about as many rows; an id of several parts repeats."""
     if n <= 1:
         return []
-    got = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 20 * n)).first()[0]
-    return sorted(set(got or []))
+    return docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+
+
+def ranges(docs: DataFrame, n: int) -> Ranges:
+    """About n chunks of about as many rows."""
+    if n <= 1:
+        return Ranges([], [1, 1])
+    id_ = F.col("doc_id").cast("long")
+    rows, ids = docs.select(F.count(F.lit(1)), F.count(id_)).first()
+    own = max(1, round(n * ids / rows)) if rows else 1
+    times = Counter(quantiles(docs.where(id_.isNotNull()), own))
+    hot = {d: k for d, k in times.items() if k > 1}  # over a part's rows each
+    bounds = sorted(set(times) | {d + 1 for d in hot if d < 2**63 - 1})
+    return Ranges(bounds, [1] + [hot.get(b, 1) for b in bounds] + [max(1, n - own)])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, first: float = 0.25, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Deduplicates a whole table in batches of rising doc_id: a first share of the rows, then the rest in batches of at most ``MAX_CHUNKS`` chunks."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, first: float = 0.2, chunk_bytes: int = CHUNK_BYTES, index: WindowIndex | None = None) -> DataFrame:
+    """Deduplicates a table that is there as a whole in batches of rising doc_id: a first share of the rows in as many batches
+    as make a compaction, then the rest, in batches of at most ``MAX_CHUNKS`` chunks, against the compacted run."""
     total = text_bytes(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))
     bits = max(0, math.ceil(math.log2(max(1, total / 6 / BUCKET))))
-    index = WindowIndex(docs.sparkSession, window, bits)
-    cuts = quantiles(docs, max(round(1 / first), math.ceil(chunks / MAX_CHUNKS)))
-    if len(cuts) + 1 == round(1 / first):
-        cuts = cuts[:1]
+    index = index or WindowIndex(docs.sparkSession, window, bits)
+    more = max(1, math.ceil(chunks * (1 - first) / MAX_CHUNKS))
+    shares = [first / index.fanout] * index.fanout + [(1 - first) / more] * more
     id_ = F.col("doc_id").cast("long")
-    edges = [None, *cuts, None]
+    ends = [sum(shares[: k + 1]) for k in range(len(shares) - 1)]
+    cuts = sorted(set(docs.select(F.percentile_approx(id_, ends, 20 * len(shares) * index.fanout)).first()[0] or []))
     out = None
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        batch = docs if a is None and b is None else docs.where(id_ < b) if a is None else docs.where((id_ >= a) & (id_ < b)) if b is not None else docs.where((id_ >= a) | id_.isNull())
-        share = chunks if len(edges) == 2 else math.ceil(chunks * (first if k == 0 else 1 - first)) if len(edges) == 3 else MAX_CHUNKS
-        part = index.add(batch, quantiles(batch, share), append=k + 2 < len(edges))
+    for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        batch = docs if a is None else docs.where((id_ >= a) | id_.isNull()) if b is None else docs.where(id_ >= a)
+        batch = batch if b is None else batch.where(id_ < b)
+        part = index.add(batch, ranges(batch, max(1, math.ceil(chunks * shares[min(k, len(shares) - 1)]))), append=b is not None)
         out = part if out is None else out.unionByName(part)
     return out
 

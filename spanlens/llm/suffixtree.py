@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, stage
+from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, lean_shuffles, stage
 from spanlens.llm.words import Words, binary, lookup, mix, small_batches
 
 U = np.uint64
@@ -257,14 +257,8 @@ def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
 
 
 def _lean(df: DataFrame, name: str) -> DataFrame:
-    """``stage``, with the shuffle files of the write deleted at its end rather than when the driver collects garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    own = conf.get(key, None)
-    conf.set(key, "true")
-    try:
+    with lean_shuffles(df.sparkSession):
         return stage(df, name)
-    finally:
-        conf.unset(key) if own is None else conf.set(key, own)
 
 
 def pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:

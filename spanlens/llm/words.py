@@ -26,18 +26,22 @@ BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64 - 1, size=(2, 2
 FACTOR = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED0D)
 
 
-try:
-    _LIBC = ctypes.CDLL("libc.so.6")
-    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB go back to the system as soon as they are freed
-except OSError:
-    _LIBC = None
+_LIBC: list = []
 
 
 def trim() -> None:
-    """Gives free memory back to the system: a Python worker outlives its tasks, and others need the room."""
+    """Gives free memory back to the system: a Python worker outlives its tasks, and others need the room.
+
+    From the first call on, the worker's arrays over 1 MB go back as soon as they are freed."""
     pa.default_memory_pool().release_unused()
-    if _LIBC is not None:
-        _LIBC.malloc_trim(0)
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6"))
+            _LIBC[0].mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except OSError:
+            _LIBC.append(None)
+    if _LIBC[0] is not None:
+        _LIBC[0].malloc_trim(0)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -51,7 +55,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW: dict[tuple[int, bool], np.ndarray] = {}
+_POW: dict[tuple, np.ndarray] = {}
 
 
 def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
@@ -117,6 +121,57 @@ def lookup(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == key, at, -1)
 
 
+#: Polynomials modulo a prime: their collisions have nothing to do with those modulo 2**64.
+PRIME = 2**31 - 1
+PRIME_BYTE = np.random.Generator(np.random.PCG64(17)).integers(1, PRIME, size=256, dtype=U)
+PRIME_FACTOR = (1_103_515_245, 1_664_525_077 % PRIME)
+
+
+def _prime_powers(n: int, which: int, inverse: bool) -> np.ndarray:
+    have = _POW.get((which, inverse, PRIME))
+    if have is None or len(have) < n:
+        base = pow(PRIME_FACTOR[which], -1, PRIME) if inverse else PRIME_FACTOR[which]
+        have, done = np.ones(max(n, 2 * BLOCK), U), 1
+        while done < len(have):
+            take = min(done, len(have) - done)
+            have[done : done + take] = have[:take] * U(pow(base, done, PRIME)) % U(PRIME)
+            done += take
+        _POW[which, inverse, PRIME] = have
+    return have[:n]
+
+
+def _prime_sums(values: np.ndarray, which: int) -> np.ndarray:
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * _prime_powers(len(values), which, False) % U(PRIME), out=total[1:])
+    return total
+
+
+def prime_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """31-bit hashes of byte spans modulo a prime."""
+    out = np.empty(len(starts), U)
+    a = 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        hi = int(ends[b - 1])
+        total = _prime_sums(PRIME_BYTE[raw[lo:hi]], 0)
+        s = starts[a:b] - lo
+        out[a:b] = (total[ends[a:b] - lo] - total[s]) % U(PRIME) * _prime_powers(hi - lo + 1, 0, True)[s] % U(PRIME)
+        a = b
+    return out
+
+
+def prime_windows(h: np.ndarray, size: int) -> np.ndarray:
+    """31-bit hashes of all runs of ``size`` consecutive hashes below the prime."""
+    n = max(0, len(h) - size + 1)
+    out = np.empty(n, U)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        total = _prime_sums(h[a : b + size - 1] + U(1), 1)
+        out[a:b] = (total[size:] - total[:-size]) % U(PRIME) * _prime_powers(b - a, 1, True) % U(PRIME)
+    return out
+
+
 class Words:
     """Words of several texts. ``doc[i]`` is the text that word i is in, ``first[d]:first[d + 1]`` are the words of text d."""
 

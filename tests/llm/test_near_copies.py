@@ -214,10 +214,55 @@ def test_index_over_batches(spark, odd_rows):
     got = []
     for a in range(0, len(odd_rows), 3):
         batch = spark.createDataFrame([r[:2] for r in odd_rows[a : a + 3]], "doc_id long, text string")
-        out = index.add(batch, substring.quantiles(batch, 2))
+        out = index.add(batch, substring.ranges(batch, 2))
         got += cut(out.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
     assert sorted(got) == sorted(brute.dedup_words([r[:2] for r in odd_rows]))
-    assert len(index.runs) <= 3
+    assert len(index.runs) <= 3 and index.compactions >= 2
+
+
+def exchanges(df):
+    return str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning(bucket")
+
+
+def test_five_batches_of_a_table(spark, doc_rows):
+    """A whole table is five batches: four leave runs that are compacted, and no batch moves a row of the index."""
+    docs = spark.createDataFrame(doc_rows, "doc_id long, text string").repartition(3)
+    index = substring.WindowIndex(spark, bits=4)
+    out = substring.substring_dedup(docs, chunk_bytes=20_000, index=index)
+    assert index.compactions == 1 and [k for k, _ in index.runs] == [1]
+    assert cut(out.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))) == sorted(brute.dedup_words(doc_rows))
+    batch = docs.where("doc_id > 10")
+    for runs in (0, 1, 3):
+        index = substring.WindowIndex(spark, bits=4)
+        for k in range(runs):
+            index.add(docs.where(f"doc_id = {k}"), substring.ranges(docs.where(f"doc_id = {k}"), 1))
+        assert len(index.runs) == runs
+        assert exchanges(index.add(batch, substring.ranges(batch, 2), append=False)) == 1
+
+
+def test_hot_ids_are_several_chunks(spark):
+    """Rows without an id and rows of one id are dealt over chunks, and don't count as earlier than each other."""
+    text = [" ".join(f"w{k % 5} x{k % 7} y{j}" for j in range(6)) for k in range(300)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = substring.ranges(docs, 12)
+    assert 7 in own.bounds and 8 in own.bounds and own.parts[own.bounds.index(7) + 1] >= 3 and own.parts[-1] >= 3
+    index = substring.WindowIndex(spark, bits=2)
+    out = index.add(docs, own).select("rest.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(brute.dedup_words(rows), key=key)
+
+
+def test_second_hash_is_independent():
+    """Words built to collide modulo 2**64 under any odd factor differ modulo the prime."""
+    from spanlens.llm.words import hash_spans, prime_spans
+
+    a, b = "p", "q"
+    for _ in range(11):
+        a, b = a + b, b + a
+    raw = np.frombuffer((a + " " + b).encode(), np.uint8)
+    starts, ends = np.array([0, len(a) + 1]), np.array([len(a), 2 * len(a) + 1])
+    assert len(set(hash_spans(raw, starts, ends).tolist())) == 1 and len(set(prime_spans(raw, starts, ends).tolist())) == 2
 
 
 def test_repeats_are_cut_out(odd_docs, odd_rows):
