@@ -4,9 +4,12 @@ Features are hashed 3- and 4-byte runs of the lower-case text, in which everythi
 document is the mean of its features, so texts of any length are on one scale. Families come from ``FAMILIES``; a language
 that is not listed is a family of its own. All classifiers are columns of one weight matrix, so a text is read once.
 
-Training takes about ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id; prediction reads every whole text.
+Training takes at most ``PER_LANGUAGE`` documents of each language, those with the smallest hashes of doc_id, and of the other
+families of a family at most about ``REST`` of these; all languages are learned, however many, and the driver holds the
+texts of the sample and half a megabyte for each classifier. Prediction reads every whole text, of any length.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned;
+Defined results: of languages with equal votes, the one with more of the pairs' confidence is predicted, then the first by
+name, and of equally likely families the first by name; null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned;
 with one learned language that language has score 1; rows of a repeated doc_id each get their row; an empty table
 gives an empty table. Only ``doc_id``, ``text`` and, for training, ``lang`` are read.
 """
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bound_arrow, bucket_of
+from spanlens.llm.shared import bound_arrow, bucket_of, hashed_sample
 from spanlens.llm.words import binary, small_batches
 
 FAMILIES = {
@@ -35,7 +38,7 @@ FAMILIES = {
 }
 BITS = 17
 PER_LANGUAGE = 700
-MAX_LANGUAGES = 256
+REST = 6000
 SCALE = 30.0
 EPOCHS = 6
 LETTER = np.full(256, 32, np.uint8)
@@ -48,7 +51,7 @@ def family_of(lang: str) -> str:
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed runs of all texts, and where each text's begin; every text gives one at least."""
+    """Hashed runs of all texts, and where each text's begin; every text gives one at least, whatever texts stand beside it."""
     parts = [b" " + (t or b"") + b"   " for t in binary(pc.utf8_lower(texts))]
     raw = LETTER[np.frombuffer(b"".join(parts), np.uint8)]
     doc = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
@@ -61,8 +64,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     four = three[:-1] | (raw[3:] << np.uint32(24))
     shift = np.uint32(32 - BITS)
     out = np.empty(2 * len(raw), np.uint32)
-    out[0 : 2 * len(three) : 2] = (three * np.uint32(2654435761)) >> shift
-    out[1 : 2 * len(four) : 2] = ((four ^ np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> shift
+    out[0 : 2 * len(three) : 2] = np.where(doc[:-2] == doc[2:], (three * np.uint32(2654435761)) >> shift, 0)
+    out[1 : 2 * len(four) : 2] = np.where(doc[:-3] == doc[3:], ((four ^ np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> shift, 0)
     out[2 * len(three) :: 2] = 0
     out[2 * len(four) + 1 :: 2] = 0
     return out.astype(np.int64), 2 * np.searchsorted(doc, np.arange(len(parts)))
@@ -86,7 +89,8 @@ class Model:
         """Hinge loss by adaptive gradient steps, one classifier at a time."""
         rng = np.random.Generator(np.random.PCG64(5))
         for k, (yes, no) in enumerate(self.tasks):
-            own = [(1.0 if x in yes else -1.0, f) for x, f in examples if x in yes or x in no]
+            positive, negative = [(1.0, f) for x, f in examples if x in yes], [(-1.0, f) for x, f in examples if x in no]
+            own = positive + negative[:: max(1, -(-len(negative) // max(REST, 1)))]
             up = sum(y > 0 for y, _ in own) / max(1, len(own))
             w, square, b, square_b = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), 0.0, 1e-8
             mean = np.zeros(1 << BITS)
@@ -157,15 +161,13 @@ def snippet(text: str, seed: int) -> str:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from ``lang`` and ``text`` of about ``per_language`` documents of each of at most ``MAX_LANGUAGES`` languages, the most frequent ones."""
-    known = docs.where("lang is not null and text is not null")
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    """Learns from ``lang`` and ``text`` of at most ``per_language`` documents of each language, those with the smallest hashes of doc_id."""
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     model = Model(list(count))
     if len(count) < 2:
         return model
-    share = F.element_at(F.create_map(*(F.lit(v) for k, n in count.items() for v in (k, per_language / n))), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text").limit(2 * per_language * len(count))
-    rows = sorted((r["lang"], r["text"]) for r in chosen.collect())
+    rows = sorted((r["lang"], r["text"]) for r in hashed_sample(known, "lang", "doc_id", count, per_language, 2).select("lang", "text").collect())
     rows += [(x, snippet(t, i * 7919)) for i, (x, t) in enumerate(rows)]
     examples = []
     for x, t in rows:

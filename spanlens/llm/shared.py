@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 _LOCAL: dict[str, str] = {}
@@ -95,6 +97,19 @@ def bucket_of(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def hashed_sample(df: DataFrame, group: str, key: str, sizes: dict, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hashes of ``key`` and then the smallest keys, all of a group that has
+    fewer: the same ones whatever the table's size or partitions.
+
+    ``sizes``: rows by group, of which there are few. A threshold on the full hash, at about twice what is asked for, leaves few rows to be ordered."""
+    most = [(name, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (2 * n + 100) / max(1, rows))))) for name, rows in sizes.items()]
+    limits = df.sparkSession.createDataFrame(most, T.StructType([T.StructField("of", df.schema[group].dataType), T.StructField("most", T.LongType())]))
+    mark = F.xxhash64(F.col(key), F.lit(seed))
+    order = Window.partitionBy(group).orderBy(mark, key)
+    few = df.join(F.broadcast(limits), F.col(group).eqNullSafe(F.col("of")) & (mark <= F.col("most"))).drop("of", "most")
+    return few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: one scan, one number."""
     return docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -5,11 +5,12 @@ score is 1 - prod(1 - sentence score). Weights are trained by gradient descent o
 at the sentences that make a document toxic. Only features whose share of toxic documents differs from the overall share by
 ``DEVIATIONS`` standard deviations get a weight: what a few documents happen to share would otherwise be learned by heart.
 
-Training takes at most about ``per_class`` labelled documents of each class, chosen by a hash of doc_id. Features are
+Training takes at most ``per_class`` labelled doc_ids of each class, those with the smallest hashes. Features are
 counted on the executors; the telling features of those documents, not their texts, go to the driver. Scoring reads every
-whole text.
+whole text, of any length.
 
-Defined results: null and empty texts have no sentence and score 0; without labels of both classes every score is 0;
+Defined results: null and empty texts have no sentence and score 0; a score equal to a threshold reaches it; of equal hashes
+of doc_ids the smaller id is learned from; without labels of both classes every score is 0;
 labels that are null are ignored, and where a doc_id has several labels, the largest counts; rows of a repeated doc_id
 each get their score; a null doc_id has no label; an empty table gives an empty table. Only ``doc_id`` and ``text`` are
 read from documents, ``doc_id`` and ``toxic`` from labels.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bound_arrow, bucket_of, stage
+from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, hashed_sample, stage
 from spanlens.llm.words import SPACE, Words, binary, hash_spans, small_batches
 
 BITS = 20
@@ -95,13 +96,10 @@ def _packed(telling):
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """About ``per_class`` documents of each label, chosen by a hash of doc_id, all of them where there are fewer; and the counts of labels."""
+    """The ``per_class`` labelled doc_ids of each label with the smallest hashes, all of them where there are fewer; and the counts of labels."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
-    share = F.lit(0.0)
-    for k, v in n.items():
-        share = F.when(F.col("label") == k, F.lit(per_class / v)).otherwise(share)
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).limit(4 * per_class)
+    chosen = hashed_sample(own.where(F.col("label").isin(0, 1)), "label", "doc_id", n, per_class, 1)
     return docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("label", "text"), n
 
 
@@ -113,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
     rows = stage(rows, "labelled")
     count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not count.get(0) or not count.get(1):
+        drop_staged(rows)
         return None
     share = count[1] / (count[0] + count[1])
     seen = rows.mapInArrow(_counted, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
@@ -120,8 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
     telling = np.array(sorted(r["feature"] for r in seen.where((F.col("n") >= LEAST_DOCS) & (deviation >= DEVIATIONS)).select("feature").collect()), np.int64)
     weight = np.zeros(DIMS, np.float32)
     if not len(telling):
+        drop_staged(rows)
         return weight, -30.0
     got = rows.mapInArrow(_packed(spark.sparkContext.broadcast(telling)), "label int, sentences int, sentence binary, feature binary").collect()
+    drop_staged(rows)
     w, b = _fit(sorted(tuple(r) for r in got), len(telling), n[0] / n[1], epochs)
     weight[telling] = w
     return weight, b

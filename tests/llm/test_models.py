@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,84 @@ def test_close_languages(spark):
     assert model.families == ["romance", "uralic"] and len(model.pairs) == 3
 
 
+def test_more_languages_than_common(spark):
+    """All of 300 languages are learned and predicted."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {f"x{k:03d}": ["".join(rng.choice(letters, 6)) for _ in range(12)] for k in range(300)}
+    rows = [(3 * k + i, " ".join(rng.choice(w, 30)), x) for k, (x, w) in enumerate(words.items()) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, docs).collect()}
+    assert np.mean([out[i] == x for i, _, x in rows]) > 0.97 and len(set(out.values())) >= 295
+
+
+def vote(z, model):
+    """Family by the largest margin, then votes of pairs, from given margins."""
+    best = int(np.argmax(z[: len(model.families)])) if len(model.families) > 1 else 0
+    at = (len(model.families) if len(model.families) > 1 else 0) + sum(len(m) * (len(m) - 1) // 2 for m in model.members[:best])
+    own = model.members[best]
+    score = {x: 0.0 for x in own}
+    for a, b in itertools.combinations(own, 2):
+        p = 1 / (1 + np.exp(-2 * z[at]))
+        score[a] += (z[at] >= 0) + p / (len(own) + 1)
+        score[b] += (z[at] < 0) + (1 - p) / (len(own) + 1)
+        at += 1
+    return max(own, key=lambda x: (score[x], [-ord(c) for c in x]))
+
+
+def test_votes_of_given_weights():
+    """Predictions of a model with given weights against a plain count of features and votes."""
+    model = language.Model(["es", "pt", "it", "en", "de", "fi"])
+    rng = np.random.default_rng(12)
+    model.weight = rng.normal(size=model.weight.shape).astype(np.float32)
+    model.bias = rng.normal(size=model.bias.shape).astype(np.float32) * 0.1
+    texts = ["el perro corre", "Der Hund, der läuft!", "koira 12 juoksee", "a", "", None, "the dog runs and runs and runs", "o cão"]
+    got, score = model.predict(pa.array(texts))
+    for k, t in enumerate(texts):
+        f, _ = language.grams(pa.array([t], pa.string()))
+        z = language.SCALE * model.weight[f].astype(np.float64).mean(axis=0) + model.bias
+        assert got[k] == vote(z, model) and 0 <= score[k] <= 1
+
+
+def test_noisy_or_of_given_weights(spark):
+    """Scores of given weights against words, sentences and noisy-or written out."""
+    import re
+
+    weight = np.random.default_rng(13).normal(size=toxicity.DIMS).astype(np.float32)
+    texts = ["You vile wretch! Go away. Now", "one line\nother line?", "", None, "...", "Word word WORD extraordinarily", "été: naïve, 12,5 and more\tof it!"]
+
+    class Held:
+        value = (weight, -1.5)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    out = [r for b in toxicity._scores(Held, 0.5)([batch]) for r in b.to_pylist()]
+    assert len(out) == len(texts)
+    feature = lambda w, n: int(toxicity.Sentences([w]).words.hashes()[0] >> np.uint64(44)) if not n else int((toxicity.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([n])) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))[0] >> np.uint64(44))
+    for r, t in zip(out, texts, strict=True):
+        none, n = 1.0, 0
+        for sentence in re.split(r"[\n!.?]", brute.lower(t)):
+            words = [w.encode() for w in re.split(r"[\x09-\x0d\x20-/:-@\[-`{-~]+", sentence) if w]
+            if words:
+                own = {feature(w, 0) for w in words} | {feature(w, k) for w in words for k in toxicity.BEGINNINGS if len(w) > k}
+                none *= 1 - 1 / (1 + np.exp(1.5 - sum(float(weight[f]) for f in own)))
+                n += 1
+        assert (r["sentences"], r["score"]) == (n, pytest.approx(1 - none, abs=1e-9)), t
+
+
+def test_samples_are_exact_and_ordered(spark):
+    """The smallest hashes of each group, however the rows are dealt; fewer where there are fewer."""
+    from spanlens.llm.shared import hashed_sample
+
+    rows = spark.range(20_000).selectExpr("id", "case when id % 10 = 0 then 'a' when id = 5 then null else 'b' end as g")
+    sizes = {"a": 2000, "b": 17_999, None: 1}
+    got = None
+    for k in (1, 7):
+        own = [(r["id"], r["g"]) for r in hashed_sample(rows.repartition(k), "g", "id", sizes, 50, 3).collect()]
+        assert {g: sum(x == g for _, x in own) for g in sizes} == {"a": 50, "b": 50, None: 1}
+        got = got or sorted(i for i, _ in own)
+        assert got == sorted(i for i, _ in own)
+
+
 def test_language_defined_results(spark, clashing, no_docs):
     rows = {r["doc_id"]: r for r in language.identify(clashing, clashing).collect()}
     assert all((rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0) for i in (3, 4, 5))
