@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlens.llm.shared import bound_arrow, lean_shuffles, stage_bucketed, text_bytes
-from spanlens.llm.words import Words, binary, prime_spans, prime_windows, trim
+from spanlens.llm.words import Words, binary, pack, prime_spans, prime_windows, trim, unpack
 
 WINDOW = 13
 CHUNK_BYTES = 8 << 20
@@ -46,19 +46,6 @@ ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("rank", pa.in
 RUN = -1
 
 
-def pack(e: np.ndarray) -> bytes:
-    """Sorted numbers as the width of a difference in bytes, and their differences."""
-    d = np.diff(e, prepend=U(0))
-    width = max(1, -(-int(d.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(n: int, data: bytes) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : data[0]] = np.frombuffer(data, np.uint8, n * data[0], 1).reshape(n, data[0])
-    return np.cumsum(out.view("<u8").ravel(), dtype=U)
-
-
 class ChunkWindows:
     """Windows of the documents of one chunk, in the order of doc_id."""
 

@@ -12,29 +12,33 @@ a text's score is a sum over its runs of words (grams) of what the tables have f
 things of fixed size are broadcast, and save work without any effect on results: the ``HOT`` most frequent grams, looked up
 where the texts are read, and a Bloom filter of the others, which drops most grams that no table has.
 
-Counts cover all training texts; they are pre-aggregated per slice of the input and summed by Spark. Symbols and grams are
-told apart by 64-bit hashes. ``train`` and ``Tree`` are the same model held by the driver, for small tables.
+Counts cover all training texts; they are summed per slice of the input and sent as packed rows of sorted keys to buckets of
+keys, each of a bounded number of occurrences. Symbols and grams are told apart by 64-bit hashes. ``train`` and ``Tree`` are the same model held by the driver, for small tables.
 
 Defined results: null and empty texts are the end token alone; without training documents the base has N = V = 0, every
-token is unknown and its probability is one; rows of a repeated doc_id each get their row; a null doc_id stays null and
-trains as its hash says; an empty table gives an empty table. Only ``doc_id`` and ``text`` are read.
+token is unknown and its probability is one; a text of any length is read whole; of equally long known suffixes there is one
+only, so that ties can't arise; rows of a repeated doc_id each get their row; a null doc_id stays null and trains as its hash says; an empty table gives an empty table. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, lean_shuffles, stage
-from spanlens.llm.words import Words, binary, lookup, mix, small_batches
+from spanlens.llm.shared import bound_arrow, bucket_of, drop_staged, lean_shuffles, stage, text_bytes
+from spanlens.llm.words import Words, binary, lookup, mix, pack, small_batches, unpack
 
 U = np.uint64
 LEAST = 3
 DIVERGENCE = 3.0
 DEPTH = 3
 FLUSH = 4_000_000
+BUCKET = 1 << 19
+MAX_BITS = 25
 HOT = 1_000_000
 FILTER_BITS = 28
 #: The end of a text; no word's hash is set aside for it, but one of 2**64 values is.
@@ -293,46 +297,93 @@ def grams(h: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     return key, on
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    key, context, suffix, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, first, at = np.unique(key, return_index=True, return_inverse=True)
-    return key, context[first], suffix[first], np.bincount(at, n, len(key)).astype(np.int64)
+def context_of(key: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The context of a gram's key: ``pair`` undone."""
+    h = key ^ (key >> U(29)) ^ (key >> U(58))
+    h = h * U(pow(0xD6E8FEB86659FD93, -1, 2**64))
+    h ^= h >> U(32)
+    return (h - suffix) * U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def _following(shared, length: int):
-    """Counts of the grams one longer than ``length`` over slices of bounded size, as rows (context, suffix, n)."""
+MESSAGE = "bucket int, n int, keys binary, suffixes binary, times binary"
+
+
+def _messages(bits: int, key: np.ndarray, suffix: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys with their counts as one packed row for each bucket of keys, named by their first bits."""
+    bucket = (key >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+    edge = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(key)] if len(key) else [0]
+    parts = list(zip(edge, edge[1:], strict=False))
+    times = [n[a:b].astype(np.min_scalar_type(int(n[a:b].max()))) for a, b in parts]
+    cols = [
+        pa.array(bucket[edge[:-1]]), pa.array([b - a for a, b in parts], pa.int32()), pa.array([pack(key[a:b]) for a, b in parts], pa.binary()),
+        pa.array([b"" if suffix is None else suffix[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([t.tobytes() for t in times], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "n", "keys", "suffixes", "times"])
+
+
+def _reduced(least: int, grams_: bool):
+    """The messages of one bucket to rows of the keys that occur ``least`` times: (key, n), of grams (key, context, suffix, n)."""
+
+    def run(table):
+        rows = table.to_pylist()
+        key = np.concatenate([unpack(r["n"], r["keys"]) for r in rows])
+        n = np.concatenate([np.frombuffer(r["times"], f"<u{len(r['times']) // r['n']}").astype(np.int64) for r in rows])
+        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(at, n, len(key)).astype(np.int64)
+        on = n >= least
+        out = {"key": pa.array(key[on].view(np.int64))}
+        if grams_:
+            suffix = np.concatenate([np.frombuffer(r["suffixes"], "<u8") for r in rows])[first[on]]
+            out |= {"context": pa.array(context_of(key[on], suffix).view(np.int64)), "suffix": pa.array(suffix.view(np.int64))}
+        return pa.table(out | {"n": pa.array(n[on])})
+
+    return run
+
 
-    def rows_of(context, suffix, n):
-        return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(n)], ["context", "suffix", "n"])
+def packed_counts(texts: DataFrame, found, bits: int, least: int, grams_: bool) -> DataFrame:
+    """Counts over all texts. ``found`` gives the keys, and of grams the suffixes, of the occurrences in a slice of texts.
+
+    Slices are summed up to ``FLUSH`` keys at a time; a bucket has about ``BUCKET`` occurrences, whatever the corpus' size."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
         rows = 0
+
+        def summed(parts):
+            key = np.concatenate([p[0] for p in parts])
+            key, first, at = np.unique(key, return_index=True, return_inverse=True)
+            n = np.bincount(at, np.concatenate([p[2] for p in parts]), len(key)).astype(np.int64)
+            return key, np.concatenate([p[1] for p in parts])[first] if grams_ else None, n
+
         for batch in small_batches(batches):
-            h, doc = _tokens(binary(batch.column("text")))
-            key, on = grams(h, doc, length)
-            if length > 1:
-                on &= shared.value.has(key)
-            both = np.flatnonzero(on[:-1] & on[1:] & (doc[:-1] == doc[1:]))
-            context, suffix = key[both], key[both + 1]
-            held.append(_merged([(pair(context, suffix), context, suffix, np.ones(len(both), np.int64))]))
+            key, suffix = found(binary(batch.column("text")))
+            held.append(summed([(key, suffix, np.ones(len(key), np.int64))]))
             rows += len(held[-1][0])
             if rows > FLUSH:
-                held = [_merged(held)]
+                held = [summed(held)]
                 rows = len(held[0][0])
                 if rows > FLUSH // 2:
-                    yield rows_of(*held[0][1:])
+                    yield _messages(bits, *held[0])
                     held, rows = [], 0
         if held:
-            yield rows_of(*_merged(held)[1:])
+            yield _messages(bits, *summed(held))
 
-    return run
+    kind = "key long, context long, suffix long, n long" if grams_ else "key long, n long"
+    return texts.select("text").mapInArrow(run, MESSAGE).groupBy("bucket").applyInArrow(_reduced(least, grams_), kind)
 
 
-def _keyed(batches):
-    for batch in batches:
-        context, suffix = (batch.column(i).to_numpy().view(U) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(pair(context, suffix).view(np.int64)), *batch.columns], ["key", "context", "suffix", "n"])
+def _following(shared, length: int):
+    """The grams one longer than ``length`` in a slice of texts, whose parts may both be known."""
+
+    def found(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        h, doc = _tokens(texts)
+        key, on = grams(h, doc, length)
+        if length > 1:
+            on &= shared.value.has(key)
+        both = np.flatnonzero(on[:-1] & on[1:] & (doc[:-1] == doc[1:]))
+        return pair(key[both], key[both + 1]), key[both + 1]
+
+    return found
 
 
 def grow(counted: DataFrame, shorter: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -366,14 +417,14 @@ def tables(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
     ``base`` is log10 of a token's base probability over that of an unknown one, ``gain`` what the gram adds to a score."""
     spark = texts.sparkSession
     bound_arrow(spark)
-    single = _lean(counts(texts, lambda t: _tokens(t)[0]), "token-counts")
+    bits = max(0, min(MAX_BITS, math.ceil(math.log2(max(1, text_bytes(texts) / 6 / BUCKET)))))
+    single = _lean(packed_counts(texts, lambda t: (_tokens(t)[0], None), bits, 1, False), "token-counts")
     total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     grown = single.where(F.col("n") >= LEAST).select("key", "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
     parts = [single.select("key", "n", F.log10((F.col("n") + 0.5) / 0.5).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("gain"))]
     for length in range(1, depth + 1):
         shared = spark.sparkContext.broadcast(Filter(grown.select("key")) if length > 1 else None)
-        found = texts.select("text").mapInArrow(_following(shared, length), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-        counted = _lean(found.where(F.col("n") >= LEAST).mapInArrow(_keyed, "key long, context long, suffix long, n long"), f"following-{length}")
+        counted = _lean(packed_counts(texts, _following(shared, length), bits, LEAST, True), f"following-{length}")
         shared.destroy()
         if counted.isEmpty():
             break

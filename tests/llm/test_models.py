@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 
 import brute
 import numpy as np
@@ -207,8 +208,6 @@ def test_probabilities_add_up(spark, doc_rows):
 
 def test_contexts_are_numbered_alike(spark, doc_rows):
     """Counts of what follows a context of three words, by its number, against a plain count."""
-    from collections import Counter
-
     texts = [(t or "").encode() for _, t in doc_rows]
     docs = spark.createDataFrame(doc_rows, "doc_id long, text string")
     tree, _ = suffixtree.train(docs, 3)
@@ -237,6 +236,76 @@ def test_deeper_contexts_help(spark):
     assert total[0] < total[1] < total[2]
 
 
+def test_gram_keys_are_undone():
+    rng = np.random.default_rng(2)
+    context, suffix = rng.integers(0, 2**64 - 1, size=(2, 1000), dtype=np.uint64)
+    assert (suffixtree.context_of(suffixtree.pair(context, suffix), suffix) == context).all()
+
+
+@pytest.mark.parametrize(("bits", "flush"), [(0, 4_000_000), (5, 50)])
+def test_packed_counts(spark, doc_rows, monkeypatch, bits, flush):
+    """Sums over slices, flushes and buckets are plain counts."""
+    monkeypatch.setattr(suffixtree, "FLUSH", flush)
+    docs = spark.createDataFrame(doc_rows[:40], "doc_id long, text string").repartition(3)
+    h, doc = suffixtree._tokens([(t or "").encode() for _, t in doc_rows[:40]])
+    both = np.flatnonzero(doc[:-1] == doc[1:])
+    want = Counter(zip(h[both].view(np.int64).tolist(), h[both + 1].view(np.int64).tolist(), strict=True))
+    got = suffixtree.packed_counts(docs, suffixtree._following(None, 1), bits, 2, True).collect()
+    assert {(r["context"], r["suffix"]): r["n"] for r in got} == {k: n for k, n in want.items() if n >= 2} and len(got) > 10
+    single = suffixtree.packed_counts(docs, lambda t: (suffixtree._tokens(t)[0], None), bits, 1, False).collect()
+    assert {r["key"]: r["n"] for r in single} == Counter(h.view(np.int64).tolist())
+
+
+def plain_tree(rows, trained, depth=3, least=3, divergence=3.0):
+    """log10 of each text's probability by a suffix tree in dictionaries."""
+    texts = {d: [*brute.words(brute.lower(t)), None] for d, t in rows}
+    c = Counter(x for d in trained for x in texts[d])
+    total, kinds = sum(c.values()), len(c)
+    seen = {(x,): n for x, n in c.items() if n >= least}
+    levels = []
+
+    def probability(before, x):
+        p = (c[x] + 0.5) / (total + 0.5 * (kinds + 1))
+        for k, level in enumerate(levels, 1):
+            if (own := level.get(tuple(before[-k:]))) and len(before) >= k:
+                entries, weight = own
+                p = (entries.get(x, 0) + weight * p) / (sum(entries.values()) + weight)
+        return p
+
+    for k in range(1, depth + 1):
+        follow = {}
+        for d in trained:
+            w = texts[d]
+            for i in range(k, len(w)):
+                if tuple(w[i - k : i]) in seen and (k == 1 or tuple(w[i - k + 1 : i + 1]) in seen):
+                    follow.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+        follow = {g: {x: n for x, n in e.items() if n >= least and c[x] >= least} for g, e in follow.items()}
+        kept = {}
+        for g, e in follow.items():
+            if not e:
+                continue
+            n, sums = seen[g], min(sum(e.values()), seen[g])
+            shorter = {x: probability(g[1:], x) for x in e}
+            gain = sum(m * np.log(m / n / shorter[x]) for x, m in e.items())
+            if n > sums:
+                gain += (n - sums) * np.log((n - sums) / n / max(1 - sum(shorter.values()), 1e-12))
+            if gain >= divergence:
+                kept[g] = (e, n - sums + len(e))
+        levels.append(kept)
+        seen = {(*g, x): m for g, e in follow.items() for x, m in e.items()}
+    return {d: sum(np.log10(probability(w[max(0, i - depth) : i], x)) for i, x in enumerate(w)) for d, w in texts.items()}
+
+
+def test_scores_of_a_plain_tree(spark, doc_rows):
+    """Scores of 200 documents against a tree of dictionaries that learns and scores word by word."""
+    rows = doc_rows[:200]
+    trained = [d for d, _ in rows if brute.bucket(d, 5) != 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs, docs.where(suffixtree.bucket_of("doc_id", 5) != 1)).collect()}
+    want = plain_tree(rows, trained)
+    assert all(got[d] == pytest.approx(want[d], rel=1e-9, abs=1e-9) for d in want)
+
+
 def test_suffix_tree_defined_results(spark, clashing, odd_rows, no_docs):
     out = {r["doc_id"]: r for r in suffixtree.score(clashing, clashing.where("doc_id % 5 <> 1")).collect()}
     assert len(out) == len(odd_rows)
