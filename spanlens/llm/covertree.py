@@ -86,7 +86,7 @@ class Tree:
     of levels, and a node without children has one row, or rows that are all but equal."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.x, self.thin = x, x.astype(np.float32)
         self.order = np.arange(len(x))
         center, radius, reach, first, last, low, high = ([] for _ in range(7))
 
@@ -170,26 +170,36 @@ class Links:
             self.held = len(self.edges[0][0])
 
     def linked(self, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Which of the rows i and j with the cosines c (i x j) are linked."""
-        self.tested += c.size
+        """Which of the pairs of rows i and j, of cosines c, are linked."""
         hit = c >= self.cos
-        if (close := np.abs(c - self.cos) < CLOSE).any():
-            p, q = np.nonzero(close)
-            a, b = self.raw[0][i[p]], self.raw[1][j[q]]
-            hit[p, q] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))) >= self.cos
+        close = np.flatnonzero(np.abs(c - self.cos) < CLOSE)
+        if len(close):
+            a, b = self.raw[0][i[close]], self.raw[1][j[close]]
+            hit[close] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))) >= self.cos
         return hit
 
-    def compare(self, i: np.ndarray, j: np.ndarray, c: np.ndarray, twice: bool = False) -> None:
-        """Rows i against rows j; ``twice`` where both are the same rows, so that a pair is met from both sides."""
-        hit = self.linked(i, j, c)
-        if twice:
-            hit &= i[:, None] != j[None, :]
-        p, q = np.nonzero(hit)
-        if len(p):
-            self.of_row[0][i] += hit @ self.weight[1][j]
-            if not twice:
-                self.of_row[1][j] += self.weight[0][i] @ hit
-            self.keep(i[p], self.base + j[q])
+    def compare(self, i: np.ndarray, j: np.ndarray, own: bool) -> None:
+        """All rows i against all rows j; with ``own`` both are of the same rows, all j in each call, so that a pair is met from
+        both sides. Single precision finds what may be near, double precision decides."""
+        for k in range(0, len(i) if len(j) else 0, 1024):
+            part = i[k : k + 1024]
+            near = self.s.thin[part] @ self.t.thin[j].T >= self.cos - 1e-6 - 2e-7 * self.s.x.shape[1]
+            self.tested += near.size
+            p, q = np.divmod(np.flatnonzero(near), len(j))
+            if len(p) * 8 > near.size:
+                c = (self.s.x[part] @ self.t.x[j].T)[p, q]
+            else:
+                c = np.concatenate([np.einsum("ij,ij->i", self.s.x[part[p[a : a + 8192]]], self.t.x[j[q[a : a + 8192]]]) for a in range(0, len(p), 8192)] or [np.empty(0)])
+            p, q = part[p], j[q]
+            on = self.linked(p, q, c)
+            if own:
+                on &= p != q
+            p, q = p[on], q[on]
+            if len(p):
+                self.of_row[0] += np.bincount(p, self.weight[1][q], len(self.s.x)).astype(np.int64)
+                if not own:
+                    self.of_row[1] += np.bincount(q, self.weight[0][p], len(self.t.x)).astype(np.int64)
+                self.keep(p, self.base + q)
 
     def run(self) -> Links:
         s, t = self.s, self.t
@@ -198,22 +208,26 @@ class Links:
         while todo:
             i, j, own = todo.pop()
             small, other = ((v.rows[k] <= BASE) | (v.last[k] == 0) for v, k in ((s, i), (t, j)))
-            self.rest(s.within(i[small]), t.within(j[other]), own)
+            self.compare(s.within(i[small]), t.within(j[other]), own)
             self.children(s.below(i[small]), t.below(j[~other]), own, todo)
             self.children(s.below(i[~small]), t.below(j), own, todo)
         return self
 
-    def rest(self, i: np.ndarray, j: np.ndarray, own: bool) -> None:
-        for k in range(0, len(i) if len(j) else 0, 1024):
-            part = i[k : k + 1024]
-            self.compare(part, j, self.s.x[part] @ self.t.x[j].T, own)
+    def children(self, i: np.ndarray, j: np.ndarray, own: bool, todo: list) -> None:
+        """The nodes i against the nodes j; with ``own``, these are all children of one node, and a pair counts once."""
+        s, t = self.s, self.t
+        single, other = s.rows[i] == 1, t.rows[j] == 1
+        self.compare(s.center[i[single]], t.center[j[other]], own)
+        self.divide(i[~single], j, own, todo)
+        if not own:  # otherwise these pairs are met above, from the other side
+            self.divide(i[single], j[~other], False, todo)
 
-    def children(self, nodes: np.ndarray, j: np.ndarray, own: bool, todo: list) -> None:
+    def divide(self, nodes: np.ndarray, j: np.ndarray, own: bool, todo: list) -> None:
         for k in range(0, len(nodes) if len(j) else 0, 1024):
             i = nodes[k : k + 1024]
             p, q = self.open_pairs(i, j, own)
             if own:
-                todo += [(i[k : k + 1], i[k : k + 1], True) for k in p[i[p] == j[q]]]
+                todo += [(i[x : x + 1], i[x : x + 1], True) for x in p[i[p] == j[q]]]
                 p, q = p[i[p] != j[q]], q[i[p] != j[q]]
             if len(np.unique(p)) <= len(np.unique(q)):
                 todo += [(i[x : x + 1], j[part], False) for x, part in grouped(p, q)]
@@ -221,20 +235,15 @@ class Links:
                 todo += [(i[part], j[x : x + 1], False) for x, part in grouped(q, p)]
 
     def open_pairs(self, i: np.ndarray, j: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """What is left to divide of the nodes i (in blocks) against the nodes j, by their places; with ``own``, these are all
-        children of one node, and a pair counts once."""
+        """What is left to divide of the nodes i against the nodes j, by their places. With ``own``, of two nodes that both have
+        several rows the pair counts once."""
         s, t = self.s, self.t
-        c = s.x[s.center[i]] @ t.x[t.center[j]].T
-        single, others = s.rows[i] == 1, t.rows[j] == 1
-        if single.any() and others.any():
-            # of two single nodes of one set, both orders are met, as i runs over all nodes j in blocks
-            self.compare(s.center[i[single]], t.center[j[others]], c[np.ix_(single, others)], own)
-        d = apart(c)
+        d = apart(s.x[s.center[i]] @ t.x[t.center[j]].T)
+        self.tested += d.size
         reach = s.radius[i][:, None] + t.radius[j][None, :]
-        open_ = (d <= reach + self.near + SLACK) & ~(single[:, None] & others[None, :])
-        self.tested += c.size - int(single.sum()) * int(others.sum())
+        open_ = d <= reach + self.near + SLACK
         if own:
-            open_ &= i[:, None] <= j[None, :]
+            open_ &= (i[:, None] <= j[None, :]) | (t.rows[j] == 1)[None, :]
         whole = open_ & (d + reach <= self.near - SLACK)
         if whole.any():
             diagonal = whole & (i[:, None] == j[None, :]) if own else np.zeros_like(whole)
