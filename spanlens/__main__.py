@@ -115,14 +115,8 @@ def as_dict(df: DataFrame) -> dict:
 
 
 def stats_by(records: DataFrame, value: str) -> dict:
-    out: dict = {}
-    for r in stats.by_groups(records, value, ["type", "level"]).orderBy("grouping", "key").collect():
-        own = {k: v for k, v in r.asDict().items() if k not in ("grouping", "key")}
-        if r["grouping"] == "all":
-            out["all"] = own
-        else:
-            out.setdefault(r["grouping"], {})[r["key"]] = own
-    return out
+    out = stats.nested(stats.by_groups(records, value, ["type", "level"]))
+    return ({"all": out["all"]} if out["all"] is not None else {}) | out["by"]
 
 
 def run_math(spark, a) -> dict:

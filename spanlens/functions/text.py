@@ -185,15 +185,24 @@ def find_target(sentence: Column, target: Column, unique: bool = True) -> Column
     )
 
 
+#: A quoted literal without escapes, and several of them with commas: what is written is a tuple, with or without parentheses.
+LITERAL = r"""(?:'[^'\\]*'|"[^"\\]*")"""
+TUPLE = rf"{LITERAL}(?:\s*,\s*{LITERAL})*\s*,?"
+
+
 def parse_words(listed: Column) -> Column:
     """Words of a written list (``['a (B2)', "b"]`` or ``a, b``): the first of a nested list, without quotes and a last note
-    in parentheses; empty ones are left out, and null is an empty list."""
+    in parentheses; empty ones are left out, and null is an empty list. A tuple that isn't in a list counts as nested in
+    one, so only its first word stays; literals with nothing between them are one word."""
     s = strip(listed)
+    first = F.regexp_extract(s, rf"^\(?\s*({LITERAL})", 1)
+    one = s.rlike(rf"^{LITERAL}$") | s.rlike(rf"^\(\s*{LITERAL}\s*\)$") | s.rlike(rf"^{TUPLE}$") | s.rlike(rf"^\(\s*{TUPLE}\s*\)$")
+    s = F.when(s.rlike(r"^\["), F.regexp_replace(s, r"(?<=[^,\[\s])(['\"])\s+\1", "")).otherwise(s)
     nested = F.from_json(s, "array<string>")
     inner = lambda x: F.when(x.rlike(r"^\[.*\]$"), F.get(F.from_json(x, "array<string>"), F.lit(0))).otherwise(x)
     plain = F.split(F.regexp_replace(s, r"^[\[\]]+|[\[\]]+$", ""), ",")
     quoted_tuples = F.regexp_replace(F.regexp_replace(s, r"\(\s*(['\"])", r"[$1"), r"(['\"])\s*(,[^()\[\]]*)?\)", r"$1$2]")
-    items = F.when(s.rlike(r"^\["), F.coalesce(nested, F.from_json(quoted_tuples, "array<string>"), plain)).when(s.rlike(r"^(['\"]).*\1$") & ~s.contains(","), F.array(s)).otherwise(plain)
+    items = F.when(s.rlike(r"^\["), F.coalesce(nested, F.from_json(quoted_tuples, "array<string>"), plain)).when(one, F.array(first)).otherwise(plain)
     clean = lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(inner(strip(x))), "^'+|'+$", ""), '^"+|"+$', ""), r"\s*\([^)]*\)\s*\z", ""))
     return F.coalesce(F.filter(F.transform(items, clean), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 

@@ -174,3 +174,15 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 50, density: bool =
     grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     value = F.coalesce("c", F.lit(0)).cast("double") / (F.col("n") * width) if density else F.coalesce("c", F.lit(0)).cast("long")
     return grid.join(counts, ["series", "bin"], "left").select("series", "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), value.alias("value"))
+
+
+def nested(groups: DataFrame) -> dict:
+    """Rows of ``by_groups`` as one document: ``all``, and ``by`` grouping and key in their order. The driver sees one row a group."""
+    out: dict = {"all": None, "by": {}}
+    for r in groups.orderBy("grouping", "key").collect():
+        own = {k: v for k, v in r.asDict().items() if k not in ("grouping", "key")}
+        if r["grouping"] == "all":
+            out["all"] = own
+        else:
+            out["by"].setdefault(r["grouping"], {})[r["key"]] = own
+    return out

@@ -93,9 +93,9 @@ def found(t: str, s: str) -> str:
 MARKED = "(SELECT p_partkey, p_name, p_type, split_part(p_name, ' ', 1) AS word, concat('The **', split_part(p_name, ' ', 1), '** of ', p_name, ' in **', p_type, '**.') AS marked FROM part)"
 JUDGED = """
   base AS (SELECT p_partkey AS target_id, split_part(p_name, ' ', -1) AS target, instr(p_name, split_part(p_name, ' ', -1)) - 1 + CASE WHEN p_size = 7 THEN 1 ELSE 0 END AS off, concat(p_name, ' is ', lower(p_type)) AS context,
-    list_concat(string_split(lower(p_type), ' '), string_split(p_name, ' ')) AS subs FROM part),
-  rows AS (SELECT target_id, target, off, context, unnest(subs) AS sub, target_id * 7 + generate_subscripts(subs, 1) - 1 AS sid FROM base),
-  scored AS (SELECT *, CASE WHEN sid % 4 = 1 THEN 0.0::DOUBLE ELSE ((CASE WHEN sid % 2 = 0 THEN 0 ELSE 1 END) + (CASE WHEN sid % 3 = 0 THEN 0 ELSE 1 END)) / 3.0::DOUBLE END AS score, CASE WHEN sid % 4 = 1 THEN 0 ELSE 3 END AS num_labels,
+    list_concat(string_split(lower(p_type), ' '), string_split(p_name, ' ')) AS subs, p_size <= 12 AS bare FROM part),
+  rows AS (SELECT target_id, target, off, context, bare, unnest(subs) AS sub, target_id * 7 + generate_subscripts(subs, 1) - 1 AS sid FROM base),
+  scored AS (SELECT *, CASE WHEN bare THEN 0.0::DOUBLE ELSE ((CASE WHEN sid % 2 = 0 THEN 0 ELSE 1 END) + (CASE WHEN sid % 3 = 0 THEN 0 ELSE 1 END)) / 3.0::DOUBLE END AS score, CASE WHEN bare THEN 0 ELSE 3 END AS num_labels,
     (length(context) - length(replace(context, target, ''))) / length(target) AS times FROM rows),
   judged AS (SELECT *, CASE WHEN substr(context, off + 1, length(target)) <> target THEN 'bad_offset' WHEN NOT regexp_full_match(target, '[A-Za-z]+') THEN 'target_not_one_word' WHEN times <> 1 THEN 'target_repeated'
     WHEN NOT regexp_full_match(sub, '[A-Za-z]+') THEN 'sub_not_one_word' WHEN lower(sub) = lower(target) THEN 'same_as_target' WHEN score < 0.5 THEN 'low_label_score' END AS reason FROM scored)"""
@@ -117,6 +117,19 @@ def word_side(side: str, word: str) -> str:
     {side} AS (SELECT s.row_idx, sum(nll) AS cost, count(*)::INT AS k, min(pos) AS first FROM {side}_src s JOIN {side}_nll n ON n.row_idx = s.row_idx AND n.char_start + length(n.token) > s.start GROUP BY ALL)"""
 
 
+PAIR_ROWS = "SELECT p_partkey AS idx, p_type AS type, p_brand AS level, concat('There are ', p_size, ' of ”', p_name, '”.') AS original_problem"
+NO_LEVEL = "CASE WHEN p_brand <> 'Brand#2' THEN p_brand END AS level"
+PROGRAMS = f"""{bigrams("(SELECT page_id, html AS text FROM pages)", "page_id")},
+      r AS (SELECT page_id, page_id % 7 AS g, html AS a, replace(html, '</html>', '</main>;') AS b, CASE page_id % 7 WHEN 2 THEN '' WHEN 3 THEN '<nowhere>' WHEN 5 THEN left(html, 2) ELSE '</html>' END AS sa,
+        CASE page_id % 7 WHEN 4 THEN '<' WHEN 5 THEN left(html, 2) ELSE '</main>;' END AS sb FROM pages),
+      l AS (SELECT *, CASE WHEN g = 1 THEN 'missing original_buggy_program or counterfactual_buggy_program' WHEN g = 2 THEN 'missing buggy_span/original_span or counterfactual_span' END AS early,
+        CASE WHEN g = 5 THEN 0 WHEN sa <> '' AND len({found("a", "sa")}) = 1 THEN instr(a, sa) - 1 END AS oa, CASE WHEN g = 5 THEN 0 WHEN len({found("b", "sb")}) = 1 THEN instr(b, sb) - 1 END AS ob FROM r),
+      m AS (SELECT *, coalesce(early, CASE WHEN oa IS NULL OR ob IS NULL THEN 'could_not_locate_span' END) AS why FROM l),
+      sided AS (SELECT page_id, 'o' AS side, a AS text, oa AS s, oa + length(sa) AS e FROM m WHERE why IS NULL UNION ALL SELECT page_id, 'c', b, ob, ob + length(sb) FROM m WHERE why IS NULL),
+      toks AS ({tokens("sided", "page_id, side")}), hit AS (SELECT t.* FROM toks t JOIN sided x ON x.page_id = t.page_id AND x.side = t.side AND t.char_start < x.e AND x.s < t.char_start + length(t.token)), cost AS ({nll("hit")}),
+      k AS (SELECT page_id, side, sum(nll) AS s, avg(nll) AS mean, count(nll)::INT AS n, string_agg(token, ' ' ORDER BY pos) FILTER (nll IS NOT NULL) AS ts FROM cost GROUP BY ALL)"""
+
+
 ORACLES: dict[str, str] = {
     "extract_numbers": f"""SELECT "of", id, num_index::INT AS num_index, start::INT AS start, "end"::INT AS "end", value FROM ({numbers("(SELECT 'documents' AS of, doc_id AS id, text AS a FROM documents UNION ALL SELECT 'customer', c_custkey, c_name FROM customer)", '"of", id', "a")})""",
     "number_pairs": f"WITH {ROWS}, {PAIRS} SELECT * FROM pairs",
@@ -146,9 +159,9 @@ ORACLES: dict[str, str] = {
     "stats_context": f"""WITH {EVENTS} SELECT event_type, count(score) AS n, {common("score")}, {SAMPLE}, round(avg(-orig_logp), 6) AS mean_orig_context_nll, round(avg(-sub_logp), 6) AS mean_sub_context_nll FROM scores GROUP BY 1""",
     "median_any_size": "SELECT l_returnflag, round(median(l_extendedprice), 6) AS median FROM lineitem GROUP BY 1",
     "tie_ranks": "WITH c AS (SELECT l_quantity AS value, count(*) AS times FROM lineitem GROUP BY 1) SELECT value, times, (sum(times) OVER (ORDER BY value))::DOUBLE - (times - 1) / 2.0::DOUBLE AS rank FROM c",
-    "auc_old_new": """WITH c AS (SELECT l_quantity AS v, count(*) FILTER (l_returnflag = 'A') AS p, count(*) FILTER (l_returnflag = 'N') AS q FROM lineitem GROUP BY 1), d AS (SELECT *, sum(q) OVER (ORDER BY v) - q / 2.0::DOUBLE AS b FROM c)
+    "auc_old_new": """WITH c AS (SELECT l_quantity AS v, count(*) FILTER (l_returnflag = 'A') AS p, count(*) FILTER (l_returnflag <> 'A') AS q FROM lineitem GROUP BY 1), d AS (SELECT *, sum(q) OVER (ORDER BY v) - q / 2.0::DOUBLE AS b FROM c)
       SELECT round(sum(p * b) / (sum(p)::DOUBLE * sum(q)::DOUBLE), 9) AS auc FROM d""",
-    "cohens_d": """WITH a AS (SELECT count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'N')
+    "cohens_d": """WITH a AS (SELECT count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem WHERE l_returnflag <> 'A')
       SELECT round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 9) AS cohens_d FROM a, b""",
     "compare_summary": f"""WITH {EVENTS}, o AS (SELECT count(*) AS n, avg(score) AS m, median(score) AS md, avg(score) FILTER (score > 0) AS ph, var_samp(score) AS v FROM scores WHERE event_id % 2 = 0),
       w AS (SELECT count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM scores WHERE event_id % 2 = 1),
@@ -224,6 +237,49 @@ ORACLES: dict[str, str] = {
     "ordinal_rows": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, n_name FROM nation",
     "span_overlap": f"""WITH t AS ({tokens("(SELECT item_id AS id, text FROM benchmark)", "id")}), s AS (SELECT item_id AS id, unnest(range(0, length(text) + 1, 50)) AS a FROM benchmark)
       SELECT t.id, s.a::INT AS span_start, pos::INT AS pos, char_start, (char_start + length(token))::INT AS char_end, token FROM t JOIN s ON s.id = t.id AND char_start < s.a + 20 AND s.a < char_start + length(token)""",
+    "substitution_document": f"""WITH {JUDGED} SELECT target_id::VARCHAR AS target_id, target_id::VARCHAR AS context_id, context, target, off::INT AS "offset", 'NOUN' AS pos, sid::VARCHAR AS sid, sub AS substitute,
+      CASE WHEN bare THEN '' ELSE concat(CASE WHEN sid % 2 = 0 THEN 'FALSE' ELSE 'TRUE' END, ',', CASE WHEN sid % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END, ',FALSE') END AS labels FROM rows""",
+    "parse_word_shapes": """WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, coalesce(string_split(p_name, ' ')[2], 'x') AS b FROM part)
+      SELECT p_partkey, kind::INT AS kind, CASE WHEN kind IN (0, 1, 3) THEN concat('["', a, '"]') WHEN kind = 2 THEN concat('["', a, b, '"]') WHEN kind = 8 THEN concat('["', a, '","', b, a, '"]') ELSE concat('["', a, '","', b, '"]') END AS words FROM w, range(9) AS k(kind)""",
+    "dataset_document": f"{PAIR_ROWS}, NULL::VARCHAR AS problem, NULL::VARCHAR AS original_answer, NULL::VARCHAR AS answer FROM part",
+    "dataset_lines": f"{PAIR_ROWS.replace('p_brand AS level', NO_LEVEL)}, NULL::VARCHAR AS problem, NULL::VARCHAR AS original_answer, NULL::VARCHAR AS answer FROM part",
+    "snapshot_rows": f"{PAIR_ROWS} FROM part",
+    "key_fallback": """SELECT p_partkey::VARCHAR AS name, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 3 THEN NULL ELSE p_type END AS span, CASE WHEN p_partkey % 4 IN (1, 2) THEN p_type END AS buggy_span,
+      CASE WHEN p_partkey % 4 <> 1 THEN p_name END AS original_span, NULL::INT AS line_index FROM part""",
+    "finite_values": """SELECT l_returnflag, count(*) AS n, count(x) AS n_finite, round(sum(x), 6) AS sum, round(min(x), 6) AS min, round(max(x), 6) AS max
+      FROM (SELECT l_returnflag, CASE WHEN l_quantity NOT IN (1, 2, 3, 4) THEN l_quantity::DOUBLE END AS x FROM lineitem) GROUP BY 1""",
+    "null_contexts": f"""WITH {TALK}, {bigrams("talk", "text_id")}, rows AS (SELECT text_id AS row_idx, CASE WHEN length(text) % 3 = 0 THEN text ELSE '' END AS sentence FROM talk), {context_costs("sentence", "o")}
+      SELECT row_idx AS text_id, round(m, 6) AS mean_nll, round(s, 6) AS sum_nll, n AS num_tokens FROM o""",
+    "filter_marked_lists": f"""WITH u AS (SELECT p_partkey, replace(marked, '**', '') AS c, word, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT *, list_concat(string_split(p_name, ' '), string_split(lower(p_type), ' ')) AS l FROM {MARKED}) WHERE regexp_full_match(word, '[A-Za-z]+')),
+      f AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, lower(s) ORDER BY i) AS k FROM u WHERE regexp_full_match(s, '[A-Za-z]+') AND lower(s) <> lower(word))
+      SELECT p_partkey, c AS clean_sentence, word AS target_clean, concat('["', string_agg(s, '","' ORDER BY i), '"]') AS acc_subs_oneword, first(s ORDER BY i) AS first_substitute, count(*)::INT AS num_oneword_subs, p_partkey AS source_row_idx FROM f WHERE k = 1 GROUP BY p_partkey, c, word""",
+    "code_record_rows": f"""WITH {PROGRAMS}
+      SELECT m.page_id::VARCHAR AS name, concat('v', m.page_id) AS variant_id, sa AS buggy_span, '</html>' AS fix_span, sb AS counterfactual_span, NULL::VARCHAR AS buggy_line, NULL::VARCHAR AS counterfactual_line, NULL::VARCHAR AS solution_line,
+      oa::INT AS orig_span_start, (oa + length(sa))::INT AS orig_span_end, ob::INT AS cf_span_start, (ob + length(sb))::INT AS cf_span_end, 'full_text_unique_span' AS orig_loc_mode, 'full_text_unique_span' AS cf_loc_mode,
+      round(o.s, 6) AS orig_sum_nll, round(c.s, 6) AS cf_sum_nll, round(c.s - o.s, 6) AS delta_sum_nll, round(o.mean, 6) AS orig_mean_nll, round(c.mean, 6) AS cf_mean_nll, round(c.mean - o.mean, 6) AS delta_mean_nll, o.n AS orig_num_tokens, c.n AS cf_num_tokens,
+      o.n <> c.n AS token_count_mismatch, o.ts AS orig_tokens, c.ts AS cf_tokens, CASE WHEN m.page_id % 2 = 0 THEN 'tag' END AS mutation_type, a AS original_buggy_program, b AS counterfactual_buggy_program, NULL::VARCHAR AS solution
+      FROM m JOIN k o ON o.page_id = m.page_id AND o.side = 'o' JOIN k c ON c.page_id = m.page_id AND c.side = 'c' WHERE why IS NULL AND o.n > 0 AND c.n > 0""",
+    "code_skipped_rows": f"""WITH {PROGRAMS}, x AS (SELECT m.*, o.n AS osn, c.s AS cs, coalesce(why, CASE WHEN coalesce(o.n, 0) = 0 OR coalesce(c.n, 0) = 0 THEN 'empty_or_unscorable_span' END) AS reason
+        FROM m LEFT JOIN k o ON o.page_id = m.page_id AND o.side = 'o' LEFT JOIN k c ON c.page_id = m.page_id AND c.side = 'c')
+      SELECT page_id::VARCHAR AS name, reason, CASE WHEN early IS NOT NULL THEN NULL WHEN g = 5 THEN 'explicit_start_len' WHEN oa IS NULL THEN 'not_found_or_ambiguous' ELSE 'full_text_unique_span' END AS orig_loc_mode,
+      CASE WHEN early IS NOT NULL THEN NULL WHEN g = 5 THEN 'explicit_start_len' WHEN ob IS NULL THEN 'not_found_or_ambiguous' ELSE 'full_text_unique_span' END AS cf_loc_mode,
+      CASE WHEN reason = 'could_not_locate_span' THEN sa END AS orig_span, CASE WHEN reason = 'could_not_locate_span' THEN sb END AS cf_span, CASE WHEN reason = 'empty_or_unscorable_span' THEN coalesce(osn, 0) END AS orig_scored,
+      CASE WHEN reason = 'empty_or_unscorable_span' THEN cs END AS cf_sum_nll FROM x WHERE reason IS NOT NULL""",
+    "word_record_rows": f"""WITH {WORDS}, parts AS (SELECT p_partkey, p_name AS text FROM part), {bigrams("parts", "p_partkey")}, {word_side("o", "target")}, {word_side("s", "substitute")}
+      SELECT b.row_idx, 'parts' AS dataset, sentence, concat(prefix, substitute, suffix) AS changed_sentence, prefix, suffix, target, substitute, round(-o.cost, 6) AS orig_logp, round(-s.cost, 6) AS sub_logp, round(o.cost, 6) AS orig_nll, round(s.cost, 6) AS sub_nll,
+      round(-o.cost - -s.cost, 6) AS score, target AS orig_tokens, substitute AS sub_tokens, o.k AS orig_num_tokens, s.k AS sub_num_tokens FROM built b JOIN o ON o.row_idx = b.row_idx JOIN s ON s.row_idx = b.row_idx
+      WHERE b.reason IS NULL AND b.row_idx % 10 < 8 AND o.k = 1 AND s.k = 1 AND o.first > 0 AND s.first > 0""",
+    "missing_words": f"WITH {WORDS} SELECT CASE WHEN row_idx % 10 >= 8 THEN 'missing_target_or_substitute' ELSE reason END AS reason, count(*) AS n FROM built GROUP BY 1",
+    "nested_stats": f"""WITH x AS (SELECT l_returnflag AS f, l_linestatus AS s, {single("l_quantity")} AS x FROM lineitem)
+      SELECT CASE WHEN grouping(f) = 1 AND grouping(s) = 1 THEN 'all' WHEN grouping(f) = 0 THEN 'l_returnflag' ELSE 'l_linestatus' END AS "grouping", coalesce(f, s) AS key, count(*) AS n, round(avg(x), 4) AS mean, round(quantile_disc(x, 0.5), 4) AS median,
+      round(stddev_pop(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max, round(avg((x > 0)::INT), 4) AS frac_positive FROM x GROUP BY GROUPING SETS ((), (f), (s))""",
+    "compare_document": f"""WITH {EVENTS}, o AS (SELECT count(*) AS n, avg(score) AS m, median(score) AS md, var_samp(score) AS v FROM scores WHERE event_type = 'click'),
+      w AS (SELECT count(*) AS n, avg(score) AS m, median(score) AS md, var_samp(score) AS v FROM scores WHERE event_type <> 'click'),
+      c AS (SELECT score, count(*) FILTER (event_type = 'click') AS p, count(*) FILTER (event_type <> 'click') AS q FROM scores GROUP BY 1), d AS (SELECT *, sum(q) OVER (ORDER BY score) - q / 2.0::DOUBLE AS b FROM c),
+      u AS (SELECT sum(p * b) / (sum(p)::DOUBLE * sum(q)::DOUBLE) AS auc FROM d)
+      SELECT o.n AS old_n, w.n AS new_n, round(o.m, 6) AS old_mean, round(w.m, 6) AS new_mean, round(o.md, 6) AS old_median, round(w.md, 6) AS new_median, round(o.m - w.m, 6) AS difference_mean_old_minus_new,
+      round(auc, 6) AS auc_old_higher_than_new, round((o.m - w.m) / sqrt(((o.n - 1) * o.v + (w.n - 1) * w.v) / (o.n + w.n - 2)), 6) AS cohens_d_old_minus_new FROM o, w, u""",
+    "output_paths": """SELECT concat(lower(r_name), e) AS records, concat(lower(r_name), '.summary.json') AS summary, concat(lower(r_name), '.skipped.jsonl') AS skipped FROM region, (VALUES ('.jsonl'), ('.csv'), ('.json'), ('/')) AS x(e)""",
 }
 # A rounded negative number that comes to zero keeps its sign here, but not in Spark.
 ORACLES = {name: sql.replace("round(", "0.0::DOUBLE + round(") for name, sql in ORACLES.items()}

@@ -189,7 +189,11 @@ def word_scores(
     rows: DataFrame, scorer, dataset_label: str = "dataset", key: str = "row_idx", single_token: bool = True, max_tokens: int | None = None,
     max_examples: int | None = None, **columns,
 ) -> DataFrame:
-    """Word records with ``reason``, null for the scored ones. Only ``prefix`` and the word are scored, not the suffix."""
+    """Word records with ``reason``, null for the scored ones. Only ``prefix`` and the word are scored, not the suffix.
+
+    Texts over ``max_tokens``, or over what the scorer says is its limit, are not scored."""
+    if max_tokens is None and hasattr(scorer, "limit"):
+        max_tokens = scorer.limit()
     built = staged(build_examples(rows, **columns), "word-examples")
     good = built.where("reason is null").select(key, "prefix", "target", "substitute")
     orig = continuation_costs(good, scorer, key, "orig", "target", single_token, max_tokens)
@@ -217,11 +221,13 @@ def context_costs(texts: DataFrame, scorer) -> DataFrame:
 
 def context_scores(rows: DataFrame, scorer, key: str = "row_idx", orig_col: str = "sentence", sub_col: str = "changed_sentence") -> DataFrame:
     """``rows`` with mean, sum and number of tokens of both sentences, ``context_score`` and log-probability columns."""
-    own = rows
-    for name, column in (("orig", orig_col), ("sub", sub_col)):
-        costs = context_costs(rows.select(F.col(key).alias("text_id"), F.col(column).alias("text")), scorer)
-        costs = costs.select(F.col("text_id").alias("_id"), *(F.col(c).alias(f"{name}_context_{c}") for c in ("mean_nll", "sum_nll", "num_tokens")))
-        own = own.join(costs, F.col(key).cast("string") == F.col("_id"), "left").drop("_id")
+    side = lambda name, c: F.struct(F.lit(name).alias("side"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("text"))
+    both = rows.select(F.col(key).cast("string").alias("row"), F.explode(F.array(side("orig", orig_col), side("sub", sub_col))).alias("s")).select("row", "s.*")
+    ids = both.select(F.to_json(F.struct("row", "side"), {"ignoreNullFields": "false"}).alias("text_id"), "text")
+    costs = context_costs(ids, scorer).select(F.from_json("text_id", "row string, side string").alias("i"), "mean_nll", "sum_nll", "num_tokens")
+    costs = paired(costs.select("i.row", "i.side", "mean_nll", "sum_nll", "num_tokens"), ["row"], "orig", "sub", ("mean_nll", "sum_nll", "num_tokens"))
+    costs = costs.select(F.col("row").alias("_id"), *(F.col(f"{n}_{c}").alias(f"{n}_context_{c}") for n in ("orig", "sub") for c in ("mean_nll", "sum_nll", "num_tokens")))
+    own = rows.join(costs, F.col(key).cast("string") == F.col("_id"), "left").drop("_id")
     orig, sub = F.col("orig_context_mean_nll"), F.col("sub_context_mean_nll")
     return own.withColumns({"context_score": sub - orig, "orig_context_avg_logp": -orig, "sub_context_avg_logp": -sub, "context_logp_score": sub - orig})
 

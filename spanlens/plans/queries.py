@@ -5,6 +5,8 @@ The tables have no paired perturbations, so pairs are derived: a perturbed text
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +144,8 @@ def median_any_size(spark, sf_dir):
 
 
 def two_samples(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'N')")
+    """Quantities of one return flag against those of all others."""
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "A").cast("int").alias("label"))
 
 
@@ -283,21 +286,40 @@ def label_score(spark, sf_dir):
     return rows.select("doc_id", F.round(X.label_score(F.col("labels")), 9).alias("score"))
 
 
-def judged(spark, sf_dir) -> DataFrame:
-    """Parts as targets in a context, words of their type as substitutes with labels, joined by id."""
+def substitution_file(spark, sf_dir) -> str:
+    """One JSON document of id-keyed maps: parts as targets in a context, words of their type and name as substitutes with labels.
+
+    Substitutes of small parts have no labels."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     word = F.split_part("p_name", F.lit(" "), F.lit(-1))
-    contexts = part.select(F.col("p_partkey").alias("context_id"), F.concat("p_name", F.lit(" is "), F.lower("p_type")).alias("context"))
-    targets = part.select(
-        F.col("p_partkey").alias("target_id"), F.col("p_partkey").alias("context_id"), word.alias("target"),
-        (F.instr("p_name", word) - 1 + F.when(F.col("p_size") == 7, 1).otherwise(0)).alias("offset"), F.lit(None).cast("string").alias("pos"),
-    )
-    subs = part.select(F.col("p_partkey").alias("target_id"), F.posexplode(F.concat(F.split(F.lower("p_type"), " "), F.split("p_name", " "))).alias("i", "substitute"))
-    subs = subs.select("target_id", (F.col("target_id") * 7 + F.col("i")).alias("sid"), "substitute")
+    key = F.col("p_partkey").cast("string")
+    offset = (F.instr("p_name", word) - 1 + F.when(F.col("p_size") == 7, 1).otherwise(0)).alias("offset")
+    entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
     yes = lambda n: F.when(F.col("sid") % n == 0, "FALSE").otherwise("TRUE")
-    labels = subs.where("sid % 4 <> 1").select("sid", F.array(yes(2), yes(3), F.lit("FALSE")).alias("labels"))
-    joined = targets.join(contexts, "context_id").join(subs, "target_id", "left").join(labels, "sid", "left")
-    return lexsub.judge_substitutions(joined.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))))
+    subs = part.select(key.alias("target_id"), "p_size", F.col("p_partkey").alias("p"), F.posexplode(F.concat(F.split(F.lower("p_type"), " "), F.split("p_name", " "))).alias("i", "substitute"))
+    subs = subs.withColumn("sid", F.col("p") * 7 + F.col("i"))
+    sid = F.col("sid").cast("string")
+    one = part.agg(entry(key, F.struct(F.concat("p_name", F.lit(" is "), F.lower("p_type")).alias("context"))).alias("contexts"), entry(key, F.struct(key.alias("context_id"), word.alias("target"), offset, F.lit("NOUN").alias("pos"))).alias("targets"))
+    two = subs.agg(entry(sid, F.struct("target_id", "substitute")).alias("substitutes"))
+    three = subs.where("p_size > 12").agg(entry(sid, F.array(yes(2), yes(3), F.lit("FALSE"))).alias("substitute_labels"))
+    path = scratch_path(spark, "substitutions")
+    one.join(two).join(three).write.option("compression", "gzip").json(path)
+    return path
+
+
+def unpacked(spark, sf_dir) -> DataFrame:
+    return lexsub.unpack_substitutions(readers.read_substitutions(spark, substitution_file(spark, sf_dir)))
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    out = lexsub.judge_substitutions(unpacked(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("source_target_id", "source_substitute_id")})
+
+
+@query
+def substitution_document(spark, sf_dir):
+    rows = unpacked(spark, sf_dir)
+    return rows.select("target_id", "context_id", "context", "target", "offset", "pos", "sid", "substitute", F.array_join("labels", ",").alias("labels"))
 
 
 @query
@@ -414,3 +436,168 @@ def span_overlap(spark, sf_dir):
     tokens = token_table(texts).drop("prev")
     spans = texts.select("id", F.explode(F.sequence(F.lit(0), F.char_length("text"), F.lit(50))).alias("span_start")).withColumn("span_end", F.col("span_start") + 20)
     return overlap.overlap_join(tokens, spans, ["id"]).select("id", "span_start", "pos", "char_start", "char_end", "token")
+
+
+@query
+def parse_word_shapes(spark, sf_dir):
+    """Written lists of other shapes: tuples with and without parentheses, literals side by side, nested lists, notes."""
+    w = [F.coalesce(F.get(F.split("p_name", " "), F.lit(i)), F.lit("x")) for i in (0, 1)]
+    join = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    listed = F.array(
+        join("'", w[0], "', '", w[1], "'"), join("('", w[0], "','", w[1], "')"), join("['", w[0], "' '", w[1], "']"), join("'", w[0], "'"), join("[['", w[0], "', 1], ['", w[1], "', 2]]"),
+        join("[('", w[0], "', 1), ('", w[1], "', 2)]"), join("['", w[0], " (verb)', '', \"", w[1], "\"]"), join("[", w[0], ", '", w[1], "'"), join("['", w[0], "', '", w[1], "' '", w[0], "']"),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(listed).alias("kind", "s"))
+    return rows.select("p_partkey", "kind", F.to_json(X.parse_words(F.col("s"))).alias("words"))
+
+
+def pair_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("type"), F.col("p_brand").alias("level"), F.concat(F.lit("There are "), "p_size", F.lit(" of ”"), "p_name", F.lit("”.")).alias("original_problem"))
+
+
+@query
+def dataset_document(spark, sf_dir):
+    """A whole table as one JSON document, read as a data set; fields that it lacks are null."""
+    path = f"{scratch_path(spark, 'dataset')}.json"
+    pair_rows(spark, sf_dir).agg(F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias("value")).write.text(path)
+    return readers.read_dataset(spark, path)
+
+
+@query
+def dataset_lines(spark, sf_dir):
+    """A table as JSON lines, some without a level, read as a data set; required columns are there even where no line has them."""
+    path = f"{scratch_path(spark, 'dataset')}.jsonl"
+    rows = pair_rows(spark, sf_dir).withColumn("level", F.when(F.col("level") != "Brand#2", F.col("level")))
+    rows.write.option("ignoreNullFields", "true").json(path)
+    out = readers.read_dataset(spark, path)
+    readers.require_columns(out, ["original_problem", "problem", "level"])
+    return out
+
+
+@query
+def snapshot_rows(spark, sf_dir):
+    """A local snapshot of a hub data set, by name and split."""
+    root = scratch_path(spark, "snapshots")
+    pair_rows(spark, sf_dir).write.parquet(f"{root}/some/pairs/test")
+    return readers.read_snapshot(spark, "some/pairs", "test", root)
+
+
+@query
+def key_fallback(spark, sf_dir):
+    """Lines with a span under its first name, under its second, under both, and with a null under the first."""
+    path = scratch_path(spark, "lines")
+    kind = F.col("p_partkey") % 4
+    name = F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("original_span"))
+    both = F.struct(F.col("p_partkey").cast("string").alias("name"), F.when(kind != 3, F.col("p_type")).alias("buggy_span"), F.col("p_name").alias("original_span"))
+    only = F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_type").alias("buggy_span"))
+    as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    table(spark, sf_dir, "part").select(F.when(kind == 0, as_json(name)).when(kind == 1, as_json(only)).otherwise(as_json(both)).alias("value")).write.text(path)
+    return readers.read_code_pairs(spark, path).select("name", "span", "buggy_span", "original_span", "line_index")
+
+
+@query
+def finite_values(spark, sf_dir):
+    """Sums and counts of what is a finite number, among infinities, values that are no number, and nulls."""
+    x = F.col("l_quantity").cast("double")
+    odd = F.when(x == 1, float("nan")).when(x == 2, float("inf")).when(x == 3, float("-inf")).when(x == 4, F.lit(None)).otherwise(x)
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", X.finite(odd).alias("x"))
+    return rounded(rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count("x").alias("n_finite"), F.sum("x").alias("sum"), F.min("x").alias("min"), F.max("x").alias("max")))
+
+
+@query
+def null_contexts(spark, sf_dir):
+    """Costs of whole texts some of which are null or empty: such texts cost nothing."""
+    turns = talk(spark, sf_dir)
+    rows = turns.select("text_id", F.when(F.char_length("text") % 3 == 1, F.lit(None)).when(F.char_length("text") % 3 == 2, F.lit("")).otherwise(F.col("text")).alias("text"))
+    return rounded(pairs.context_costs(rows, BigramScorer(turns)))
+
+
+@query
+def filter_marked_lists(spark, sf_dir):
+    """The marked sentences with the list of their substitutes, the first one and how many there are."""
+    rows = part_sentences(spark, sf_dir).select(
+        "p_partkey", F.col("marked").alias("Sentence"), F.col("word").alias("target"), F.concat(F.lit("['"), F.array_join(F.concat(F.split("p_name", " "), F.split(F.lower("p_type"), " ")), "', '"), F.lit("']")).alias("acc_subs")
+    )
+    out = lexsub.filter_marked(rows, ordinal="p_partkey")
+    return out.select("p_partkey", "clean_sentence", "target_clean", F.to_json("acc_subs_oneword").alias("acc_subs_oneword"), "first_substitute", "num_oneword_subs", "source_row_idx")
+
+
+def odd_programs(spark, sf_dir) -> DataFrame:
+    """Program pairs with all optional fields; one in seven begins with its span, where nothing can be scored."""
+    rows = program_rows(spark, sf_dir)
+    first = F.col("row_id") % 7 == 5
+    begin = F.substring("counterfactual_buggy_program", 1, 2)
+    return rows.withColumns(
+        {
+            "buggy_span": F.when(first, begin).otherwise(F.col("buggy_span")), "counterfactual_span": F.when(first, begin).otherwise(F.col("counterfactual_span")), "span_start": F.when(first, 0),
+            "variant_id": F.concat(F.lit("v"), "row_id"), "fix_span": F.lit("</html>"), "mutation_type": F.when(F.col("row_id") % 2 == 0, "tag"), "buggy_line": F.lit(None).cast("string"),
+        }
+    )
+
+
+def page_scores(spark, sf_dir) -> DataFrame:
+    return pairs.code_scores(odd_programs(spark, sf_dir), BigramScorer(table(spark, sf_dir, "pages").select(F.col("html").alias("text"))))
+
+
+@query
+def code_record_rows(spark, sf_dir):
+    """Full records of program pairs, with the tokens of both spans."""
+    out = pairs.code_records(page_scores(spark, sf_dir))
+    return rounded(out.withColumns({"orig_tokens": F.array_join("orig_tokens", " "), "cf_tokens": F.array_join("cf_tokens", " ")}))
+
+
+@query
+def code_skipped_rows(spark, sf_dir):
+    """Program pairs that give no record, with the reason and what was known of them."""
+    out = pairs.code_skipped(page_scores(spark, sf_dir))
+    return out.select("name", "reason", "orig_loc_mode", "cf_loc_mode", "orig_span", "cf_span", F.col("orig_score.num_tokens").alias("orig_scored"), F.col("cf_score.sum_nll").alias("cf_sum_nll"))
+
+
+@query
+def word_record_rows(spark, sf_dir):
+    """Full records of substituted words; some rows lack the target or the substitute."""
+    rows = word_rows(spark, sf_dir)
+    size = F.col("row_idx") % 10
+    rows = rows.withColumns({"target_clean": F.when(size == 8, F.lit(" ")).otherwise(F.col("target_clean")), "substitute": F.when(size == 9, F.lit(None)).otherwise(F.col("substitute"))})
+    out = pairs.word_records(pairs.word_scores(rows, BigramScorer(table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))), "parts"))
+    return rounded(out.drop("orig_token_ids", "sub_token_ids").withColumns({"orig_tokens": F.array_join("orig_tokens", " "), "sub_tokens": F.array_join("sub_tokens", " ")}))
+
+
+@query
+def missing_words(spark, sf_dir):
+    """How many rows lack a target or a substitute, or are left out for another reason."""
+    rows = word_rows(spark, sf_dir)
+    size = F.col("row_idx") % 10
+    rows = rows.withColumns({"target_clean": F.when(size == 8, F.lit(" ")).otherwise(F.col("target_clean")), "substitute": F.when(size == 9, F.lit(None)).otherwise(F.col("substitute"))})
+    return lexsub.build_examples(rows).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def nested_stats(spark, sf_dir):
+    """Statistics by group as one nested, sorted document, written and read again."""
+    path = f"{scratch_path(spark, 'summary')}/stats.json"
+    rows = stats.by_groups(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"), "l_quantity", ["l_returnflag", "l_linestatus"])
+    writers.write_summary(spark, path, stats.nested(rows))
+    kind = "n bigint, mean double, median double, std double, min double, max double, frac_positive double"
+    doc = spark.read.schema(f"all struct<{kind.replace(' ', ':').replace(',:', ',')}>, by map<string,map<string,struct<{kind.replace(' ', ':').replace(',:', ',')}>>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    inner = doc.select(F.explode("by").alias("grouping", "m")).select("grouping", F.explode("m").alias("key", "s")).unionByName(doc.select(F.lit("all").alias("grouping"), F.lit(None).cast("string").alias("key"), F.col("all").alias("s")))
+    return rounded(inner.select("grouping", "key", "s.*"), 4)
+
+
+@query
+def compare_document(spark, sf_dir):
+    """A comparison of two samples as a document, written and read again."""
+    path = f"{scratch_path(spark, 'compare')}/compare.json"
+    rows = event_scores(spark, sf_dir)
+    out = stats.compare(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'"), "score", stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp")))
+    writers.write_summary(spark, path, json.loads(out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]))
+    kind = "old struct<n:bigint,mean:double,median:double>, new struct<n:bigint,mean:double,median:double>, difference_mean_old_minus_new double, auc_old_higher_than_new double, cohens_d_old_minus_new double"
+    got = spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return rounded(got.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("old", "new") for c in ("n", "mean", "median")), "difference_mean_old_minus_new", "auc_old_higher_than_new", "cohens_d_old_minus_new"))
+
+
+@query
+def output_paths(spark, sf_dir):
+    """Where the summary and the skipped rows of an output go."""
+    names = [f"{r['r_name'].lower()}{end}" for r in table(spark, sf_dir, "region").collect() for end in (".jsonl", ".csv", ".json", "/")]
+    return spark.createDataFrame([tuple(writers.derived_paths(n)[k] for k in ("records", "summary", "skipped")) for n in names], "records string, summary string, skipped string")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from spanlens.sources.scratch import staged
 
 # Words that a CSV cell has in place of a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -68,18 +71,23 @@ def read_substitutions(spark: SparkSession, path: str) -> DataFrame:
 def with_ordinal(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """``df`` with the number of each row in the input's order, from 0 without gaps.
 
-    Rows are numbered within their partition; the driver sees one count a partition. A column of that name is replaced."""
+    Rows that come from files go by the file's name and their place in it, others by their partition. The numbered table is
+    written once, so that counts and rows come from one run; the driver sees one count a file and partition. A column of that
+    name is replaced."""
     df = df.drop(name)
-    own = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_id", 33).cast("int")
-    counts = sorted((r["p"], r["n"]) for r in own.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    own = df.select(F.struct(*columns).alias("row"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
+    own = staged(own.withColumn("part", F.shiftrightunsigned("id", 33).cast("int")), "ordinal")
+    # parts of one file are read in the order of their offsets, whatever their size
+    runs = own.groupBy("file", "part").agg(F.count("*").alias("n"))
     base, at = [], 0
-    for p, n in counts:
-        base.append((p, at))
-        at += n
-    table = df.sparkSession.createDataFrame(base, "_p int, _base long")
-    numbered = own.join(F.broadcast(table), part == F.col("_p"))
-    return numbered.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name))
+    for r in sorted(runs.collect(), key=lambda r: (r["file"], r["part"])):
+        base.append((r["file"], r["part"], at - 1))
+        at += r["n"]
+    table = df.sparkSession.createDataFrame(base, "file string, part int, base long")
+    place = F.row_number().over(Window.partitionBy("file", "part").orderBy("id"))
+    numbered = own.withColumn("id", place).join(F.broadcast(table), ["file", "part"])
+    return numbered.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns), (F.col("base") + F.col("id")).alias(name))
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:

@@ -10,14 +10,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share; where that is unset, as in tests, in a local one."""
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share, deleted when the application ends.
+
+    Where that is unset: a local folder if everything runs in one process, as in tests, and an error on a cluster."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spanlens-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/spanlens/{name}-{uuid.uuid4().hex}"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spanlens-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        root = _LOCAL[app]
+    own = f"{root}/spanlens/{app}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
