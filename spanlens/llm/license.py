@@ -10,7 +10,8 @@ band, so no signature is computed for it.
 
 The templates are a parameter, and small: what is broadcast is bounded by them and not by the documents.
 
-Defined results: null and empty texts match nothing; words are runs of letters and digits, A-Z in lower case; a template
+Defined results: null and empty texts match nothing; a text of any length is read whole; of overlapping spans of one template the one
+with the highest containment counts, then the shortest, then the first; a containment equal to the threshold reaches it; words are runs of letters and digits, A-Z in lower case; a template
 under five words is one shingle of all its words and matches where they follow one another; equal templates each match;
 rows of a repeated doc_id each get their row; an empty table gives an empty table. Only ``doc_id`` and ``text`` are read.
 """
@@ -179,4 +180,4 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
 def op7_license_minhash(spark, sf_dir: str) -> DataFrame:
     out = license_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     names = F.array_join(F.array_sort(F.array_distinct("matches.license")), ",")
-    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.array_max("matches.containment").alias("best_containment"))
+    return out.select("doc_id", names.alias("licenses"), F.array_max("matches.containment").alias("best_containment"))

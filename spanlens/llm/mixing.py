@@ -166,8 +166,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, members: str | No
 
 
 def identity(seed: int = SEED) -> list[Column]:
-    """Two hashes that name a row by doc_id and text; the first one is its place in the seeded order."""
-    return [F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64(F.lit(seed + 1), F.col("text"), F.col("doc_id")).alias("mark")]
+    """Two hashes that name a row by doc_id and text; the first one, read without a sign, is its place in the seeded order."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text")))
+    key = F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
+    return [key.alias("key"), F.xxhash64(F.lit(seed), F.col("text"), F.col("doc_id")).alias("mark")]
 
 
 def _shared(size: list[int], total: int, weights: tuple[float, ...], repeats: int) -> list[float]:

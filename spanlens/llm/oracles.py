@@ -1,10 +1,12 @@
 """SQL of the registered queries that SQL can express on whole tables.
 
-Not expressed: trained scores (1, 6, 8), seeded 64-bit hashes (3, 9), the tokenizer (4) and approximate word matches (7).
+Not expressed: trained scores (1, 6, 8), the tokenizer (4) and XXH64 (9).
 """
 
 from __future__ import annotations
 
+from spanlens.llm.license import LEAST, SHINGLE, SLACK, TEMPLATES
+from spanlens.llm.mixing import REPEATS, SEED, WEIGHTS
 from spanlens.llm.quality import RULES, STOP_WORDS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,4 +68,47 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules()} AS kept, n_lines, distinct_stop_words FROM b
 """
 
-ORACLES: dict[str, str] = {"op2_cover_tree": VECTORS, "op5_substring_lsm": SUBSTRINGS, "op10_quality_rules": QUALITY}
+MIXING = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(concat_ws(':', '{SEED}', doc_id::VARCHAR, text)) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, [{", ".join(f"{w}::DOUBLE" for w in WEIGHTS)}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT] AS weight FROM d GROUP BY 1),
+r AS (
+  SELECT 0 AS round, sum(words)::DOUBLE AS total, list({{'s': source, 'n': words, 'w': weight}}) AS live, false AS done FROM s
+  UNION ALL
+  SELECT round + 1, total - coalesce(list_sum(list_transform(over, lambda x: {REPEATS}::DOUBLE * x.n)), 0), CASE WHEN len(over) = 0 THEN live ELSE list_filter(live, lambda x: NOT (unit * x.w > {REPEATS} * x.n)) END, len(over) = 0
+  FROM (SELECT *, list_filter(live, lambda x: unit * x.w > {REPEATS} * x.n) AS over FROM (SELECT *, total / list_sum(list_transform(live, lambda x: x.w)) AS unit FROM r WHERE NOT done AND len(live) > 0))),
+e AS (SELECT live, total / list_sum(list_transform(live, lambda x: x.w)) AS unit FROM r ORDER BY round DESC LIMIT 1),
+f AS (SELECT x.s AS source, unit * x.w AS target FROM (SELECT unnest(live) AS x, unit FROM e)),
+t AS (SELECT s.source, words, coalesce(f.target, {REPEATS}::DOUBLE * words) AS target FROM s LEFT JOIN f ON f.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, least(round_even(target, 0)::BIGINT, {REPEATS} * words) AS took FROM t),
+o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id) - size AS before FROM d)
+SELECT doc_id, size::BIGINT AS size, words AS source_size, target, (CASE WHEN words = 0 THEN 0 ELSE took // words * size + greatest(0, least(size, took % words - before)) END)::BIGINT AS taken
+FROM o JOIN q ON q.source IS NOT DISTINCT FROM o.source
+"""
+
+
+def licenses() -> str:
+    """Containment of the templates' shingles in windows that begin at one of them; small letters, and words of letters and digits."""
+    word = r"[^\x09-\x0D\x20-/:-@\[-`{-~]+"
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    wide = list(range(1, SHINGLE + 1))
+    run = lambda k: "CASE WHEN lead(x, {0}) OVER o IS NOT NULL THEN concat_ws(' ', x{1}) END".format(k - 1, "".join(f", lead(x, {j}) OVER o" for j in range(1, k))) if k > 1 else "x"
+    return f"""
+WITH t(name, text) AS (VALUES {rows}),
+tw AS (SELECT name, regexp_extract_all({low("text")}, '{word}') AS ws FROM t),
+tk AS (SELECT name, ws, len(ws) AS size, least({SHINGLE}, len(ws)) AS k FROM tw),
+ts AS (SELECT DISTINCT name, k, CASE WHEN size > k THEN ceil({SLACK}::DOUBLE * (size - k + 1)) ELSE 1 END AS wide, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM tk)),
+tn AS (SELECT name, count(*) AS need FROM ts GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({low("coalesce(text, '')")}, '{word}') AS ws FROM documents),
+w AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM d),
+s AS (SELECT r, i, {", ".join(f"{run(k)} AS s{k}" for k in wide)} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS ({" UNION ALL ".join(f"SELECT r, i, name, s, wide FROM s JOIN ts ON ts.k = {k} AND ts.s = s.s{k}" for k in wide)}),
+c AS (SELECT a.r, a.name, a.i, count(DISTINCT b.s) AS n FROM h a JOIN h b ON b.r = a.r AND b.name = a.name AND b.i BETWEEN a.i AND a.i + a.wide - 1 GROUP BY 1, 2, 3),
+m AS (SELECT r, c.name, max(n / need::DOUBLE) AS share FROM c JOIN tn ON tn.name = c.name GROUP BY 1, 2 HAVING max(n / need::DOUBLE) >= {LEAST}::DOUBLE),
+g AS (SELECT r, string_agg(name, ',' ORDER BY name) AS licenses, max(share) AS best FROM m GROUP BY 1)
+SELECT doc_id, coalesce(licenses, '') AS licenses, best AS best_containment FROM d LEFT JOIN g ON g.r = d.r
+"""
+
+
+ORACLES: dict[str, str] = {"op2_cover_tree": VECTORS, "op3_mixing_flow": MIXING, "op5_substring_lsm": SUBSTRINGS, "op7_license_minhash": licenses(), "op10_quality_rules": QUALITY}

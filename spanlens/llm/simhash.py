@@ -6,7 +6,7 @@ parent) that is searched along the edges within the radius. Trees of all fingerp
 shards are co-located by key rather than broadcast. A shard above ``hot`` fingerprints is dealt again by blocks of the
 remaining bits. A shard reports a star for each group it finds, so output grows with fingerprints and not with pairs.
 
-Defined results: null and empty texts have fingerprint zero, linked like any other; equal fingerprints are linked;
+Defined results: a text of any length is read whole; a bit set in just half of the hashes is 0; null and empty texts have fingerprint zero, linked like any other; equal fingerprints are linked;
 repeated ids keep their rows and share a component; a null doc_id stays null and is nobody's representative unless all
 ids of the group are null; an empty table gives an empty table. Only ``doc_id`` and ``text`` are read.
 """
@@ -140,23 +140,28 @@ def links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shards(radius: int):
-    """Rows (shard, fp), whole shards to a partition, to the stars of each shard."""
+    """Rows (shard, fp), sorted by shard, to the stars of each shard; one shard is held at a time, besides a batch."""
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        shard = table.column("shard").to_numpy()
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        order = np.lexsort((fp, shard))
-        shard, fp = shard[order], fp[order]
+    def stars_of(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         size = np.diff(edge)
-        out = [links(fp[edge[i] : edge[i + 1]], radius) for i in np.flatnonzero(size > 1)]
-        if out:
-            a, b = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        out = [links(np.sort(fp[edge[i] : edge[i + 1]]), radius) for i in np.flatnonzero(size > 1)]
+        if not out:
+            return None
+        a, b = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        shard, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        for batch in batches:
+            shard = np.concatenate([shard, batch.column("shard").to_numpy()])
+            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
+            cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0  # the last shard may go on in the next batch
+            if cut and (out := stars_of(shard[:cut], fp[:cut])) is not None:
+                yield out
+            shard, fp = shard[cut:], fp[cut:]
+        if len(shard) and (out := stars_of(shard, fp)) is not None:
+            yield out
 
     return run
 
@@ -181,7 +186,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot: int = 20_000) -
         parts = dealt.join(large.drop("n"), ["i", "v"], "left_anti").select(plain, "fp")
         for x in again:
             parts = parts.unionByName(x)
-    return parts.repartition("shard").mapInArrow(_shards(radius), "a long, b long")
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(radius), "a long, b long")
 
 
 def _grouped(docs: DataFrame, radius: int, hot: int, same: bool = False) -> DataFrame:
