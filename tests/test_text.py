@@ -129,3 +129,33 @@ def test_find_target(spark, sentence, target, problem, prefix):
     assert (r["problem"], r["prefix"]) == (problem, prefix)
     if problem is None:
         assert r["prefix"] + r["target"] + r["suffix"] == sentence
+
+
+def written_words(s):
+    """A plain version: the value of a literal, or else what stands between commas."""
+    import ast
+    import re
+
+    if s is None:
+        return []
+    try:
+        value = ast.literal_eval(s.strip())
+    except (ValueError, SyntaxError):
+        value = [x for x in re.sub(r"^[\[\]]+|[\[\]]+$", "", s.strip()).split(",")]
+    value = value if isinstance(value, list) else [value]
+    out = []
+    for x in value:
+        x = (x[0] if x else "") if isinstance(x, (list, tuple)) else x
+        x = re.sub(r"\s*\([^)]*\)\s*\Z", "", str(x).strip().strip("'").strip('"')).strip()
+        out += [x] if x else []
+    return out
+
+
+def test_written_lists_of_many_shapes(spark):
+    from spanlens.functions import text as X
+
+    shapes = ["'a', 'b'", "('a','b')", "['a' 'b']", "['a', 'b']", '["a", \'b\']', "'a'", "('a')", "a, b", "[a, b]", "['a (x)', 'b']", "[['a', 1], ['b', 2]]", "[('a', 1), ('b', 2)]", "", "[]", "['', 'b']", "\"a\", 'b'", "('a',)", "['a' 'b', 'c']", "['a b', 'c d']"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate([*shapes, None])], "i int, s string")
+    got = {r["i"]: r["w"] for r in rows.select("i", X.parse_words(F.col("s")).alias("w")).collect()}
+    for i, s in enumerate([*shapes, None]):
+        assert got[i] == written_words(s), s
