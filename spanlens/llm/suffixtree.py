@@ -422,6 +422,7 @@ def tables(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
     total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     grown = single.where(F.col("n") >= LEAST).select("key", "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
     parts = [single.select("key", "n", F.log10((F.col("n") + 0.5) / 0.5).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("gain"))]
+    used = [single]
     for length in range(1, depth + 1):
         shared = spark.sparkContext.broadcast(Filter(grown.select("key")) if length > 1 else None)
         counted = _lean(packed_counts(texts, _following(shared, length), bits, LEAST, True), f"following-{length}")
@@ -429,13 +430,17 @@ def tables(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
         if counted.isEmpty():
             break
         grown, back = grow(counted, grown, length)
+        used += [grown, back]
         for x in (grown.where("gain is not null").select("key", "n", "gain"), back):
             parts.append(x.select("key", "n", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "gain"))
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
     rows = rows.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("gain").alias("gain"))
-    return _lean(rows, "model"), total, distinct
+    model = _lean(rows, "model")
+    for x in used:
+        drop_staged(x)
+    return model, total, distinct
 
 
 def _hot(model: DataFrame) -> tuple[DataFrame, int]:
