@@ -1,6 +1,13 @@
 """The training-data pipeline: four filters and mixes that hand on documents, then sequences of packed tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+
+Defined results, by stage. A null or empty text has no sentence and isn't toxic; it is a near copy of other such texts, of
+which one row stays; it has no repeated passage; it weighs nothing in the mix and stays once; it packs as the end id alone.
+Texts of any length are read whole. Ties: a score equal to the threshold is toxic; of a group of near copies the smallest doc_id
+stays, then the smallest fingerprint and hash of the text, then one of equal rows; of equal passages the one in the smallest
+doc_id stays. Rows with one doc_id are rows of their own, and a null doc_id stays null. An empty table gives an empty table.
+Columns besides ``doc_id``, ``text``, ``source`` and ``n_chars`` are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations
