@@ -14,6 +14,8 @@ from spanlens.functions.text import finite, running_sum
 from spanlens.sources.scratch import staged
 
 TOKEN = "[A-Za-z]+|[0-9]|[ \t\n\r\f]+|[^A-Za-z0-9 \t\n\r\f]+"
+#: Pairs that a bigram model has at most, about 60 bytes each, if it is broadcast.
+BROADCAST = 500_000
 SCHEMA = "text_id string, pos int, char_start int, char_end int, token_id int, token string, nll double"
 
 
@@ -39,6 +41,7 @@ class BigramScorer:
 
     def __init__(self, corpus: DataFrame, alpha: float = 0.5):
         self.alpha = alpha
+        self._small: bool | None = None
         tokens = F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))
         pairs = F.transform(F.col("t"), lambda x, i: F.struct(F.get(F.col("t"), i - 1).alias("prev"), x.alias("token")))
         counts = corpus.select(tokens.alias("t")).select(F.explode(pairs).alias("p")).groupBy("p.prev", "p.token").agg(F.count("*").alias("n"))
@@ -50,14 +53,27 @@ class BigramScorer:
     def tokens(self, texts: DataFrame) -> DataFrame:
         return token_table(texts)
 
+    def small(self) -> bool:
+        """Whether the model has few enough pairs to be sent to every executor."""
+        if self._small is None:
+            self._small = self.counts.count() <= BROADCAST
+        return self._small
+
     def nll(self, tokens: DataFrame) -> DataFrame:
-        """``tokens`` with ``nll``, without ``prev``."""
+        """``tokens`` with ``nll``, without ``prev``. A small model is broadcast, so that no token moves; of a large one each
+        distinct pair is looked up once."""
+        pairs = self.pairs.select("prev", "token", F.col("n").alias("_n"))
+        contexts = self.contexts.select("prev", F.col("context_n").alias("_context_n"))
+        kinds = F.broadcast(self.vocabulary.select(F.col("v").alias("_v")))
+        seen = F.coalesce(F.col("_n"), F.lit(0)) + F.lit(self.alpha)
+        room = F.coalesce(F.col("_context_n"), F.lit(0)) + F.lit(self.alpha) * F.col("_v")
+        cost = (-F.ln(seen / room)).alias("nll")
+        if self.small():
+            known = tokens.join(F.broadcast(pairs), ["prev", "token"], "left").join(F.broadcast(contexts), "prev", "left").join(kinds)
+            return known.withColumn("nll", F.when(F.col("prev").isNotNull(), cost)).drop("prev", "_n", "_context_n", "_v")
         asked = tokens.where("prev is not null").select("prev", "token").distinct()
-        known = asked.join(self.pairs, ["prev", "token"], "left").join(self.contexts, "prev", "left").join(F.broadcast(self.vocabulary))
-        seen = F.coalesce(F.col("n"), F.lit(0)) + F.lit(self.alpha)
-        room = F.coalesce(F.col("context_n"), F.lit(0)) + F.lit(self.alpha) * F.col("v")
-        cost = known.select("prev", "token", (-F.ln(seen / room)).alias("nll"))
-        return tokens.join(cost, ["prev", "token"], "left").drop("prev")
+        known = asked.join(pairs, ["prev", "token"], "left").join(contexts, "prev", "left").join(kinds)
+        return tokens.join(known.select("prev", "token", cost), ["prev", "token"], "left").drop("prev")
 
     def score(self, texts: DataFrame) -> DataFrame:
         return self.nll(self.tokens(texts)).select("text_id", "pos", "char_start", "char_end", F.hash("token").alias("token_id"), "token", "nll")

@@ -182,3 +182,16 @@ def test_limit_of_the_model(libraries, spark):
     assert got == {1: None, 2: "orig_too_long"}
     got = {r["row_idx"]: r["reason"] for r in pairs.word_scores(rows, Limited(corpus), max_tokens=100).collect()}
     assert got == {1: None, 2: None}
+
+
+def test_small_and_large_bigram_models_agree(spark, monkeypatch):
+    """Costs are the same whether the model is broadcast or its pairs are looked up."""
+    texts = spark.createDataFrame([("1", "a b a b c"), ("2", ""), ("3", None), ("4", "z a"), ("5", "c")], "text_id string, text string")
+    corpus = spark.createDataFrame([("a b c a b",), ("b a",), (None,)], "text string")
+    out = []
+    for most in (scorer.BROADCAST, 0):
+        monkeypatch.setattr(scorer, "BROADCAST", most)
+        own = scorer.BigramScorer(corpus)
+        assert own.small() == (most > 0)
+        out.append(sorted(str(tuple(r)) for r in own.score(texts).collect()))
+    assert out[0] == out[1] and len(out[0]) == 9 + 3 + 1
