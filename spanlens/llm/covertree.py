@@ -16,6 +16,10 @@ evenly. Links are counted, and components are kept as stars, so that a dense gro
 What can't be pruned is compared: where most vectors are far from all others in many dimensions, as random ones are, no
 covering radius is small, and the pairs of centres are nearly all pairs of vectors.
 
+Memory doesn't grow with the table: cosines are computed ``BLOCK`` at a time, vectors are dealt ``SLICE`` at a time (or what
+makes about ``ARROW_BYTES``) and leave in batches of about ``ARROW_BYTES``, and a sample or a shard has at most ``WIDE``
+bytes as doubles, so that long vectors have smaller ones.
+
 Cosines are dot products of unit vectors; within ``CLOSE`` of the threshold, dot product over the product of norms decides.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
@@ -27,17 +31,22 @@ gives an empty table. Only ``vec_id`` and ``embedding`` are read, so other colum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.components import components, stars
-from spanlens.llm.shared import drop_staged, stage
+from spanlens.llm.shared import ARROW_BYTES, bound_arrow, drop_staged, stage
 
 LEAST = 0.9
 SAMPLE = 16_384
 SHARD = 4096
+WIDE = 16 << 20
+BLOCK = 1 << 20
+SLICE = 2048
 BASE = 32
 SLACK = 1e-6
 CLOSE = 1e-12
@@ -181,8 +190,9 @@ class Links:
     def compare(self, i: np.ndarray, j: np.ndarray, own: bool) -> None:
         """All rows i against all rows j; with ``own`` both are of the same rows, all j in each call, so that a pair is met from
         both sides. Single precision finds what may be near, double precision decides."""
-        for k in range(0, len(i) if len(j) else 0, 1024):
-            part = i[k : k + 1024]
+        step = max(1, BLOCK // max(1, len(j)))
+        for k in range(0, len(i) if len(j) else 0, step):
+            part = i[k : k + step]
             near = self.s.thin[part] @ self.t.thin[j].T >= self.cos - 1e-6 - 2e-7 * self.s.x.shape[1]
             self.tested += near.size
             p, q = np.divmod(np.flatnonzero(near), len(j))
@@ -223,8 +233,9 @@ class Links:
             self.divide(i[single], j[~other], False, todo)
 
     def divide(self, nodes: np.ndarray, j: np.ndarray, own: bool, todo: list) -> None:
-        for k in range(0, len(nodes) if len(j) else 0, 1024):
-            i = nodes[k : k + 1024]
+        step = max(1, BLOCK // max(1, len(j)))
+        for k in range(0, len(nodes) if len(j) else 0, step):
+            i = nodes[k : k + step]
             p, q = self.open_pairs(i, j, own)
             if own:
                 todo += [(i[x : x + 1], i[x : x + 1], True) for x in p[i[p] == j[q]]]
@@ -290,13 +301,18 @@ class Top:
             node, rows = todo.pop()
             if not self.tree.last[node]:
                 continue
-            d = apart(x[rows] @ self.centers[self.tree.first[node] : self.tree.last[node]].T)
-            best = d.argmin(axis=1)
-            least = d[np.arange(len(rows)), best]
+            best, least = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+            step = max(1, BLOCK // max(1, len(rows)))
+            for k in range(self.tree.first[node], self.tree.last[node], step):
+                d = apart(self.centers[k : min(k + step, self.tree.last[node])] @ x[rows].T)
+                at = d.argmin(axis=0)
+                low = d[at, np.arange(len(rows))]
+                on = low < least
+                best[on], least[on] = k + at[on], low[on]
             on = least <= self.tree.reach[node]
             rows, best = rows[on], best[on]
-            cell[rows], far[rows] = self.tree.first[node] + best, least[on]
-            todo += [(int(k) + int(self.tree.first[node]), rows[best == k]) for k in np.unique(best)]
+            cell[rows], far[rows] = best, least[on]
+            todo += grouped(best, rows)
         return cell, far
 
     def measure(self, cells: np.ndarray, count: np.ndarray, far: np.ndarray, shard: int) -> None:
@@ -329,37 +345,45 @@ class Top:
                 room -= size[node]
         self.shards = int(at)
 
-    def visits(self, x: np.ndarray, near: float) -> list[tuple[int, np.ndarray]]:
+    def visits(self, x: np.ndarray, near: float) -> Iterator[tuple[int, np.ndarray]]:
         """Cells with the rows of ``x`` that may have a neighbour in them."""
-        out = []
         d = apart(x @ self.centers[0])
         if self.cell[0] >= 0 and (on := np.flatnonzero(d <= self.cell[0] + near + SLACK)).size:
-            out.append((0, on))
-        todo = [(0, np.flatnonzero(d <= self.subtree[0] + near + SLACK))]
+            yield 0, on
+        todo = [(int(self.tree.first[0]), int(self.tree.last[0]), np.flatnonzero(d <= self.subtree[0] + near + SLACK))]
         while todo:
-            node, rows = todo.pop()
-            below = np.arange(self.tree.first[node], self.tree.last[node])
+            first, last, rows = todo.pop()
+            step = max(1, BLOCK // max(1, len(rows)))
+            if last - first > step:  # the rest waits until what is below these is done
+                todo.append((first + step, last, rows))
+            below = np.arange(first, min(first + step, last))
             below = below[self.subtree[below] >= 0]
             if not len(below) or not len(rows):
                 continue
-            d = apart(x[rows] @ self.centers[below].T)
-            for k in np.flatnonzero((d <= self.subtree[below] + near + SLACK).any(axis=0)):
+            d = apart(self.centers[below] @ x[rows].T)
+            for k in np.flatnonzero(d.min(axis=1) <= self.subtree[below] + near + SLACK):
                 child = int(below[k])
-                if self.cell[child] >= 0 and (on := rows[d[:, k] <= self.cell[child] + near + SLACK]).size:
-                    out.append((child, on))
+                if self.cell[child] >= 0 and (on := rows[d[k] <= self.cell[child] + near + SLACK]).size:
+                    yield child, on
                 if self.tree.last[child]:
-                    todo.append((child, rows[d[:, k] <= self.subtree[child] + near + SLACK]))
-        return out
+                    todo.append((int(self.tree.first[child]), int(self.tree.last[child]), rows[d[k] <= self.subtree[child] + near + SLACK]))
+
+
+def slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """``SLICE`` rows at a time, or what makes about ``ARROW_BYTES`` of vectors of ``width`` bytes."""
+    step = max(1, min(SLICE, ARROW_BYTES // width))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
 
 
 def _cells(shared, dims: int, dtype: str):
     def run(batches):
         top: Top = shared.value
         for batch in batches:
-            if batch.num_rows:
-                cell, far = top.home(units(batch.column("data").to_pylist(), dims, dtype)[1])
+            for part in slices(batch, dims * np.dtype(dtype).itemsize):
+                cell, far = top.home(units(part.column("data").to_pylist(), dims, dtype)[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("weight"), batch.column("data"), pa.array(cell.astype(np.int32)), pa.array(far)], ["node", "weight", "data", "cell", "far"]
+                    [part.column("node"), part.column("weight"), part.column("data"), pa.array(cell.astype(np.int32)), pa.array(far)], ["node", "weight", "data", "cell", "far"]
                 )
 
     return run
@@ -375,28 +399,37 @@ def _deal(shared, dims: int, dtype: str):
 
     def run(batches):
         top, near = shared.value
+        width = dims * np.dtype(dtype).itemsize
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            for part in slices(batch, width):
                 data = part.column("data").to_pylist()
+                flat = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
                 node, weight = (part.column(c).to_numpy() for c in ("node", "weight"))
                 home = part.column("shard").to_numpy()
-                rows_of: dict[tuple[int, int], list[np.ndarray]] = {(s, 0): [np.flatnonzero(home == s)] for s in np.unique(home).tolist()}
+                seen = np.zeros((top.shards, len(data)), bool)
                 for cell, rows in top.visits(units(data, dims, dtype)[1], near):
-                    for s in range(int(top.first_shard[cell]), int(top.first_shard[cell] + top.blocks[cell])):
-                        if (on := rows[visits(home[rows], s)]).size:
-                            rows_of.setdefault((s, 1), []).append(on)
-                out = []
-                for (s, kind), parts in rows_of.items():
-                    rows = np.unique(np.concatenate(parts))
-                    out.append((s, kind, node[rows].tobytes(), weight[rows].tobytes(), b"".join([data[i] for i in rows])))
-                c = list(zip(*out, strict=True))
-                cols = [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])]
-                yield pa.RecordBatch.from_arrays(cols, ["shard", "kind", "nodes", "weights", "data"])
+                    seen[int(top.first_shard[cell]) : int(top.first_shard[cell] + top.blocks[cell]), rows] = True
+                out, held = [], 0
+                for s in range(top.shards):
+                    for kind, on in ((0, home == s), (1, seen[s] & visits(home, s))):
+                        if not (rows := np.flatnonzero(on)).size:
+                            continue
+                        out.append((s, kind, node[rows].tobytes(), weight[rows].tobytes(), flat[rows].tobytes()))
+                        held += len(rows) * (width + 16)
+                        if held >= ARROW_BYTES:
+                            yield _dealt(out)
+                            out, held = [], 0
+                if out:
+                    yield _dealt(out)
 
     return run
 
 
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in c[:2]), *(pa.array(x, pa.binary()) for x in c[2:])], ["shard", "kind", "nodes", "weights", "data"])
+
+
 def search(residents: tuple, visitors: tuple | None, cos: float) -> tuple[pa.RecordBatch, int]:
     """Link counts (a, -1, n) and stars (a, b, 0) of residents (names, weights, vectors, tree) among themselves, or between
     them and visitors (names, weights, (vectors, unit vectors)); and how many cosines that took."""
@@ -454,7 +487,7 @@ def _search(dims: int, dtype: str, cos: float):
 
 def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
-    spark = vectors.sparkSession
+    bound_arrow(vectors.sparkSession)
     element = dict(vectors.dtypes)["embedding"]
     dtype = "<f4" if element == "array<float>" else "<f8"
     wide = F.col("embedding") if dtype == "<f4" else F.col("embedding").cast("array<double>")
@@ -492,12 +525,13 @@ def _of_length(distinct: DataFrame, dims: int, n: int, dtype: str, least: float)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), pa.array(data, pa.binary())], ["node", "weight", "data"])
 
     vectors = distinct.select("node", "weight", "embedding").mapInArrow(packed, "node long, weight long, data binary")
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(512, n // 16))).select("embedding").collect()
-    top = Top(units([np.array(r[0], dtype).tobytes() for r in sample], dims, dtype)[1])
+    most = max(1, WIDE // (8 * dims))
+    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, most, max(512, n // 16))).mapInArrow(packed, "node long, weight long, data binary").select("data").collect()
+    top = Top(units([bytes(r[0]) for r in sample], dims, dtype)[1])
     shared = spark.sparkContext.broadcast(top)
     cells = stage(vectors.mapInArrow(_cells(shared, dims, dtype), "node long, weight long, data binary, cell int, far double"), "cells")
     stats = sorted((r["cell"], r["n"], r["far"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect())
-    top.measure(*(np.array(x) for x in zip(*stats, strict=True)), SHARD)
+    top.measure(*(np.array(x) for x in zip(*stats, strict=True)), min(SHARD, most))
     table = spark.createDataFrame([(c, int(top.first_shard[c]), int(top.blocks[c])) for c, _, _ in stats], "cell int, first int, blocks int")
     dealt = cells.join(F.broadcast(table), "cell").select("node", "weight", "data", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("shard"))
     plan = spark.sparkContext.broadcast((top, float(np.sqrt(2 - 2 * least))))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +110,55 @@ def test_vectors_visit_near_cells_only(monkeypatch):
     assert all((covertree.visits(shards, s) ^ np.array([covertree.visits(np.array([s]), int(k))[0] for k in shards]) == (shards != s)).all() for s in shards)
 
 
+def test_dealing_is_bounded_in_memory():
+    """Random vectors, which all visit nearly all cells: neither the way down, nor the visits, nor a batch that leaves grows with cells or shards."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64)).astype(np.float32)
+    x[1:400:2] = x[0:400:2] + 0.2 * rng.normal(size=(200, 64))
+    unit = covertree.units([v.tobytes() for v in x], 64, "<f4")[1]
+    top = covertree.Top(unit[-5000:])
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / 2**20
+        finally:
+            tracemalloc.stop()
+
+    (cell, far), mb = peak(lambda: top.home(unit))
+    assert mb < 100  # distances of all rows to all cells: 305 MB
+    cells, count = np.unique(cell, return_counts=True)
+    most = np.zeros(len(top.centers))
+    np.maximum.at(most, cell, far)
+    top.measure(cells, count, most[cells], 20)
+    near = float(np.sqrt(0.2))
+    shard = top.first_shard[cell]
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(2000), "weight": np.ones(2000, np.int64), "data": [v.tobytes() for v in x[:2000]], "shard": pa.array(shard[:2000].astype(np.int32))})
+    shared = type("Shared", (), {"value": (top, near)})
+    deal = covertree._deal(shared, 64, "<f4")
+    out, mb = peak(lambda: [(b.nbytes, [(r["shard"], r["kind"], np.frombuffer(r["nodes"], np.int64), len(r["data"])) for r in b.to_pylist()]) for b in deal(iter([batch]))])
+    assert top.shards > 300 and mb < 150 and len(out) > 5 and max(n for n, _ in out) < 1.2 * covertree.ARROW_BYTES
+    met = set()
+    for _, rows in out:
+        for s, kind, nodes, size in rows:
+            assert size == 256 * len(nodes) and (shard[nodes] == s).all() == (kind == 0)
+            met |= {(int(i), s) for i in nodes}
+    pairs = np.argwhere(np.triu(unit[:2000] @ unit[:2000].T >= 0.9, 1))
+    assert len(pairs) > 100 and all((i, shard[j]) in met or (j, shard[i]) in met for i, j in pairs.tolist())
+
+
+def test_long_vectors_have_smaller_samples_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "WIDE", 8 * 8 * 30)
+    seen = []
+    real = covertree.Top.measure
+    monkeypatch.setattr(covertree.Top, "measure", lambda self, cells, count, far, shard: (seen.append((len(self.tree.x), shard)), real(self, cells, count, far, shard)))
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 8))
+    rows = [(i, (base[i % 20] + rng.normal(size=8) * 0.25).tolist()) for i in range(200)]
+    assert vectors(covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute.near_vectors(rows)
+    assert seen == [(30, 30)]
+
+
 def test_no_vectors(spark):
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
