@@ -18,7 +18,9 @@ covering radius is small, and the pairs of centres are nearly all pairs of vecto
 
 Memory doesn't grow with the table: cosines are computed ``BLOCK`` at a time, vectors are dealt ``SLICE`` at a time (or what
 makes about ``ARROW_BYTES``) and leave in batches of about ``ARROW_BYTES``, and a sample or a shard has at most ``WIDE``
-bytes as doubles, so that long vectors have smaller ones.
+bytes as doubles, so that long vectors have smaller ones. Nor do its files outgrow it: where visits are many, shards are searched
+in rounds whose visits, by a sample's, take about 1.5 times the table's bytes (``ROUND`` at least), and a shard's visitors are
+parts of about ``PART``, each with the residents.
 
 Cosines are dot products of unit vectors; within ``CLOSE`` of the threshold, dot product over the product of norms decides.
 
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.components import components, stars
-from spanlens.llm.shared import ARROW_BYTES, bound_arrow, drop_staged, stage
+from spanlens.llm.shared import ARROW_BYTES, bound_arrow, drop_staged, lean_shuffles, new_path, stage
 
 LEAST = 0.9
 SAMPLE = 16_384
@@ -47,6 +49,9 @@ SHARD = 4096
 WIDE = 16 << 20
 BLOCK = 1 << 20
 SLICE = 2048
+PART = 32_768
+VISITORS = 4096
+ROUND = 128 << 20
 BASE = 32
 SLACK = 1e-6
 CLOSE = 1e-12
@@ -344,11 +349,19 @@ class Top:
                 self.first_shard[node] = at - 1
                 room -= size[node]
         self.shards = int(at)
+        self.low, self.high = np.where(size > 0, self.first_shard, self.shards), np.where(size > 0, self.first_shard + self.blocks, 0)
+        for node in range(n - 1, -1, -1):
+            if self.tree.last[node]:
+                below = self.tree.below(np.array([node]))
+                self.low[node], self.high[node] = min(self.low[node], self.low[below].min()), max(self.high[node], self.high[below].max())
 
-    def visits(self, x: np.ndarray, near: float) -> Iterator[tuple[int, np.ndarray]]:
-        """Cells with the rows of ``x`` that may have a neighbour in them."""
+    def visits(self, x: np.ndarray, near: float, since: int = 0, until: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Cells, of those with some of the shards ``since`` to ``until``, with the rows of ``x`` that may have a neighbour in them."""
+        until = self.shards if until is None else until
+        wanted = (self.subtree >= 0) & (self.low < until) & (self.high > since)
+        own = (self.cell >= 0) & (self.first_shard < until) & (self.first_shard + self.blocks > since)
         d = apart(x @ self.centers[0])
-        if self.cell[0] >= 0 and (on := np.flatnonzero(d <= self.cell[0] + near + SLACK)).size:
+        if own[0] and (on := np.flatnonzero(d <= self.cell[0] + near + SLACK)).size:
             yield 0, on
         todo = [(int(self.tree.first[0]), int(self.tree.last[0]), np.flatnonzero(d <= self.subtree[0] + near + SLACK))]
         while todo:
@@ -357,17 +370,43 @@ class Top:
             if last - first > step:  # the rest waits until what is below these is done
                 todo.append((first + step, last, rows))
             below = np.arange(first, min(first + step, last))
-            below = below[self.subtree[below] >= 0]
+            below = below[wanted[below]]
             if not len(below) or not len(rows):
                 continue
             d = apart(self.centers[below] @ x[rows].T)
             for k in np.flatnonzero(d.min(axis=1) <= self.subtree[below] + near + SLACK):
                 child = int(below[k])
-                if self.cell[child] >= 0 and (on := rows[d[k] <= self.cell[child] + near + SLACK]).size:
+                if own[child] and (on := rows[d[k] <= self.cell[child] + near + SLACK]).size:
                     yield child, on
                 if self.tree.last[child]:
                     todo.append((int(self.tree.first[child]), int(self.tree.last[child]), rows[d[k] <= self.subtree[child] + near + SLACK]))
 
+    def seen(self, x: np.ndarray, home: np.ndarray, near: float, since: int, until: int) -> np.ndarray:
+        """By shard from ``since`` to ``until`` and row of ``x``, whether the row, of the shard ``home``, visits the shard."""
+        out = np.zeros((until - since, len(x)), bool)
+        for cell, rows in self.visits(x, near, since, until):
+            a = int(self.first_shard[cell]) - since
+            out[max(a, 0) : a + int(self.blocks[cell]), rows] = True
+        for k in range(len(out)):
+            out[k] &= visits(home, since + k)
+        return out
+
+    def rounds(self, x: np.ndarray, near: float, n: int, width: int) -> list[tuple[int, int, list[int]]]:
+        """Shards (first, last) of each round and the parts of their visitors, by how many of the ``x``, a sample of ``n``, visit them."""
+        cell = self.home(x)[0]
+        home = self.first_shard[cell] + np.arange(len(x)) % self.blocks[cell]
+        out, first, parts, held = [], 0, [], 0.0
+        for a in range(0, self.shards, SLICE):
+            for k, visitors in enumerate((self.seen(x, home, near, a, min(a + SLICE, self.shards)).sum(axis=1) * (n / len(x))).tolist(), a):
+                copies = max(1, -(-int(visitors) // PART))
+                cost = (visitors + copies * n / self.shards) * (width + 16)
+                if parts and (held + cost > max(ROUND, 1.5 * n * width) or len(parts) == SLICE):
+                    out.append((first, k, parts))
+                    first, parts, held = k, [], 0.0
+                parts.append(copies)
+                held += cost
+        return [*out, (first, self.shards, parts)]
+
 
 def slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     """``SLICE`` rows at a time, or what makes about ``ARROW_BYTES`` of vectors of ``width`` bytes."""
@@ -394,8 +433,9 @@ def visits(p: np.ndarray, q: int) -> np.ndarray:
     return (p != q) & (((p + q) % 2 == 0) == (p < q))
 
 
-def _deal(shared, dims: int, dtype: str):
-    """Each vector to its own shard as a resident, and as a visitor to the shards that may hold a neighbour."""
+def _deal(shared, dims: int, dtype: str, since: int, until: int, parts: list[int]):
+    """Each vector to all parts of its own shard as a resident, and as a visitor to a part of the shards that may hold a neighbour;
+    of the shards ``since`` to ``until``."""
 
     def run(batches):
         top, near = shared.value
@@ -406,15 +446,13 @@ def _deal(shared, dims: int, dtype: str):
                 flat = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
                 node, weight = (part.column(c).to_numpy() for c in ("node", "weight"))
                 home = part.column("shard").to_numpy()
-                seen = np.zeros((top.shards, len(data)), bool)
-                for cell, rows in top.visits(units(data, dims, dtype)[1], near):
-                    seen[int(top.first_shard[cell]) : int(top.first_shard[cell] + top.blocks[cell]), rows] = True
+                seen = top.seen(units(data, dims, dtype)[1], home, near, since, until)
                 out, held = [], 0
-                for s in range(top.shards):
-                    for kind, on in ((0, home == s), (1, seen[s] & visits(home, s))):
-                        if not (rows := np.flatnonzero(on)).size:
-                            continue
-                        out.append((s, kind, node[rows].tobytes(), weight[rows].tobytes(), flat[rows].tobytes()))
+                for s, n in enumerate(parts, since):
+                    own, other = np.flatnonzero(home == s), np.flatnonzero(seen[s - since])
+                    to = (int(node[0]) // SLICE + s) % n  # a slice's visitors stay together, as large blocks take less time
+                    for part, kind, rows in [(p, 0, own) for p in range(n) if len(own)] + [(to, 1, other)] * (len(other) > 0):
+                        out.append((s, part, kind, node[rows].tobytes(), weight[rows].tobytes(), flat[rows].tobytes()))
                         held += len(rows) * (width + 16)
                         if held >= ARROW_BYTES:
                             yield _dealt(out)
@@ -427,7 +465,7 @@ def _deal(shared, dims: int, dtype: str):
 
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in c[:2]), *(pa.array(x, pa.binary()) for x in c[2:])], ["shard", "kind", "nodes", "weights", "data"])
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in c[:3]), *(pa.array(x, pa.binary()) for x in c[3:])], ["shard", "part", "kind", "nodes", "weights", "data"])
 
 
 def search(residents: tuple, visitors: tuple | None, cos: float) -> tuple[pa.RecordBatch, int]:
@@ -449,10 +487,11 @@ def search(residents: tuple, visitors: tuple | None, cos: float) -> tuple[pa.Rec
 
 
 def _search(dims: int, dtype: str, cos: float):
-    """Rows of whole shards, residents first, to link counts (a, -1, n) and stars (a, b, 0)."""
+    """Rows of whole parts of shards, residents first, to link counts (a, -1, n) and stars (a, b, 0); the first part also searches
+    the residents among themselves."""
 
     def run(batches):
-        at, held, res = None, [], None
+        at, held, res, waiting = None, [], None, []
 
         def unpack(rows):
             return (
@@ -465,22 +504,34 @@ def _search(dims: int, dtype: str, cos: float):
             nodes, w, (raw, unit) = unpack(held)
             return nodes, w, raw, Tree(unit)
 
+        def alone(res):
+            if at[1] == 0:
+                yield search(res, None, cos)[0]
+
+        def visited():
+            if waiting and res is not None:
+                yield search(res, unpack(waiting), cos)[0]
+            waiting.clear()
+
         for batch in batches:
             for r in batch.to_pylist():
-                if r["shard"] != at:
+                if (r["shard"], r["part"]) != at:
+                    yield from visited()
                     if held:
-                        yield search(residents(), None, cos)[0]
-                    at, held, res = r["shard"], [], None
+                        yield from alone(residents())
+                    at, held, res = (r["shard"], r["part"]), [], None
                 if r["kind"] == 0:
                     held.append(r)
                 else:
                     if held:
                         res, held = residents(), []
-                        yield search(res, None, cos)[0]
-                    if res is not None:
-                        yield search(res, unpack([r]), cos)[0]
+                        yield from alone(res)
+                    waiting.append(r)
+                    if sum(len(v["nodes"]) for v in waiting) >= 8 * VISITORS or sum(len(v["data"]) for v in waiting) >= ARROW_BYTES:
+                        yield from visited()
+        yield from visited()
         if held:
-            yield search(residents(), None, cos)[0]
+            yield from alone(residents())
 
     return run
 
@@ -496,7 +547,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     fine = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("fine", fine)
     distinct = rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    distinct = stage(distinct.select("embedding", "rep", "weight", F.size("embedding").alias("dims")).withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
+    with lean_shuffles(vectors.sparkSession):
+        distinct = stage(distinct.select("embedding", "rep", "weight", F.size("embedding").alias("dims")).withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
     found = None
     for r in distinct.groupBy("dims").agg(F.count("*").alias("n")).collect():
         part = _of_length(distinct.where(F.col("dims") == r["dims"]), r["dims"], r["n"], dtype, least)
@@ -534,12 +586,16 @@ def _of_length(distinct: DataFrame, dims: int, n: int, dtype: str, least: float)
     top.measure(*(np.array(x) for x in zip(*stats, strict=True)), min(SHARD, most))
     table = spark.createDataFrame([(c, int(top.first_shard[c]), int(top.blocks[c])) for c, _, _ in stats], "cell int, first int, blocks int")
     dealt = cells.join(F.broadcast(table), "cell").select("node", "weight", "data", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("shard"))
-    plan = spark.sparkContext.broadcast((top, float(np.sqrt(2 - 2 * least))))
-    rows = dealt.mapInArrow(_deal(plan, dims, dtype), "shard int, kind int, nodes binary, weights binary, data binary")
-    found = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dims, dtype, least), "a long, b long, n long")
-    found = stage(found, "vector-links")
+    near = float(np.sqrt(2 - 2 * least))
+    plan = spark.sparkContext.broadcast((top, near))
+    path, links = new_path(spark, "vector-links"), "a long, b long, n long"
+    for since, until, parts in top.rounds(top.tree.x[:SLICE], near, n, dims * size):
+        rows = dealt.mapInArrow(_deal(plan, dims, dtype, since, until, parts), "shard int, part int, kind int, nodes binary, weights binary, data binary")
+        found = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(_search(dims, dtype, least), links)
+        with lean_shuffles(spark):
+            found.write.mode("append").option("compression", "zstd").parquet(path)
     drop_staged(cells)
-    return found
+    return spark.read.schema(links).parquet(path)
 
 
 def op2_cover_tree(spark, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_dealing_is_bounded_in_memory():
     shard = top.first_shard[cell]
     batch = pa.RecordBatch.from_pydict({"node": np.arange(2000), "weight": np.ones(2000, np.int64), "data": [v.tobytes() for v in x[:2000]], "shard": pa.array(shard[:2000].astype(np.int32))})
     shared = type("Shared", (), {"value": (top, near)})
-    deal = covertree._deal(shared, 64, "<f4")
+    deal = covertree._deal(shared, 64, "<f4", 0, top.shards, [1] * top.shards)
     out, mb = peak(lambda: [(b.nbytes, [(r["shard"], r["kind"], np.frombuffer(r["nodes"], np.int64), len(r["data"])) for r in b.to_pylist()]) for b in deal(iter([batch]))])
     assert top.shards > 300 and mb < 150 and len(out) > 5 and max(n for n, _ in out) < 1.2 * covertree.ARROW_BYTES
     met = set()
@@ -147,6 +147,22 @@ def test_dealing_is_bounded_in_memory():
     assert len(pairs) > 100 and all((i, shard[j]) in met or (j, shard[i]) in met for i, j in pairs.tolist())
 
 
+def test_visits_in_rounds(spark, monkeypatch):
+    """Shards in rounds and visitors in parts give what one round gives; a round's copies stay near the table's bytes."""
+    for name, v in (("SHARD", 40), ("SAMPLE", 100), ("ROUND", 1), ("PART", 60)):
+        monkeypatch.setattr(covertree, name, v)
+    plans = []
+    real = covertree.Top.rounds
+    monkeypatch.setattr(covertree.Top, "rounds", lambda *a: plans.append((a[0].shards, real(*a))) or plans[-1][1])
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 32))
+    rows = [(i, (base[i % 150] + rng.normal(size=32) * 0.25).tolist()) for i in range(500)]
+    assert vectors(covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute.near_vectors(rows)
+    ((shards, rounds),) = plans
+    assert len(rounds) > 2 and [s for a, b, _ in rounds for s in range(a, b)] == list(range(shards))
+    assert all(len(parts) == b - a for a, b, parts in rounds) and max(max(parts) for _, _, parts in rounds) > 1
+
+
 def test_long_vectors_have_smaller_samples_and_shards(spark, monkeypatch):
     monkeypatch.setattr(covertree, "WIDE", 8 * 8 * 30)
     seen = []
