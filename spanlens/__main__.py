@@ -144,7 +144,7 @@ def run_code(spark, a) -> dict:
     records, skipped = pairs.code_records(scores), pairs.code_skipped(scores)
     writers.write_json_lines(records, paths["records"])
     writers.write_json_lines(skipped, paths["skipped"])
-    summary = {c: as_dict(records.agg(*stats.stats_code(c))) for c in ("delta_sum_nll", "delta_mean_nll")}
+    summary = {c: as_dict(stats.grouped(records, [], stats.stats_code(c), stats.medians_of(F.col(c)))) for c in ("delta_sum_nll", "delta_mean_nll")}
     summary |= as_dict(records.agg(F.count("*").alias("num_records"), F.count_if("token_count_mismatch").alias("num_token_count_mismatch"), F.count_if(F.col("delta_sum_nll") > 0).alias("num_positive")))
     summary |= {"num_input": scores.count(), "num_skipped": skipped.count(), "model": a.model, "input": a.input_jsonl}
     print(writers.write_summary(spark, a.out_summary or paths["summary"], summary))
@@ -159,7 +159,7 @@ def compared(spark, a, score: str, stats_of) -> dict:
     old, new = (numeric(readers.read_csv(spark, p)) for p in (a.old_csv, a.new_csv))
     for df in (old, new):
         readers.require_columns(df, [score])
-    out = {"old_file": a.old_csv, "new_file": a.new_csv} | as_dict(stats.compare(old, new, score, stats_of))
+    out = {"old_file": a.old_csv, "new_file": a.new_csv} | as_dict(stats.compare(old, new, score, stats_of, stats.medians_of(F.col(score))))
     if a.compare_out:
         writers.write_summary(spark, a.compare_out, out)
     print(json.dumps(out, indent=2))
@@ -179,7 +179,7 @@ def run_word(spark, a) -> dict:
     scores = staged(scores, "scores")
     records = pairs.word_records(scores)
     writers.write_csv(records, a.out)
-    summary = as_dict(records.agg(*of)) | {"num_input_rows": rows.count(), "kept": records.count(), "skip": {r["reason"]: r["n"] for r in lexsub.reason_counts(scores).orderBy("reason").collect()}}
+    summary = as_dict(stats.grouped(records, [], of, stats.medians_of(F.col("score")))) | {"num_input_rows": rows.count(), "kept": records.count(), "skip": {r["reason"]: r["n"] for r in lexsub.reason_counts(scores).orderBy("reason").collect()}}
     print(writers.write_summary(spark, writers.derived_paths(a.out)["summary"], summary | {"model": a.model, "data": a.data}))
     return summary
 
@@ -193,7 +193,7 @@ def run_context(spark, a) -> dict:
     numbered = readers.with_ordinal(rows, "_ordinal")
     scores = staged(pairs.context_scores(numbered, scorer_of(spark, a), "_ordinal", a.orig_col, a.sub_col), "scores").drop("_ordinal")
     writers.write_csv(scores, a.out)
-    summary = as_dict(scores.agg(*of))
+    summary = as_dict(stats.grouped(scores, [], of, stats.medians_of(F.col("context_score"))))
     print(writers.write_summary(spark, writers.derived_paths(a.out)["summary"], summary | {"model": a.model, "input": a.input}))
     return summary
 

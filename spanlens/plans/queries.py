@@ -16,7 +16,7 @@ from spanlens.operators import lexsub, overlap, stats
 from spanlens.operators.locate import locate_span
 from spanlens.plans import pairs
 from spanlens.sources import readers, writers
-from spanlens.sources.scratch import scratch_path
+from spanlens.sources.scratch import scratch_path, staged
 
 QUERIES: dict = {}
 
@@ -93,6 +93,7 @@ def number_span_scores(spark, sf_dir):
 def number_delta_stats(spark, sf_dir):
     rows = number_rows(spark, sf_dir)
     records = pairs.number_records(rows, document_scorer(spark, sf_dir)).join(rows.select("row_id", "type", "level"), "row_id")
+    records = staged(records.select("delta_sum_nll", "type", "level"), "records")  # read once for each step of the medians
     return rounded(stats.by_groups(records, "delta_sum_nll", ["type", "level"]), 4)
 
 
@@ -117,7 +118,7 @@ def stats_math(spark, sf_dir):
 @query
 def stats_code(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") * (F.col("l_tax") - 0.04)).alias("x"))
-    return rounded(rows.groupBy("l_returnflag").agg(*stats.stats_code("x")))
+    return rounded(stats.grouped(rows, ["l_returnflag"], stats.stats_code("x"), stats.medians_of(F.col("x"))))
 
 
 def event_scores(spark, sf_dir) -> DataFrame:
@@ -129,13 +130,13 @@ def event_scores(spark, sf_dir) -> DataFrame:
 @query
 def stats_word(spark, sf_dir):
     rows = event_scores(spark, sf_dir)
-    return rounded(rows.groupBy("event_type").agg(*stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp"))))
+    return rounded(stats.grouped(rows, ["event_type"], stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp")), stats.medians_of(F.col("score"))))
 
 
 @query
 def stats_context(spark, sf_dir):
     rows = event_scores(spark, sf_dir)
-    return rounded(rows.groupBy("event_type").agg(*stats.stats_context(F.col("score"), -F.col("orig_logp"), -F.col("sub_logp"))))
+    return rounded(stats.grouped(rows, ["event_type"], stats.stats_context(F.col("score"), -F.col("orig_logp"), -F.col("sub_logp")), stats.medians_of(F.col("score"))))
 
 
 @query
@@ -167,7 +168,7 @@ def cohens_d(spark, sf_dir):
 @query
 def compare_summary(spark, sf_dir):
     rows = event_scores(spark, sf_dir)
-    out = stats.compare(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "score", stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp")))
+    out = stats.compare(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "score", stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp")), stats.medians_of(F.col("score")))
     flat = out.select(
         F.col("old.n").alias("old_n"), F.col("new.n").alias("new_n"), F.col("old.mean").alias("old_mean"), F.col("new.mean").alias("new_mean"), F.col("old.median").alias("old_median"),
         F.col("old.positive_half_mean").alias("old_positive_half_mean"), "difference_mean_old_minus_new", "auc_old_higher_than_new", "cohens_d_old_minus_new",
@@ -589,7 +590,7 @@ def compare_document(spark, sf_dir):
     """A comparison of two samples as a document, written and read again."""
     path = f"{scratch_path(spark, 'compare')}/compare.json"
     rows = event_scores(spark, sf_dir)
-    out = stats.compare(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'"), "score", stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp")))
+    out = stats.compare(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'"), "score", stats.stats_word(F.col("score"), F.col("orig_logp"), F.col("sub_logp")), stats.medians_of(F.col("score")))
     writers.write_summary(spark, path, json.loads(out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]))
     kind = "old struct<n:bigint,mean:double,median:double>, new struct<n:bigint,mean:double,median:double>, difference_mean_old_minus_new double, auc_old_higher_than_new double, cohens_d_old_minus_new double"
     got = spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -127,6 +127,36 @@ def test_exact_median_of_many(spark):
     assert one(stats.exact_median(df, "x", [], 100))["median"] == one(df.agg(F.median("x").alias("m")))["m"]
 
 
+ODD = [0.0, -0.0, 5e-324, 1e-323, -5e-324, 2.2e-308, 1.0, 1 + 2**-52, 1 + 2**-51, 1 + 2**-50, 2.0, math.nextafter(2, 0), -1.0, -1 - 2**-52, 1.7976931348623157e308, -1.7976931348623157e308, 1e300, 3.0, 1e-200]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 1, None]), st.sampled_from(ODD) | st.floats(-1e6, 1e6) | st.none()), min_size=1, max_size=60))
+def test_medians_of_groups(spark, rows):
+    """Neighbouring, subnormal and the largest doubles, null keys and groups without values."""
+    df = spark.createDataFrame(rows, "k int, x double")
+    above = F.when(F.col("x") > 0, F.col("x"))
+    for lower, median in ((True, statistics.median_low), (False, lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2)):
+        out = stats.grouped(df, ["k"], [F.count("x").alias("n"), F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("p")], {"m": F.col("x"), "p": above}, lower)
+        own = {k: [x for j, x in rows if j == k and x is not None] for k, _ in rows}
+        want = {k: (len(v), median(v) if v else None, median([x for x in v if x > 0]) if any(x > 0 for x in v) else None) for k, v in own.items()}
+        assert {r["k"]: (r["n"], r["m"], r["p"]) for r in out.collect()} == {k: v if all(x is None or math.isfinite(x) for x in v) else pytest.approx(v) for k, v in want.items()}
+
+
+def test_medians_hold_no_group_in_a_task(spark):
+    """``percentile`` counts all values of a group in one task, however large it is."""
+    df = spark.range(1000).selectExpr("cast(id * 7919 % 1009 as double) as x", "cast(id % 3 as string) as k", "cast(id % 3 as int) as _label")
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    by = [stats.by_groups(df, "x", ["k"], s) for s in (stats.stats_number, stats.stats_code)]
+    of = stats.stats_word(F.col("x"), F.col("x"), F.col("x"))
+    for out in [*by, stats.grouped(df, [], of, stats.medians_of(F.col("x"))), stats.compare(df.drop("_label"), df.drop("_label"), "x", of, stats.medians_of(F.col("x")))]:
+        assert not any(x in plan(out).lower() for x in ("percentile", "median(")) and "ObjectHashAggregate" not in plan(out)
+    for out, s in zip(by, (stats.stats_number, stats.stats_code), strict=True):
+        whole = {None: one(df.agg(*s("x")))} | {r["k"]: {c: v for c, v in r.asDict().items() if c != "k"} for r in df.groupBy("k").agg(*s("x")).collect()}
+        got = {r["key"]: {c: v for c, v in r.asDict().items() if c not in ("grouping", "key")} for r in out.collect()}
+        assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in got)
+
+
 def test_compare(spark):
     rows = [(2.0, -1.0, -3.0), (4.0, -2.0, -6.0)]
     df = spark.createDataFrame(rows, "score double, orig_logp double, sub_logp double")
