@@ -167,24 +167,12 @@ def by_groups(df: DataFrame, value: str, groups: list[str], stats=stats_number)
 
 
 def exact_median(df: DataFrame, value: str, keys: list[str], accuracy: int = 10_000) -> DataFrame:
-    """(keys, median): interpolated, and exact whatever the size of a group.
+    """(keys, median): interpolated, and exact whatever the size of a group; null for a group without values.
 
-    A sketch gives two values between which the middle ranks lie for certain; the values outside are only counted, and
-    those in between, about 4 / ``accuracy`` of a group besides ties, are counted by value."""
-    x = finite(F.col(value))
-    rows = df.select(*keys, x.alias("_x")).where("_x is not null")
-    slack = 4.0 / accuracy
-    edge = F.percentile_approx("_x", F.array(F.lit(0.5 - slack), F.lit(0.5 + slack)), F.lit(accuracy))
-    edges = rows.groupBy(*keys).agg(edge.alias("_e"), F.count("*").alias("_n"))
-    joined = rows.join(edges, keys) if keys else rows.crossJoin(edges)
-    low, high = F.col("_e")[0], F.col("_e")[1]
-    below = joined.groupBy(*keys).agg(F.count_if(F.col("_x") < low).alias("_below"), F.first("_n").alias("_n"))
-    inside = joined.where((F.col("_x") >= low) & (F.col("_x") <= high)).groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x"))
-    ranked = (inside.join(below, keys) if keys else inside.crossJoin(below)).withColumn("_upto", F.col("_below") + upto)
-    first = F.floor((F.col("_n") + 1) / 2)
-    second = F.floor(F.col("_n") / 2) + 1
-    return ranked.groupBy(*keys).agg(((F.min(F.when(F.col("_upto") >= first, F.col("_x"))) + F.min(F.when(F.col("_upto") >= second, F.col("_x")))) / 2).alias("median"))
+    ``accuracy`` is there for callers of an earlier version and changes nothing."""
+    none = F.lit(None).cast("double")
+    out = grouped(df, keys, [F.count(finite(F.col(value))).alias("_n"), none.alias("median")], {"median": F.col(value)})
+    return out.select(*keys, F.when(F.col("_n") > 0, F.col("median")).alias("median"))
 
 
 def _slices(df: DataFrame, column: str, n: int) -> Column:

@@ -157,6 +157,15 @@ def test_medians_hold_no_group_in_a_task(spark):
         assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in got)
 
 
+def test_exact_median_moves_counts_only(spark):
+    """Rows aren't dealt by group, which would be one task a group; a group without values has a null median."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 2, null, cast(id % 3 as string)) as k", "if(id % 3 = 1, null, cast(id * 7919 % 30011 as double)) as x")
+    out = stats.exact_median(df, "x", ["k"])
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString().lower() for x in ("sortmergejoin", "percentile", "median("))
+    want = lambda r: statistics.median(float(i * 7919 % 30011) for i in range(r, 3000, 3))
+    assert {r["k"]: r["median"] for r in out.collect()} == {"0": want(0), "1": None, None: want(2)}
+
+
 def test_compare(spark):
     rows = [(2.0, -1.0, -3.0), (4.0, -2.0, -6.0)]
     df = spark.createDataFrame(rows, "score double, orig_logp double, sub_logp double")
